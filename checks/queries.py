@@ -546,7 +546,7 @@ def stream_upsert(spark, sf):
     target = shared_dir(spark, "upsert")
     stream = T.keyed_reviews(spark, sf, T.event_stream(spark, sf))
     jobs.stream_upsert(stream, target, shared_dir(spark, "upsert-log"), tiebreak=["feed_id"]).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    return spark.read.schema(stream.schema).parquet(target).select(*stream.columns)
 
 
 @query
@@ -556,7 +556,8 @@ def stream_new_tickets(spark, sf):
     jobs.stream_new_tickets(
         stream, T.sent(spark, sf), target, shared_dir(spark, "tickets-log")
     ).awaitTermination()
-    return spark.read.schema(stream.select(*state.DIGEST_COLUMNS).schema).parquet(target)
+    schema = stream.select(*state.DIGEST_COLUMNS).schema
+    return spark.read.schema(schema).parquet(target).select(*state.DIGEST_COLUMNS)
 
 
 @query

@@ -16,6 +16,7 @@ from ticketloom.operators.lookup import (
     lemma_table, lexicon_table, severity_table, stopword_table, taxonomy_rules,
 )
 from ticketloom.operators.taxonomy import categorize
+from ticketloom.session import spread
 
 PHRASES = [
     "app keeps crashing on login screen", "Payment failed: credit card error",
@@ -29,12 +30,12 @@ FEEDBACK_PHRASES = [3, 11, 17, 18, 19]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files."""
-    schema = table(spark, sf, "events").schema
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 

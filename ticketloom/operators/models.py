@@ -113,7 +113,7 @@ def with_weights(train: DataFrame, label: str = "label") -> DataFrame:
 
 def fit_bug_classifier(
     train: DataFrame, key: str, grid: list[float] | None = None, folds: int = 5, seed: int = 42,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> BugClassifier:
     """Logistic regression on (``features``, ``label``), chosen by F1 of class 1.
 
@@ -130,7 +130,7 @@ def fit_bug_classifier(
     )
     rows = data.count()
     per_fold = rows * (folds - 1) / folds
-    base = LogisticRegression(maxIter=100, standardization=False)
+    base = LogisticRegression(maxIter=100, tol=1e-4, standardization=False)
     regularisations = [1.0 / (c * per_fold) for c in strengths]
     params = (
         ParamGridBuilder()
@@ -226,7 +226,7 @@ def reclassify_other(bugs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
         inputCol="bug_category", outputCol="label", stringOrderType="alphabetAsc"
     ).fit(labelled)
     model = LogisticRegression(
-        family="multinomial", maxIter=100, standardization=False, regParam=1.0 / labelled.count()
+        family="multinomial", maxIter=100, tol=1e-4, standardization=False, regParam=1.0 / labelled.count()
     ).fit(index.transform(labelled).select("features", "label"))
     names = IndexToString(
         inputCol="prediction", outputCol="predicted_category", labels=index.labels

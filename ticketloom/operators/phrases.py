@@ -1,4 +1,8 @@
-"""Term frequencies, TF-IDF key phrases and LDA topics of cleaned texts."""
+"""Term frequencies, TF-IDF key phrases and LDA topics of cleaned texts.
+
+Arrays are flattened with the outer generators: before an inner one Catalyst puts a filter on the
+array's size, which would compute the array a second time.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +17,18 @@ from ticketloom.session import materialise
 
 def term_frequencies(df: DataFrame, col: str = "cleaned_text", n: int = 100) -> DataFrame:
     """The ``n`` most frequent words."""
-    words = df.select(F.explode(F.split(col, " ")).alias("term")).filter("term <> ''")
+    words = df.select(F.explode_outer(F.split(col, " ")).alias("term")).filter("term <> ''")
     counts = words.groupBy("term").agg(row_count().alias("term_count"))
     return counts.orderBy(F.col("term_count").desc(), "term").limit(n)
 
 
-def unigrams_and_bigrams(c: Column) -> Column:
-    """Words of two characters or more, and pairs of neighbours among them."""
-    words = F.filter(F.split(c, " "), lambda t: F.length(t) >= 2)
-    right = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    left = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(words, F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
+def unigrams_and_bigrams(df: DataFrame, col: str) -> DataFrame:
+    """Per row, in ``grams``: words of two characters or more, and pairs of neighbours among them."""
+    words = df.select(F.filter(F.split(col, " "), lambda t: F.length(t) >= 2).alias("_words"))
+    pairs = F.greatest(F.size("_words") - 1, F.lit(0))
+    left, right = F.slice("_words", 1, pairs), F.slice("_words", 2, pairs)
+    bigrams = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
+    return words.select(F.concat("_words", bigrams).alias("grams"))
 
 
 def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: int = 20) -> DataFrame:
@@ -33,7 +38,7 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
     returns to the rows as a scalar subquery, so weights and norms are computed inside each row and
     only partial sums per term move.
     """
-    grams = df.select(unigrams_and_bigrams(F.col(col)).alias("grams"))
+    grams = unigrams_and_bigrams(df, col)
 
     def tagged(terms: Column, tf: int, rows: int) -> Column:
         return F.transform(terms, lambda t: F.struct(
@@ -42,7 +47,8 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
 
     occurrences = F.concat(tagged(F.col("grams"), 1, 0), tagged(F.array_distinct("grams"), 0, 1))
     counts = (
-        grams.select(F.inline(occurrences))
+        grams.select(F.inline_outer(occurrences))
+        .filter("term IS NOT NULL")
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
@@ -64,7 +70,8 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
         ).alias("_terms")
     )
     norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    flat = scored.withColumn("_norm", norm).select("_norm", F.inline("_terms"))
+    flat = scored.withColumn("_norm", norm).select("_norm", F.inline_outer("_terms"))
+    flat = flat.filter("term IS NOT NULL")
     totals = flat.groupBy("term").agg(F.sum(F.col("w") / F.col("_norm")).alias("importance"))
     return totals.orderBy(F.round("importance", 9).desc(), "term").limit(n)
 

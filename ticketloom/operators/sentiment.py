@@ -45,7 +45,7 @@ def clean_lemmas(
 def _clean_lemmas_by_join(df, tokens, stopwords, lemmas, out, key) -> DataFrame:
     if key is None:
         raise ValueError("a unique key column is needed to join a stop word or lemma table")
-    words = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    words = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
     kept = words.join(stopwords.select("token").distinct(), "token", "left_anti")
     named = kept.join(lemmas.select("token", "lemma").dropDuplicates(["token"]), "token", "left")
     pairs = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("w"))))
@@ -63,7 +63,7 @@ def score_sentiment(
     if words is None:
         if key is None:
             raise ValueError("a unique key column is needed to join a lexicon")
-        parts = df.select(key, F.explode(tokens).alias("token"))
+        parts = df.select(key, F.explode_outer(tokens).alias("token"))
         scores = parts.join(lexicon, "token").groupBy(key).agg(F.avg("polarity").alias(out))
         return df.join(scores, key, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
     known = F.array(*[F.lit(r.token) for r in words]).cast("array<string>")

@@ -74,7 +74,7 @@ def _categorize_by_ngrams(df: DataFrame, text, rules: DataFrame, default: str) -
 
     all_grams = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, longest + 1)])))
     found = (
-        texts.select("_text", F.explode(all_grams).alias("keyword"))
+        texts.select("_text", F.explode_outer(all_grams).alias("keyword"))
         .join(rules, "keyword")
         .groupBy("_text")
         .agg(F.min_by("category", F.struct(-F.length("keyword"), F.col("pos"))).alias("_found"))
