@@ -119,7 +119,7 @@ def bug_keyword_count(spark, sf):
 @query
 def categorize(spark, sf):
     return taxonomy.categorize(
-        T.predictions(spark, sf), "review_description", taxonomy_rules(spark)
+        T.reviews(spark, sf), "review_description", taxonomy_rules(spark)
     ).select("review_id", "bug_category")
 
 

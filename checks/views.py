@@ -103,7 +103,7 @@ def predictions(spark: SparkSession, sf: str, events: DataFrame | None = None) -
 def categorized(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Bugs with review_id kept beside the ``categorized_bugs`` columns."""
     bugs = tickets.bugs_only(predictions(spark, sf, events))
-    found = categorize(bugs, "review_description", taxonomy_rules(spark))
+    found = categorize(bugs, "review_description", taxonomy_rules(spark), cleaned=True)
     return found.select(
         "review_id", "review_description", "bug_category", "review_date", "app_version"
     )

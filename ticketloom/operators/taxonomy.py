@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as V
@@ -21,25 +21,39 @@ def normalise_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def padded_words(text: Column, compat: bool = False) -> Column:
+    """``clean_spaced`` text as ``clean_words`` leaves it, between two spaces.
+
+    Such text has no punctuation left, so only ``can t`` has to be replaced. Literal replacement
+    skips every second one of a run, hence twice.
+    """
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    if compat:
+        return F.replace(padded, F.lit("can t"), F.lit("cannot"))
+    for _ in range(2):
+        padded = F.replace(padded, F.lit(" can t "), F.lit(" cannot "))
+    return padded
+
+
 def categorize(
-    df: DataFrame, col: str, rules: DataFrame, default: str = V.DEFAULT_CATEGORY, compat: bool = False
+    df: DataFrame, col: str, rules: DataFrame, default: str = V.DEFAULT_CATEGORY,
+    compat: bool = False, cleaned: bool = False,
 ) -> DataFrame:
     """Add ``bug_category`` for the text in ``col`` by ``rules(pos, category, keyword)``.
 
     A taxonomy that passes the size check is inlined: no shuffle, no join, one pass over the text.
-    A larger one is joined on word n-grams.
+    A larger one is joined on word n-grams. ``cleaned`` says that ``clean_spaced`` made the text.
     """
     rules = normalise_rules(rules)
-    text = X.clean_words(X.clean_spaced(F.col(col)), compat)
+    padded = padded_words(F.col(col) if cleaned else X.clean_spaced(F.col(col)), compat)
     small = bounded_rows(rules)
     if small is None:
-        return _categorize_by_ngrams(df, text, rules, default)
+        return _categorize_by_ngrams(df, F.trim(padded), rules, default)
     if not small:
         return df.withColumn("bug_category", F.lit(default))
     ordered = sorted(small, key=lambda r: (-len(r.keyword), r.pos))
     keywords = F.array(*[F.lit(r.keyword) for r in ordered])
     categories = F.array(*[F.lit(r.category) for r in ordered])
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
     found = F.regexp_extract_all(padded, F.lit(_keyword_pattern([r.keyword for r in ordered])))
     # the intersection keeps the order of its first array, so the best keyword comes first
     best = F.get(F.array_intersect(keywords, found), F.lit(0))

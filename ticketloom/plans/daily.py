@@ -36,7 +36,7 @@ def predict_bugs(reviews: DataFrame, training: DataFrame, key: str = "review_id"
 def categorize_bugs(predictions: DataFrame, rules: DataFrame) -> DataFrame:
     """Bugs with their keyword category, in the ``categorized_bugs`` columns."""
     require_columns(predictions, ["review_description", "review_date", "app_version"])
-    found = categorize(tickets.bugs_only(predictions), "review_description", rules)
+    found = categorize(tickets.bugs_only(predictions), "review_description", rules, cleaned=True)
     return found.select(*S.CATEGORIZED_BUGS.names)
 
 
