@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ticketloom.operators.ingest import require_columns
+from ticketloom.schemas import SENT_TICKETS
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does the path exist on the file system that its scheme names?"""
@@ -19,10 +22,15 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; quoted texts may hold line breaks and doubled quotes.
 
-    Columns are taken by name. Words like ``null`` and ``nan`` stay text.
+    Columns are matched by name, whatever their order; others are left out, missing ones are an
+    error. A value that does not fit its type is null; words like ``null`` and ``nan`` stay text.
     """
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True)
-    return reader.option("escape", '"').option("enforceSchema", False).csv(path)
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns
+    known = {field.name: field for field in schema}
+    actual = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+    df = spark.read.options(**options).schema(actual).csv(path)
+    return require_columns(df, schema.names).select(*schema.names)
 
 
 def read_source(
@@ -46,3 +54,9 @@ def read_source(
     if empty_if_missing:
         return spark.createDataFrame([], schema)
     raise FileNotFoundError(f"{path} not found and table {table} missing")
+
+
+def read_sent(spark: SparkSession, path: str | None = None, table: str | None = None) -> DataFrame:
+    """The sent ids; empty when nothing is stored or what is stored lacks the column."""
+    stored = read_source(spark, path, table, empty_if_missing=True, schema=SENT_TICKETS)
+    return stored if "ticket_id" in stored.columns else spark.createDataFrame([], SENT_TICKETS)
