@@ -492,6 +492,15 @@ WHERE term <> '' GROUP BY term ORDER BY term_count DESC, term LIMIT 100""",
     "stratified_split": """
 SELECT doc_id, toxic, cast(row_number() OVER (PARTITION BY toxic ORDER BY sha1('42:' || doc_id), doc_id)
   <= floor(count(*) OVER (PARTITION BY toxic) * 0.75 + 0.5) AS int) AS is_train FROM labels""",
+    "stratified_folds": """
+SELECT doc_id, toxic, cast((row_number() OVER (PARTITION BY toxic ORDER BY sha1('42:' || doc_id), doc_id) - 1) % 5 AS int) AS fold
+FROM labels""",
+    "class_weights": """
+SELECT doc_id, 1.0::double AS unit, round((SELECT count(*) FROM labels)
+  / ((SELECT count(DISTINCT toxic) FROM labels) * count(*) OVER (PARTITION BY toxic)), 6) AS balanced FROM labels""",
+    "pseudo_labels": """
+SELECT review_id, CASE WHEN bug_confidence > 0.95 THEN 1 ELSE 0 END AS label FROM predictions
+WHERE bug_confidence > 0.95 OR bug_confidence < 0.05""",
     "classification_report": """
 WITH g AS (SELECT toxic AS y, 1 - quality AS p FROM labels),
 c AS (SELECT k, (SELECT count(*) FROM g WHERE y = k) AS support, (SELECT count(*) FROM g WHERE p = k) AS claimed,

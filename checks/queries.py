@@ -474,6 +474,24 @@ def stratified_split(spark, sf):
     )
 
 
+@query
+def stratified_folds(spark, sf):
+    return models.stratified_folds(T.table(spark, sf, "labels"), "toxic", "doc_id").select(
+        "doc_id", "toxic", "fold"
+    )
+
+
+@query
+def class_weights(spark, sf):
+    weighted = models.with_weights(T.table(spark, sf, "labels"), "toxic")
+    return rounded(weighted.select("doc_id", "unit", "balanced"), "balanced")
+
+
+@query
+def pseudo_labels(spark, sf):
+    return models.pseudo_labels(T.predictions(spark, sf)).select("review_id", "label")
+
+
 @query
 def classification_report(spark, sf):
     guesses = T.table(spark, sf, "labels").withColumn("guess", 1 - F.col("quality"))

@@ -147,6 +147,11 @@ def test_attended_report_fans_out_and_keeps_unknown(spark):
     ]
 
 
+def test_attended_report_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(state, "MAX_ASKED", 0)
+    test_attended_report_fans_out_and_keeps_unknown(spark)
+
+
 @pytest.mark.parametrize("ids,first", [
     ([], True), (["BUG-123", " BUG-4 "], True), (["BUG-123", "BUG-00FFAA11"], False), ([" ", None], True),
 ])

@@ -60,6 +60,14 @@ def stratified_split(
     return ranked.select(*df.columns, (F.col("_rank") <= take).cast("int").alias("is_train"))
 
 
+def stratified_folds(
+    df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """Add ``fold``: every class dealt out evenly, in hash order."""
+    ranked = ranked_by_hash(df, label, key, seed)
+    return ranked.select(*df.columns, ((F.col("_rank") - 1) % folds).cast("int").alias("fold"))
+
+
 # --- features ----------------------------------------------------------------------------------
 
 def fit_text_features(df: DataFrame, col: str, dimensions: int = 4096) -> PipelineModel:
@@ -121,9 +129,7 @@ def fit_bug_classifier(
     are those of the folds, taken before the final fit on all rows.
     """
     strengths = grid or V.GRID_C
-    folded = ranked_by_hash(with_weights(train), "label", key, seed).withColumn(
-        "fold", ((F.col("_rank") - 1) % folds).cast("int")
-    )
+    folded = stratified_folds(with_weights(train), "label", key, folds, seed)
     data = materialise(
         folded.select("features", F.col("label").cast("double").alias("label"), "fold", "unit", "balanced"),
         "classifier-rows",
@@ -156,16 +162,21 @@ def fit_bug_classifier(
     return BugClassifier(estimator.fit(data), estimator, strength, scores)
 
 
+def pseudo_labels(
+    scored: DataFrame, high: float = V.PSEUDO_BUG, low: float = V.PSEUDO_FEEDBACK
+) -> DataFrame:
+    """The confident rows with their ``label``: 1 above ``high``, 0 below ``low``."""
+    p = F.col("bug_confidence")
+    return scored.withColumn("label", F.when(p > high, 1).when(p < low, 0)).dropna(subset=["label"])
+
+
 def self_train(
     found: BugClassifier, train: DataFrame, pool: DataFrame, text: str = "processed_review",
     high: float = V.PSEUDO_BUG, low: float = V.PSEUDO_FEEDBACK,
 ) -> BugClassifier:
     """Add the confident rows of ``pool`` to ``train`` and fit again; unchanged if there is none."""
-    scored = found.model.transform(pool.filter(F.col(text) != ""))
-    p = vector_to_array("probability")[1]
-    pseudo = scored.select(
-        "features", F.when(p > high, 1).when(p < low, 0).alias("label")
-    ).dropna(subset=["label"])
+    scored = score_reviews(found.model, pool.filter(F.col(text) != ""), text)
+    pseudo = pseudo_labels(scored, high, low).select("features", "label")
     if pseudo.isEmpty():
         return found
     both = with_weights(train.select("features", F.col("label").cast("int")).union(pseudo))

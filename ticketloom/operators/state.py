@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as X
-from ticketloom.operators.tickets import newest_first
+from ticketloom.operators.lookup import bounded_rows
+from ticketloom.operators.tickets import newest_first, spread_order
 
+# Up to this many attended ids are broadcast.
+MAX_ASKED = 10_000
 DIGEST_COLUMNS = ["TicketID", "bug_category", "app_version", "review_date", "review_description"]
 
 
@@ -18,12 +21,16 @@ def attended_report(attended: DataFrame, tickets: DataFrame) -> DataFrame:
     many rows share. The matched rows come from an inner join, which can do both; the unmatched
     ones from an anti join against only those ticket ids that were asked for.
     """
-    asked = attended.select("TicketID")
-    known = tickets.select("TicketID").join(asked, "TicketID", "left_semi").distinct()
+    asked, ids = attended.select("TicketID").distinct(), tickets.select("TicketID")
+    if bounded_rows(asked, MAX_ASKED) is not None:
+        known = ids.join(F.broadcast(asked), "TicketID", "left_semi").distinct()
+    else:
+        # distinct first: a shuffled join would bring every row of a shared id to one task
+        known = ids.distinct().join(asked, "TicketID", "left_semi")
     matched = attended.join(tickets, "TicketID")
     unmatched = attended.join(known, "TicketID", "left_anti")
     report = matched.unionByName(unmatched, allowMissingColumns=True)
-    return report.orderBy(F.col("attended_at").desc_nulls_last(), "TicketID")
+    return spread_order(report, F.col("attended_at").desc_nulls_last(), "TicketID")
 
 
 def mark_attended(attended: DataFrame, ids: DataFrame, at) -> DataFrame:

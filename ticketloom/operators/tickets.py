@@ -69,9 +69,17 @@ def tickets(bugs: DataFrame, severity: DataFrame, digest_chars: int = 8) -> Data
     )
 
 
+def spread_order(df: DataFrame, *order) -> DataFrame:
+    """Sort, with the row's own number as the last key: copies of a row then share out over tasks.
+
+    Without it all rows of equal keys fall into one range partition.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).orderBy(*order, "_row").drop("_row")
+
+
 def newest_first(tickets: DataFrame) -> DataFrame:
-    return tickets.orderBy(
-        F.col("review_date").desc_nulls_last(), "TicketID", "review_description", "app_version"
+    return spread_order(
+        tickets, F.col("review_date").desc_nulls_last(), "TicketID", "review_description", "app_version"
     )
 
 

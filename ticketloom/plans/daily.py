@@ -15,19 +15,23 @@ from ticketloom.operators import ingest, models, rollup, tickets
 from ticketloom.operators.ingest import available_columns, require_columns
 from ticketloom.operators.lookup import severity_table, taxonomy_rules
 from ticketloom.operators.taxonomy import categorize
+from ticketloom.session import materialise
 from ticketloom.sources.readers import path_exists
 
 
-def predict_bugs(reviews: DataFrame, training: DataFrame, key: str = "review_id",
-                 grid: list[float] | None = None) -> DataFrame:
+def predict_bugs(
+    reviews: DataFrame, training: DataFrame, grid: list[float] | None = None
+) -> DataFrame:
     """Clean, featurise, fit with self-training, and score every review."""
     prepared = ingest.impute_rating(models.prediction_table(reviews))
     featurizer = models.fit_text_features(prepared, "processed_review")
     pool = models.text_features(prepared, "processed_review", model=featurizer)
     labelled = training.select(
         X.clean_spaced(F.col("review")).alias("processed_review"), F.col("label").cast("int")
-    ).withColumn("row_key", F.concat_ws("|", "processed_review", "label"))
-    train = models.text_features(labelled, "processed_review", model=featurizer)
+    )
+    # numbered once and stored: copies of a text differ, and a repeated task sees the same numbers
+    numbered = materialise(labelled.withColumn("row_key", F.monotonically_increasing_id()), "training")
+    train = models.text_features(numbered, "processed_review", model=featurizer)
     found = models.fit_bug_classifier(train, "row_key", grid)
     final = models.self_train(found, train, pool)
     return available_columns(models.score_reviews(final.model, pool), S.BUG_PREDICTIONS.names)
