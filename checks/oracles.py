@@ -390,6 +390,10 @@ FROM (SELECT DISTINCT trim(app_version) AS v FROM reviews) WHERE v <> ''""",
 SELECT bug_category, count(*) AS reviews, string_agg('Review ' || sample_rank || ' (Date: '
   || coalesce(cast(review_date AS varchar), 'nan') || ', Version: ' || coalesce(app_version, 'nan') || '): '
   || coalesce(review_description, 'nan'), chr(10) || chr(10) ORDER BY sample_rank) AS context
+FROM ({SAMPLE}) WHERE sample_rank <= 25 GROUP BY bug_category""",
+    "summary_prompt": f"""
+SELECT bug_category, 'Summarize the following bug reports about ' || bug_category || ':' || chr(10) || chr(10)
+  || string_agg(coalesce(review_description, ''), chr(10) || chr(10) ORDER BY sample_rank) AS prompt
 FROM ({SAMPLE}) WHERE sample_rank <= 25 GROUP BY bug_category""",
     "text_features": """
 SELECT review_id, CASE WHEN review_description = '' THEN 0.0::double ELSE 1.0::double END AS norm FROM predictions""",

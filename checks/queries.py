@@ -239,10 +239,17 @@ def summary_context(spark, sf):
     return rollup.summary_context(T.categorized(spark, sf))
 
 
+@query
+def summary_prompt(spark, sf):
+    context = rollup.summary_context(T.categorized(spark, sf), numbered=False)
+    return rollup.summary_prompt(context).select("bug_category", "prompt")
+
+
 @query
 def text_features(spark, sf):
     clean = T.predictions(spark, sf).select("review_id", "review_description")
-    made = models.text_features(clean, "review_description")
+    model = models.fit_text_features(clean, "review_description", dimensions=512)
+    made = models.text_features(clean, "review_description", model=model)
     squares = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, x: acc + x * x)
     return rounded(made.select("review_id", F.sqrt(squares).alias("norm")), "norm")
 
@@ -507,6 +514,13 @@ def _fitted(spark, sf):
     return featurizer, train, models.fit_bug_classifier(train, "doc_id")
 
 
+@query
+def held_out_report(spark, sf):
+    rows = T.training(spark, sf)
+    train = models.text_features(rows, "processed_review")
+    return models.train_and_evaluate(train, "doc_id")[1]
+
+
 @query
 def bug_classifier(spark, sf):
     _, _, found = _fitted(spark, sf)
@@ -530,7 +544,7 @@ def self_training(spark, sf):
 @query
 def bug_predictions(spark, sf):
     labelled = T.training(spark, sf).select(F.col("processed_review").alias("review"), "label")
-    return daily.predict_bugs(T.reviews(spark, sf), labelled)
+    return daily.predict_bugs(T.reviews(spark, sf), labelled)[0]
 
 
 @query

@@ -33,6 +33,14 @@ def test_classifier_separates(train, found):
     assert scored.filter("is_bug_report <> label").count() == 0
 
 
+def test_report_is_on_held_out_rows(train):
+    final, report = models.train_and_evaluate(train, "id", grid=[10.0])
+    found = {r["class"]: r for r in report.collect()}
+    assert found["accuracy"].support == 20 and found["1"].support == 10
+    assert found["accuracy"].f1 == 1.0
+    assert models.score_reviews(final.model, train).filter("is_bug_report <> label").count() == 0
+
+
 def test_same_seed_same_model(train, found):
     again = models.fit_bug_classifier(train, "id", grid=[1.0, 100.0], folds=3)
     assert [s[:2] for s in again.scores] == [s[:2] for s in found.scores]

@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 from tools.check_oracle import TABLES, canonical
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
-MODELS = {"bug_classifier", "self_training", "bug_predictions", "reclassified", "other_clusters", "topics"}
+MODELS = {"bug_classifier", "held_out_report", "self_training", "bug_predictions", "reclassified", "other_clusters", "topics"}
 
 
 @pytest.fixture(scope="module")

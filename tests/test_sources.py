@@ -97,7 +97,7 @@ def test_daily_chain_runs_twice(spark, tmp_path):
     out = str(tmp_path / "out")
     paths = daily.run_daily(spark, feed(spark, 60), training, out, grid=[1.0])
     first = {name: spark.read.parquet(path) for name, path in paths.items()}
-    assert list(first) == ["reviews", "bug_predictions", "prioritized_bugs", "categorized_bugs",
+    assert list(first) == ["reviews", "classifier_report", "bug_predictions", "prioritized_bugs", "categorized_bugs",
                            "reclassified_bugs", "developer_bug_summaries"]
     assert first["bug_predictions"].columns == S.BUG_PREDICTIONS.names
     predictions = {int(r.review_id): r for r in first["bug_predictions"].collect()}

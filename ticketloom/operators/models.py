@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ticketloom import fixed_values as V
 from ticketloom.functions import text as X
 from ticketloom.functions.counts import row_count
+from ticketloom.operators.aggregates import classification_report
 from ticketloom.operators.taxonomy import split_other
 from ticketloom.session import materialise
 
@@ -134,9 +135,9 @@ def fit_bug_classifier(
         folded.select("features", F.col("label").cast("double").alias("label"), "fold", "unit", "balanced"),
         "classifier-rows",
     )
-    rows = data.count()
-    per_fold = rows * (folds - 1) / folds
-    base = LogisticRegression(maxIter=100, tol=1e-4, standardization=False)
+    per_fold = data.count() * (folds - 1) / folds
+    # the search ranks settings, for which a coarse fit will do; the chosen one is fitted finely
+    base = LogisticRegression(maxIter=100, tol=1e-3, standardization=False)
     regularisations = [1.0 / (c * per_fold) for c in strengths]
     params = (
         ParamGridBuilder()
@@ -158,8 +159,33 @@ def fit_bug_classifier(
         for i, p in enumerate(params)
     ]
     strength, weight = scores[best][0], scores[best][1]
-    estimator = base.copy({base.weightCol: weight, base.regParam: 1.0 / (strength * rows)})
-    return BugClassifier(estimator.fit(data), estimator, strength, scores)
+    estimator = base.copy({base.weightCol: weight, base.tol: 1e-5})
+    return _fit_all(estimator, strength, scores, data)
+
+
+def _fit_all(estimator, strength, scores, data: DataFrame) -> BugClassifier:
+    """Fit on all rows of ``data``, the regularisation scaled to their number."""
+    scaled = estimator.copy({estimator.regParam: 1.0 / (strength * data.count())})
+    return BugClassifier(scaled.fit(data), scaled, strength, scores)
+
+
+def refit(found: BugClassifier, rows: DataFrame) -> BugClassifier:
+    """The chosen settings on other rows (``features``, ``label``)."""
+    weighted = with_weights(rows.select("features", F.col("label").cast("double").alias("label")))
+    return _fit_all(found.estimator, found.strength, found.scores, materialise(weighted, "refit-rows"))
+
+
+def train_and_evaluate(
+    rows: DataFrame, key: str, grid: list[float] | None = None, frac: float = 0.75, seed: int = 42
+) -> tuple[BugClassifier, DataFrame]:
+    """Search on the training share, report on the held-out share, then fit the choice on all rows.
+
+    The report is made before the last fit, which sees the held-out rows.
+    """
+    split = materialise(stratified_split(rows, "label", key, frac, seed), "split-rows")
+    found = fit_bug_classifier(split.filter("is_train = 1"), key, grid, seed=seed)
+    held = found.model.transform(split.filter("is_train = 0"))
+    return refit(found, split), classification_report(held, "label", "prediction")
 
 
 def pseudo_labels(
@@ -179,10 +205,7 @@ def self_train(
     pseudo = pseudo_labels(scored, high, low).select("features", "label")
     if pseudo.isEmpty():
         return found
-    both = with_weights(train.select("features", F.col("label").cast("int")).union(pseudo))
-    data = materialise(both.withColumn("label", F.col("label").cast("double")), "self-training-rows")
-    estimator = found.estimator.copy({found.estimator.regParam: 1.0 / (found.strength * data.count())})
-    return BugClassifier(estimator.fit(data), estimator, found.strength, found.scores)
+    return refit(found, train.select("features", F.col("label").cast("int")).union(pseudo))
 
 
 def score_reviews(

@@ -21,8 +21,8 @@ from ticketloom.sources.readers import path_exists
 
 def predict_bugs(
     reviews: DataFrame, training: DataFrame, grid: list[float] | None = None
-) -> DataFrame:
-    """Clean, featurise, fit with self-training, and score every review."""
+) -> tuple[DataFrame, DataFrame]:
+    """Clean, featurise, fit with self-training, score every review; also the held-out report."""
     prepared = ingest.impute_rating(models.prediction_table(reviews))
     featurizer = models.fit_text_features(prepared, "processed_review")
     pool = models.text_features(prepared, "processed_review", model=featurizer)
@@ -32,9 +32,10 @@ def predict_bugs(
     # numbered once and stored: copies of a text differ, and a repeated task sees the same numbers
     numbered = materialise(labelled.withColumn("row_key", F.monotonically_increasing_id()), "training")
     train = models.text_features(numbered, "processed_review", model=featurizer)
-    found = models.fit_bug_classifier(train, "row_key", grid)
+    found, report = models.train_and_evaluate(train, "row_key", grid)
     final = models.self_train(found, train, pool)
-    return available_columns(models.score_reviews(final.model, pool), S.BUG_PREDICTIONS.names)
+    scored = models.score_reviews(final.model, pool)
+    return available_columns(scored, S.BUG_PREDICTIONS.names), report
 
 
 def categorize_bugs(predictions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -70,7 +71,9 @@ def run_daily(spark: SparkSession, raw: DataFrame, training: DataFrame, out: str
         reviews = store("reviews", ingest.upsert_latest(incoming.limit(0), incoming))
     paths.pop("reviews_next", fresh_path)
 
-    predictions = store("bug_predictions", predict_bugs(reviews, training, grid=grid))
+    scored, report = predict_bugs(reviews, training, grid)
+    store("classifier_report", report)
+    predictions = store("bug_predictions", scored)
     store("prioritized_bugs", tickets.prioritize(predictions))
     categorized = store("categorized_bugs", categorize_bugs(predictions, taxonomy_rules(spark)))
     relabelled = store("reclassified_bugs", models.reclassify_other(categorized))
