@@ -90,7 +90,7 @@ def lemma_rows(source: str, key: str, text: str) -> str:
 def score_rows(source: str, key: str, text: str) -> str:
     return f"""
     SELECT s.{key}, coalesce(g.score, 0.0) AS sentiment_score FROM {source} s LEFT JOIN (
-      SELECT t.{key}, avg(x.polarity) AS score
+      SELECT t.{key}, round(avg(x.polarity), 12) AS score
       FROM (SELECT {key}, unnest(string_split({text}, ' ')) AS token FROM {source}) t
       JOIN lexicon x ON x.token = t.token GROUP BY t.{key}) g ON g.{key} = s.{key}"""
 
@@ -130,7 +130,7 @@ CTES: dict[str, str] = {
            ELSE p.phrase || '! ' || e.event_type || ' ' || coalesce(d.text, '') END AS review_description,
       CASE WHEN e.k % 10 <> 0 THEN cast(1 + e.k // 20 AS double) END AS rating,
       cast(floor(e.value) AS bigint) AS thumbs_up,
-      CASE WHEN e.k <> 31 THEN e.ts END AS review_date,
+      CASE WHEN e.k NOT IN (30, 31) THEN e.ts END AS review_date,
       CASE WHEN e.event_type = 'purchase' THEN 'Noted, user' || e.user_id END AS developer_response,
       CASE WHEN e.event_type = 'purchase' THEN e.ts + INTERVAL 1 DAY END AS developer_response_date,
       CASE WHEN e.user_id % 13 <> 0 THEN '1.' || (e.user_id % 4) || '.' || (e.user_id % 12) END AS app_version,

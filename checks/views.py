@@ -57,7 +57,7 @@ def scored_feed(spark: SparkSession, sf: str, events: DataFrame | None = None) -
         F.when(k == 17, None).when(k == 23, "").otherwise(body).alias("content"),
         F.when(k % 10 == 0, None).otherwise(1 + F.floor(k / 20)).cast("double").alias("score"),
         F.floor("value").cast("bigint").alias("thumbsUpCount"),
-        F.when(k == 31, None).otherwise(F.col("ts")).alias("at"),
+        F.when(k.isin(30, 31), None).otherwise(F.col("ts")).alias("at"),
         F.when(replied, F.concat(F.lit("Noted, user"), user)).alias("replyContent"),
         F.when(replied, F.col("ts") + F.expr("interval 1 day")).alias("repliedAt"),
         F.lit(None).cast("string").alias("userImage"),

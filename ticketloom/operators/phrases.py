@@ -39,18 +39,17 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
     only partial sums per term move.
     """
     grams = unigrams_and_bigrams(df, col)
-
-    def tagged(terms: Column, tf: int, rows: int) -> Column:
-        return F.transform(terms, lambda t: F.struct(
-            t.alias("term"), F.lit(tf).alias("tf"), F.lit(rows).alias("df")
-        ))
-
-    occurrences = F.concat(tagged(F.col("grams"), 1, 0), tagged(F.array_distinct("grams"), 0, 1))
+    # within a row, a term that differs from the one before it in sorted order is a new one
+    ordered = grams.select(F.sort_array("grams").alias("_sorted"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_sorted"))
+    occurrences = F.zip_with("_sorted", F.slice(before, 1, F.size("_sorted")), lambda term, last: F.struct(
+        term.alias("term"), (~term.eqNullSafe(last)).cast("int").alias("new"),
+    ))
     counts = (
-        grams.select(F.inline_outer(occurrences))
+        ordered.select(F.inline_outer(occurrences))
         .filter("term IS NOT NULL")
         .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        .agg(row_count().alias("tf"), F.sum("new").alias("df"))
     )
     top = counts.orderBy(F.col("tf").desc(), "term").limit(vocab)
     idf = F.log((grams.agg(row_count()).scalar() + 1) / (F.col("df") + 1)) + 1
@@ -58,16 +57,13 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
         F.map_from_entries(F.collect_list(F.struct("term", "idf")))
     )
     rows = grams.withColumn("_idf", weights.scalar()).withColumn(
-        "_hits", F.filter("grams", lambda g: F.array_contains(F.map_keys("_idf"), g))
+        "_hits", F.array_intersect(F.map_keys("_idf"), "grams")
     )
+    frequency = lambda t: F.size("grams") - F.size(F.array_remove("grams", t))
     scored = rows.select(
-        F.transform(
-            F.array_distinct("_hits"),
-            lambda t: F.struct(
-                t.alias("term"),
-                (F.size(F.filter("_hits", lambda h: h == t)) * F.element_at("_idf", t)).alias("w"),
-            ),
-        ).alias("_terms")
+        F.transform("_hits", lambda t: F.struct(
+            t.alias("term"), (frequency(t) * F.element_at("_idf", t)).alias("w")
+        )).alias("_terms")
     )
     norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     flat = scored.withColumn("_norm", norm).select("_norm", F.inline_outer("_terms"))

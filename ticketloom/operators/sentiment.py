@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,12 @@ from ticketloom.functions.dates import month_end
 from ticketloom.operators.lookup import bounded_rows
 
 
+# Up to this many entries a table is searched from front to back for every token.
+LINEAR_ROWS = 200
+# Scores are rounded so that the order of a sum cannot move one across a bucket's edge.
+SCORE_DIGITS = 12
+
+
 def _literal_map(rows: list, value_type: str) -> Column:
     pairs = [F.lit(x) for row in rows for x in row]
     return F.create_map(*pairs) if pairs else F.create_map().cast(f"map<string,{value_type}>")
@@ -27,19 +34,22 @@ def clean_lemmas(
     are joined token by token and need ``key``, a unique column, to put the texts back together.
     """
     tokens = X.letter_tokens(F.col(col))
-    stop, lemma = bounded_rows(stopwords.select("token")), bounded_rows(lemmas.select("token", "lemma"))
+    stop = bounded_rows(stopwords.select("token"))
+    lemma = bounded_rows(lemmas.select("token", "lemma"), LINEAR_ROWS)
     if stop is None or lemma is None:
         return _clean_lemmas_by_join(df, tokens, stopwords, lemmas, out, key)
-    stop_array = F.array(*[F.lit(r.token) for r in stop]).cast("array<string>")
-    kept = F.filter(tokens, lambda t: ~F.array_contains(stop_array, t))
+    remover = StopWordsRemover(
+        inputCol="_tokens", outputCol="_kept", stopWords=[r.token for r in stop], caseSensitive=True
+    )
+    kept = remover.transform(df.withColumn("_tokens", tokens))
     known = F.array(*[F.lit(r.token) for r in lemma]).cast("array<string>")
     mapped = F.transform(
-        kept,
+        "_kept",
         lambda t: F.when(
             F.array_contains(known, t), F.element_at(_literal_map(lemma, "string"), t)
         ).otherwise(t),
     )
-    return df.withColumn(out, F.array_join(mapped, " "))
+    return kept.withColumn(out, F.array_join(mapped, " ")).drop("_tokens", "_kept")
 
 
 def _clean_lemmas_by_join(df, tokens, stopwords, lemmas, out, key) -> DataFrame:
@@ -64,14 +74,16 @@ def score_sentiment(
         if key is None:
             raise ValueError("a unique key column is needed to join a lexicon")
         parts = df.select(key, F.explode_outer(tokens).alias("token"))
-        scores = parts.join(lexicon, "token").groupBy(key).agg(F.avg("polarity").alias(out))
+        scores = parts.join(lexicon, "token").groupBy(key).agg(F.round(F.avg("polarity"), SCORE_DIGITS).alias(out))
         return df.join(scores, key, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
     known = F.array(*[F.lit(r.token) for r in words]).cast("array<string>")
-    df = df.withColumn("_hits", F.filter(tokens, lambda t: F.array_contains(known, t)))
+    df = df.withColumn("_tokens", tokens).withColumn("_hits", F.array_intersect(known, "_tokens"))
     polarity = _literal_map(words, "double")
-    total = F.aggregate("_hits", F.lit(0.0), lambda acc, t: acc + F.element_at(polarity, t))
-    score = F.when(F.size("_hits") > 0, total / F.size("_hits")).otherwise(F.lit(0.0))
-    return df.withColumn(out, score).drop("_hits")
+    times = lambda t: F.size("_tokens") - F.size(F.array_remove("_tokens", t))
+    total = F.aggregate("_hits", F.lit(0.0), lambda acc, t: acc + times(t) * F.element_at(polarity, t))
+    count = F.aggregate("_hits", F.lit(0), lambda acc, t: acc + times(t))
+    score = F.when(F.size("_hits") > 0, F.round(total / count, SCORE_DIGITS)).otherwise(F.lit(0.0))
+    return df.withColumn(out, score).drop("_tokens", "_hits")
 
 
 def analyse_feedback(

@@ -54,15 +54,30 @@ def categorize(
     ordered = sorted(small, key=lambda r: (-len(r.keyword), r.pos))
     keywords = F.array(*[F.lit(r.keyword) for r in ordered])
     categories = F.array(*[F.lit(r.category) for r in ordered])
-    found = F.regexp_extract_all(padded, F.lit(_keyword_pattern([r.keyword for r in ordered])))
-    # the intersection keeps the order of its first array, so the best keyword comes first
-    best = F.get(F.array_intersect(keywords, found), F.lit(0))
-    category = F.get(categories, (F.array_position(keywords, best) - 1).cast("int"))
-    return df.withColumn("bug_category", F.coalesce(category, F.lit(default)))
+    pattern = F.lit(_keyword_pattern([r.keyword for r in ordered]))
+    found = df.withColumn("_found", F.regexp_extract_all(padded, pattern))
+    rank = _first_rank(keywords, F.col("_found"))
+    category = F.coalesce(F.get(categories, (rank - 1).cast("int")), F.lit(default))
+    return found.withColumn("bug_category", category).drop("_found")
+
+
+def _first_rank(ordered: Column, found: Column, few: int = 4) -> Column:
+    """Smallest 1-based place in ``ordered`` of any of the ``found`` words; null if there is none.
+
+    Most texts hold few keywords, which are looked up one by one. For any more, the intersection
+    keeps the order of its first array. Both stay in generated code, which a lambda would leave.
+    """
+    places = [F.array_position(ordered, F.get(found, F.lit(i))) for i in range(few)]
+    first = F.get(F.array_intersect(ordered, found), F.lit(0))
+    return (
+        F.when(F.size(found) == 0, None)
+        .when(F.size(found) <= few, F.least(*places))
+        .otherwise(F.array_position(ordered, first))
+    )
 
 
 def _keyword_pattern(longest_first: list[str]) -> str:
-    """Matches before every word, without consuming it, where a keyword starts; captures the longest.
+    """Looks ahead from every space for the longest keyword that starts there, and captures it.
 
     Nothing is consumed, so overlapping keywords are all found. Keywords are grouped by their first
     character: a position where no keyword can start fails at once.
@@ -71,7 +86,7 @@ def _keyword_pattern(longest_first: list[str]) -> str:
     for keyword in longest_first:
         by_first.setdefault(keyword[0], []).append(keyword[1:])
     options = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
-    return f"(?<= )(?=({options}) )"
+    return f"(?= ({options}) )"
 
 
 def _categorize_by_ngrams(df: DataFrame, text, rules: DataFrame, default: str) -> DataFrame:
