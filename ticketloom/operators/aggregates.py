@@ -24,6 +24,12 @@ def category_share(bugs: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("bug_count") / total)
 
 
+def _categories(cells: DataFrame):
+    """The categories seen, as an array. Its filter keeps the counts in the plan, so that the
+    subquery's shuffle equals that of the counts and is reused."""
+    return distinct_array(cells.filter("n > 0"), "bug_category")
+
+
 def version_category_grid(bugs: DataFrame) -> DataFrame:
     """Every seen version with every seen category, zero where there is no bug."""
     seen = bugs.filter("app_version IS NOT NULL AND bug_category IS NOT NULL")
@@ -31,7 +37,7 @@ def version_category_grid(bugs: DataFrame) -> DataFrame:
     rows = cells.groupBy("app_version").agg(
         F.map_from_entries(F.collect_list(F.struct("bug_category", "n"))).alias("_n")
     )
-    dense = rows.withColumn("bug_category", F.explode(distinct_array(cells, "bug_category")))
+    dense = rows.withColumn("bug_category", F.explode(_categories(cells)))
     count = F.coalesce(F.element_at("_n", F.col("bug_category")), F.lit(0))
     return dense.select("app_version", "bug_category", count.cast("bigint").alias("bug_count"))
 
@@ -43,15 +49,22 @@ def day_category_grid(bugs: DataFrame, zero_fill: bool = False) -> DataFrame:
     ``zero_fill`` asks for plain zeros.
     """
     seen = bugs.filter("review_date IS NOT NULL AND bug_category IS NOT NULL")
-    by_day = seen.groupBy(F.dayofmonth("review_date").alias("day_of_month"), "bug_category").agg(
-        row_count().alias("n")
-    )
+    dated = seen.withColumn("day_of_month", F.dayofmonth("review_date")).dropna(subset=["day_of_month"])
+    by_day = dated.groupBy("day_of_month", "bug_category").agg(row_count().alias("n"))
     days = by_day.groupBy("day_of_month").agg(
         F.map_from_entries(F.collect_list(F.struct("bug_category", "n"))).alias("_n")
     )
-    month = bugs.sparkSession.range(1, 32).select(F.col("id").cast("int").alias("day_of_month"))
-    dense = month.join(days, "day_of_month", "left").withColumn(
-        "bug_category", F.explode(distinct_array(by_day, "bug_category"))
+    # at most 31 maps, each as long as the taxonomy: one row holds them all
+    month = days.agg(
+        F.map_from_entries(F.collect_list(F.struct("day_of_month", "_n"))).alias("_days"),
+        F.array_distinct(F.flatten(F.collect_list(F.map_keys("_n")))).alias("_categories"),
+    )
+    all_days = F.sequence(F.lit(1), F.lit(31))
+    by_number = month.select("_days", "_categories", F.explode(all_days).alias("day_of_month"))
+    dense = by_number.select(
+        "day_of_month",
+        F.element_at("_days", F.col("day_of_month")).alias("_n"),
+        F.explode("_categories").alias("bug_category"),
     )
     count = F.element_at("_n", F.col("bug_category"))
     absent = F.lit(True) if zero_fill else F.col("_n").isNull()

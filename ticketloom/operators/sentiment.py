@@ -103,13 +103,19 @@ def monthly_sentiment(df: DataFrame) -> DataFrame:
         .groupBy(month_end(F.col("review_date")).alias("month_end"))
         .agg(F.avg("sentiment_score").alias("mean_sentiment"), row_count().alias("review_count"))
     )
+    # as many entries as there are months, so one row holds them and no second pass is needed
+    cells = F.collect_list(F.struct("month_end", F.struct("mean_sentiment", "review_count")))
     first = F.trunc(F.min("month_end"), "MONTH")
-    spine = months.agg(
-        F.sequence(first, F.max("month_end"), F.expr("interval 1 month")).alias("starts")
-    ).select(F.explode("starts").alias("start"))
-    spine = spine.select(F.last_day("start").alias("month_end"))
-    return spine.join(months, "month_end", "left").select(
-        "month_end", "mean_sentiment", F.coalesce("review_count", F.lit(0)).alias("review_count")
+    calendar = months.agg(
+        F.map_from_entries(cells).alias("_cells"),
+        F.sequence(first, F.max("month_end"), F.expr("interval 1 month")).alias("_starts"),
+    )
+    spine = calendar.select("_cells", F.explode("_starts").alias("_start"))
+    cell = F.element_at("_cells", F.last_day("_start"))
+    return spine.select(
+        F.last_day("_start").alias("month_end"),
+        cell["mean_sentiment"].alias("mean_sentiment"),
+        F.coalesce(cell["review_count"], F.lit(0)).alias("review_count"),
     )
 
 
