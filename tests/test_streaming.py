@@ -87,21 +87,17 @@ def test_new_tickets_once(spark, bugs, tmp_path):
     assert spark.read.parquet(target).count() == expected.count()
 
 
-def test_weekly_windows(spark, bugs, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Colombo", "America/New_York"])
+def test_weekly_windows(spark, bugs, tmp_path, zone):
     path, target = str(tmp_path / "in"), str(tmp_path / "out")
     pieces(bugs, path, F.hash("feed_id"), 4)
-    jobs.stream_weekly_counts(
-        stream_of(spark, bugs, path), target, str(tmp_path / "log"), delay="60 days"
-    ).awaitTermination()
-    assert as_set(jobs.current_weekly_counts(spark, target)) == as_set(
-        aggregates.weekly_counts(bugs).select("week_end", "app_version", "bug_category", "bug_count")
-    )
-
-
-def test_weekly_windows_need_utc(spark, bugs):
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Colombo")
+    spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        with pytest.raises(ValueError, match="UTC"):
-            jobs.weekly_windows(bugs)
+        jobs.stream_weekly_counts(
+            stream_of(spark, bugs, path), target, str(tmp_path / "log"), delay="60 days"
+        ).awaitTermination()
+        assert as_set(jobs.current_weekly_counts(spark, target)) == as_set(
+            aggregates.weekly_counts(bugs).select("week_end", "app_version", "bug_category", "bug_count")
+        )
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -83,19 +83,19 @@ def stream_new_tickets(
 def weekly_windows(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """Counts per week (Monday to Sunday), version and category; late rows within ``delay`` count.
 
-    A watermark needs a zoned time, so the naive ``review_date`` is read as UTC.
+    A watermark needs a zoned time: the naive ``review_date`` is taken as UTC in whatever zone the
+    session has, so that weeks start on Monday 00:00 as they do in the batch.
     """
-    if stream.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
-        raise ValueError("set spark.sql.session.timeZone to UTC: weeks start on Monday 00:00 UTC")
+    zone = F.current_timezone()
     weeks = F.window("_at", "7 days", "7 days", "4 days")
     counts = (
         stream.dropna(subset=["review_date", "app_version", "bug_category"])
-        .withColumn("_at", F.col("review_date").cast("timestamp"))
+        .withColumn("_at", F.from_utc_timestamp(F.col("review_date").cast("timestamp"), zone))
         .withWatermark("_at", delay)
         .groupBy(weeks.alias("week"), "app_version", "bug_category")
         .agg(F.count(F.lit(1)).alias("bug_count"))
     )
-    week_end = F.date_sub(F.col("week.end").cast("date"), 1)
+    week_end = F.date_sub(F.to_utc_timestamp("week.end", zone).cast("date"), 1)
     return counts.select(week_end.alias("week_end"), "app_version", "bug_category", "bug_count")
 
 
