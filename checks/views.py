@@ -16,7 +16,7 @@ from ticketloom.operators.lookup import (
     lemma_table, lexicon_table, severity_table, stopword_table, taxonomy_rules,
 )
 from ticketloom.operators.taxonomy import categorize
-from ticketloom.session import spread
+from ticketloom.session import materialise, spread
 
 PHRASES = [
     "app keeps crashing on login screen", "Payment failed: credit card error",
@@ -121,22 +121,26 @@ def analysed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attended(spark: SparkSession, sf: str) -> DataFrame:
-    """Tickets of crit level, attended a day after their date, and the id of each user's name."""
+    """Tickets of crit level, attended a day after their date, and the id of each user's name.
+
+    A stored table, as in the chain; so is ``sent``.
+    """
     made = tickets.by_level(ticket_view(spark, sf), ["crit"]).select(
         "TicketID", (F.col("review_date") + F.expr("interval 1 day")).alias("attended_at")
     )
     unknown = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("attended_at"))
-    return made.distinct().unionByName(
+    rows = made.distinct().unionByName(
         unknown.select(F.concat(F.lit("BUG-user"), F.col("user_id").cast("string")).alias("TicketID"), "attended_at")
     )
+    return materialise(rows, "attended")
 
 
 def sent(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of the err-level tickets, with white space around them, and blanks."""
     made = tickets.by_level(ticket_view(spark, sf), ["err"])
-    return made.select(F.concat(F.lit(" "), F.col("TicketID"), F.lit(" ")).alias("ticket_id")).unionByName(
-        table(spark, sf, "events").filter("event_type = 'view'").select(F.lit(" ").alias("ticket_id"))
-    )
+    blanks = table(spark, sf, "events").filter("event_type = 'view'").select(F.lit(" ").alias("ticket_id"))
+    padded = F.concat(F.lit(" "), F.col("TicketID"), F.lit(" "))
+    return materialise(made.select(padded.alias("ticket_id")).unionByName(blanks), "sent")
 
 
 def legacy_sent(spark: SparkSession, sf: str) -> DataFrame:

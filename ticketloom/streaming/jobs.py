@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ticketloom.operators.aggregates import KEYED
 from ticketloom.operators.ingest import upsert_latest
 from ticketloom.operators.state import DIGEST_COLUMNS, new_tickets
 from ticketloom.sources.readers import path_exists
@@ -89,7 +90,7 @@ def weekly_windows(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     zone = F.current_timezone()
     weeks = F.window("_at", "7 days", "7 days", "4 days")
     counts = (
-        stream.dropna(subset=["review_date", "app_version", "bug_category"])
+        stream.filter(KEYED)
         .withColumn("_at", F.from_utc_timestamp(F.col("review_date").cast("timestamp"), zone))
         .withWatermark("_at", delay)
         .groupBy(weeks.alias("week"), "app_version", "bug_category")
