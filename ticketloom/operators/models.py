@@ -202,7 +202,7 @@ def self_train(
 ) -> BugClassifier:
     """Add the confident rows of ``pool`` to ``train`` and fit again; unchanged if there is none."""
     scored = score_reviews(found.model, pool.filter(F.col(text) != ""), text)
-    pseudo = pseudo_labels(scored, high, low).select("features", "label")
+    pseudo = materialise(pseudo_labels(scored, high, low).select("features", "label"), "pseudo-labels")
     if pseudo.isEmpty():
         return found
     return refit(found, train.select("features", F.col("label").cast("int")).union(pseudo))
