@@ -1,0 +1,215 @@
+"""The parts that run inside tasks, without Spark."""
+
+import random
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tests.llm import brute
+from ticketloom.llm import chat, near_duplicates, packing, quality, sharding, substrings, tokenize
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+# --- tokens ------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("block", [5, 1 << 15])
+def test_ids_are_the_library_s(library, monkeypatch, block):
+    monkeypatch.setattr(tokenize, "BLOCK_CHARS", block)
+    monkeypatch.setattr(tokenize.blocks_of, "__defaults__", (block,))
+    draw = random.Random(3)
+    parts = ["a", "b", " ", " ", "\n", "\t", "é", "1", "'s", "<|endoftext|>", " ", ".", "中", "\x1c", "​", "  "]
+    texts = ["", " ", "\n", "<|endoftext|>", "x <|endoftext|> y", "don't  stop\t\tnow 'll", "a " * 5000]
+    texts += ["".join(draw.choice(parts) for _ in range(draw.randint(0, 60))) for _ in range(4000)]
+    assert [x.tolist() for x in tokenize.encoder(PATH).encode(texts)] == library(texts)
+
+
+def test_every_code_point(library):
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for start in range(0, len(points), 100_000):
+        texts = [f"a{c}a1{c}1 {c} x" for c in points[start:start + 100_000]]
+        assert [x.tolist() for x in tokenize.encoder(PATH).encode(texts)] == library(texts)
+
+
+def test_other_tokenizers_are_left_to_the_library():
+    assert tokenize.ranked_encoding(public_tokenizers.path("word_bpe_49k.json")) == (None, None)
+    ids = tokenize.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(["Hello  World"])
+    assert ids[0].tolist() == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(
+        "Hello  World", add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(0, 50)), st.integers(1, 40))
+def test_balanced_ranges_cover_all(lengths, size):
+    ranges = list(tokenize.balanced(lengths, size))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(len(lengths)))
+    assert all(sum(lengths[a:b]) <= size or b - a == 1 or sum(lengths[a:b - 1]) == 0 for a, b in ranges)
+
+
+# --- packing -----------------------------------------------------------------------------------
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
+def test_pools_fill_their_sequences(lengths):
+    lengths = sorted(lengths, reverse=True)
+    pieces = packing.place_pool(lengths, capacity=64)
+    held = {}
+    for row, start, n, sequence, offset in pieces:
+        assert held.get(sequence, 0) == offset and n > 0
+        held[sequence] = offset + n
+    assert max(held.values()) <= 64 and len(held) == -(-sum(lengths) // 64)
+    for row, length in enumerate(lengths):
+        own = [(s, n) for r, s, n, _, _ in pieces if r == row]
+        assert sum(n for _, n in own) == length and [s for s, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+
+
+def test_costs_are_balanced():
+    draw = random.Random(1)
+    lengths = sorted((draw.randint(1, 2047) for _ in range(2000)), reverse=True)
+    cost = {}
+    for _, _, n, sequence, _ in packing.place_pool(lengths):
+        cost[sequence] = cost.get(sequence, 0) + n + n * n / 12288
+    values = np.array(list(cost.values()))
+    shuffled = lengths[:]
+    draw.shuffle(shuffled)
+    plain = {}
+    for i, (_, _, n, sequence, _) in enumerate(packing.place_pool(shuffled, linear=1.0, quadratic=0.0)):
+        plain[sequence] = plain.get(sequence, 0) + n + n * n / 12288
+    assert values.std() < np.array(list(plain.values())).std()
+
+
+# --- quality -----------------------------------------------------------------------------------
+
+ALPHABET = st.sampled_from(["a", "b", "c", " ", " ", "\n", "\t", "|", "#", "é", " ", "\x1c", "."])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ALPHABET, max_size=80).map("".join))
+def test_measures(text):
+    assert quality.measure(text)[:5] == brute.base_measures(text)
+
+
+def test_measures_of_nothing():
+    assert quality.measure(None) == quality.measure("") == (0,) * len(quality.MEASURES)
+
+
+def test_many_kinds_of_words_count_alike():
+    ids = np.array([1, 2, 3, 1, 2, 3, 9])
+    assert quality.repeated_words(ids, 10) == quality.repeated_words(ids, 3_000_000) == 6
+
+
+def test_maximisation_finds_the_classes():
+    """Six rules of known accuracy, a fifth of the votes withheld."""
+    draw = random.Random(5)
+    accuracy, truth, counts = [0.95, 0.9, 0.9, 0.85, 0.8, 0.9], {}, {}
+    for _ in range(20_000):
+        good = draw.random() < 0.8
+        pattern = 0
+        for a in accuracy:
+            vote = 2 if draw.random() < 0.2 else int(good == (draw.random() < a))
+            pattern = pattern * 3 + vote
+        counts[pattern] = counts.get(pattern, 0) + 1
+        truth.setdefault(pattern, [0, 0])[good] += 1
+    found = quality.posteriors(counts, len(accuracy))
+    right = sum(truth[p][found[p] >= 0.5] for p in counts)
+    assert right / 20_000 > 0.95
+    assert quality.posteriors({}, 3) == {}
+
+
+# --- substrings --------------------------------------------------------------------------------
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=60))
+def test_super_kmers_cover_every_window_once(ws):
+    least = substrings.minimisers(ws)
+    starts, sizes = substrings.super_kmers(least)
+    assert len(least) == max(0, len(ws) - 12)
+    assert [w for s, n in zip(starts, sizes) for w in range(s, s + n)] == list(range(len(least)))
+    by_window = {}
+    for i, m in enumerate(least.tolist()):
+        assert by_window.setdefault(tuple(ws[i:i + 13]), m) == m
+
+
+def test_a_bucket_of_different_strings():
+    one, two = b" ".join(b"w%d" % i for i in range(14)), b" ".join(b"w%d" % i for i in range(1, 15))
+    assert substrings.repeats_of_bucket([(one, 5, 50, 0, 2), (two, 7, 70, 3, 2)]) == [(7, 70, 3, 1)]
+    assert substrings.repeats_of_bucket([(one, 5, 50, 0, 2), (one, 5, 51, 0, 2), (one, 6, 60, 1, 2)]) == [(6, 60, 1, 2)]
+
+
+# --- near duplicates ---------------------------------------------------------------------------
+
+def test_signatures_agree_as_often_as_the_likeness_says():
+    draw = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for changed in (3, 10, 40):
+        agreements, likenesses = [], []
+        for _ in range(30):
+            a = draw.choices(vocabulary, k=300)
+            a += a[:40]  # repeated runs weigh twice
+            b = a[:]
+            for i in draw.sample(range(len(b)), changed):
+                b[i] = draw.choice(vocabulary)
+            x, y = (near_duplicates.shingles(" ".join(t)) for t in (a, b))
+            agreements.append((near_duplicates.signature(*x) == near_duplicates.signature(*y)).mean())
+            likenesses.append(near_duplicates.likeness(x, y))
+            assert near_duplicates.likeness(x, y) == pytest.approx(brute.jaccard(*(brute.shingles(" ".join(t)) for t in (a, b))))
+        assert np.mean(agreements) == pytest.approx(np.mean(likenesses), abs=0.03)
+
+
+@pytest.mark.parametrize("text", ["one", "one two three four five", "a " * 20_000])
+def test_signatures_of_short_and_uniform_texts(text):
+    runs, counts = near_duplicates.shingles(text)
+    made = near_duplicates.signature(runs, counts)
+    assert (made == near_duplicates.signature(runs, counts)).all() and len(set(near_duplicates.bands_of(made).tolist())) == 32
+
+
+# --- chat --------------------------------------------------------------------------------------
+
+TEXTS = st.lists(st.sampled_from(
+    ["</s>", "[INST]", " [/INST]", "<s> ", "\\", "<", "[", "[INS", "T]", "<</SYS>>", "<</NAME>> ", " ", "\n", "ok", "é"]
+), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "[INST] "]), TEXTS), max_size=6))
+def test_formatted_turns_read_back(turns):
+    template, reader = chat.INSTRUCT, chat.Reader(chat.INSTRUCT)
+    for role, text in turns:
+        before, after = template.marks(role)
+        assert not template.pattern.search(template.escape(text)) and chat.unescape(template.escape(text)) == text
+        for piece, loss in ((before, False), (template.escape(text), role == "assistant"), (after, False)):
+            reader.feed(piece, loss, True)
+    import hashlib
+
+    n, turns_sha, loss_chars, loss_sha, _, _ = reader.digest()
+    said = "".join(t for r, t in turns if r == "assistant")
+    assert n == len(turns) and loss_chars == len(said)
+    assert turns_sha == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert loss_sha == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_marks_must_be_escapable():
+    with pytest.raises(ValueError):
+        chat.Template({"user": ("|", "|")}, ("<<", ">>", "<>"), frozenset(), {})
+
+
+# --- shards ------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("total", [1, 2, 3, 10, 97, 1000])
+def test_the_network_permutes(total):
+    base, keys = sharding.base_of(total), sharding.round_keys(7)
+    assert sorted(sharding.permute_once(x, base, keys) for x in range(base * base)) == list(range(base * base))
+
+
+def test_checksums_are_those_of_zlib():
+    assert crc32(b"") == 0
