@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from checks import queries as Q
-from checks.views import FEEDBACK_PHRASES, PHRASES
+from checks.views import CATEGORY_WORDS, FEEDBACK_PHRASES, GROUP_WORDS, PHRASES, TAUGHT
 from ticketloom import fixed_values as V
 
 SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
@@ -62,9 +62,13 @@ def report(x: str) -> str:
     return strip(f"regexp_replace({cleaned}, '(?im)^[{SPACE}]*[\"'']?({labels}):\\**[{SPACE}]*', '', 'g')")
 
 
-def ticket(text: str, date: str, version: str) -> str:
+def key(text: str, date: str, version: str) -> str:
     parts = [f"coalesce(cast({x} AS varchar), 'nan')" for x in (text, date, version)]
-    return f"'BUG-' || upper(substr(sha1({parts[0]} || '_' || {parts[1]} || '_' || {parts[2]}), 1, 8))"
+    return f"upper(sha1({parts[0]} || '_' || {parts[1]} || '_' || {parts[2]}))"
+
+
+def ticket(text: str, date: str, version: str) -> str:
+    return f"{key(text, date, version)} AS ticket_key, 'BUG-' || substr({key(text, date, version)}, 1, 8) AS TicketID"
 
 
 def tokens(x: str) -> str:
@@ -113,7 +117,7 @@ BUCKET = (
     "WHEN sentiment_score > 0.3 AND sentiment_score <= 1 THEN 'Positive' END"
 )
 RANK = "CASE priority_level " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(V.PRIORITIES)) + " END"
-DETAILS = "TicketID, bug_category, app_version, review_date, review_description"
+DETAILS = "ticket_key, TicketID, bug_category, app_version, review_date, review_description"
 
 CTES: dict[str, str] = {
     "phrases(pid, phrase)": values(enumerate(PHRASES)),
@@ -154,21 +158,21 @@ CTES: dict[str, str] = {
       p.review_date, p.app_version
     FROM predictions p LEFT JOIN matched m USING (review_id) WHERE p.is_bug_report = 1""",
     "tickets": f"""
-    SELECT {ticket('c.review_description', 'c.review_date', 'c.app_version')} AS TicketID,
+    SELECT {ticket('c.review_description', 'c.review_date', 'c.app_version')},
       c.review_date AS "Timestamp", coalesce(s.syslog_level, 'debug') AS syslog_level,
       coalesce(s.severity_code, 7) AS severity_code, c.bug_category, c.app_version, c.review_date,
       c.review_description
     FROM categorized c LEFT JOIN severity s ON s.category = c.bug_category""",
     "attended": """
-    SELECT DISTINCT TicketID, review_date + INTERVAL 1 DAY AS attended_at FROM tickets WHERE syslog_level = 'crit'
-    UNION ALL SELECT 'BUG-user' || user_id, max(ts) FROM events GROUP BY user_id""",
+    SELECT DISTINCT ticket_key, TicketID, review_date + INTERVAL 1 DAY AS attended_at FROM tickets WHERE syslog_level = 'crit'
+    UNION ALL SELECT 'user' || user_id, 'BUG-user' || user_id, max(ts) FROM events GROUP BY user_id""",
     "sent": """
-    SELECT ' ' || TicketID || ' ' AS ticket_id FROM tickets WHERE syslog_level = 'err'
-    UNION ALL SELECT ' ' FROM events WHERE event_type = 'view'""",
-    "legacy": "SELECT 'BUG-' || user_id AS ticket_id FROM events",
+    SELECT ' ' || ticket_key || ' ' AS ticket_key, ' ' || TicketID || ' ' AS ticket_id FROM tickets WHERE syslog_level = 'err'
+    UNION ALL SELECT ' ', ' ' FROM events WHERE event_type = 'view'""",
+    "legacy": "SELECT NULL AS ticket_key, 'BUG-' || user_id AS ticket_id FROM events",
     "unsent": f"""
     SELECT {DETAILS} FROM tickets t
-    WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE trim(s.ticket_id) = t.TicketID)""",
+    WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE trim(s.ticket_key) = t.ticket_key)""",
     "feedback": "SELECT * FROM predictions WHERE is_bug_report = 0",
     "feedback_text": lemma_rows("feedback", "review_id", "review_description"),
     "feedback_score": score_rows("feedback_text", "review_id", "cleaned_text"),
@@ -258,6 +262,22 @@ CTES: dict[str, str] = {
     "weighted": """
     SELECT review_id, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY review_id)) AS norm
     FROM row_terms JOIN vocabulary USING (term)""",
+    "taught": f"""
+    SELECT doc_id, cast(doc_id % {TAUGHT} NOT IN ({listing(FEEDBACK_PHRASES)}) AS int) AS label FROM labels""",
+    "phrase_reviews": f"""
+    SELECT cast(event_id AS varchar) AS review_id, 'user' || user_id AS user_name, phrase AS review_description, ts AS review_date,
+      '1.0' AS app_version, CASE WHEN k % 10 <> 0 THEN cast(k % 5 + 1 AS double) END AS rating,
+      cast(pid NOT IN ({listing(FEEDBACK_PHRASES)}) AS int) AS is_bug
+    FROM (SELECT *, cast(props->>'k' AS int) AS k FROM events) JOIN phrases ON pid = k % {len(PHRASES)}""",
+    "planted_words(n, i, word)": values((n, i, w) for n, ws in enumerate(CATEGORY_WORDS.values()) for i, w in enumerate(ws)),
+    "planted_names(n, known)": values(enumerate(CATEGORY_WORDS)),
+    "planted_bugs": """
+    SELECT a.word || ' ' || b.word AS review_description, c.known, e.ts AS review_date, cast(e.event_id AS varchar) AS app_version,
+      CASE WHEN e.event_id % 10 = 9 THEN 'Other' WHEN e.event_id % 97 <> 5 THEN c.known END AS given
+    FROM events e JOIN planted_names c ON c.n = e.event_id % 3
+    JOIN planted_words a ON a.n = c.n AND a.i = e.event_id % 4 JOIN planted_words b ON b.n = c.n AND b.i = e.user_id % 4""",
+    "group_texts(g, cleaned_text)": values((i, " ".join(ws)) for i, ws in enumerate(GROUP_WORDS)),
+    "grouped_texts": "SELECT event_id, cleaned_text FROM events JOIN group_texts ON g = user_id % 5",
 }
 NAMES = {re.match(r"\w+", head).group(): head for head in CTES}
 
@@ -354,7 +374,7 @@ FROM predictions p LEFT JOIN matched m USING (review_id)""",
 SELECT review_id, bug_category, coalesce(syslog_level, 'debug') AS syslog_level,
   coalesce(severity_code, 7) AS severity_code
 FROM categorized LEFT JOIN severity ON category = bug_category""",
-    "ticket_id": f"SELECT review_id, {ticket('review_description', 'review_date', 'app_version')} AS TicketID FROM categorized",
+    "ticket_id": f"SELECT review_id, {ticket('review_description', 'review_date', 'app_version')} FROM categorized",
     "parse_dates": """
 SELECT event_id, CASE event_type WHEN 'click' THEN date_trunc('day', ts)
   WHEN 'error' THEN NULL WHEN 'purchase' THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM events""",
@@ -396,7 +416,41 @@ SELECT bug_category, 'Summarize the following bug reports about ' || bug_categor
   || string_agg(coalesce(review_description, ''), chr(10) || chr(10) ORDER BY sample_rank) AS prompt
 FROM ({SAMPLE}) WHERE sample_rank <= 25 GROUP BY bug_category""",
     "text_features": """
-SELECT review_id, CASE WHEN review_description = '' THEN 0.0::double ELSE 1.0::double END AS norm FROM predictions""",
+SELECT review_id, CASE WHEN review_description = '' THEN 0.0::double ELSE 1.0::double END AS norm,
+  CASE WHEN review_description = '' THEN 0 ELSE cast(len(string_split(review_description, ' ')) AS int) END AS tokens
+FROM predictions""",
+    "csv_round_trip": "SELECT review_description, bug_category, review_date, app_version FROM categorized",
+    "table_round_trip": "SELECT review_id, rating, review_date FROM predictions",
+    "file_before_table": "SELECT ticket_key, ticket_id, 0 AS replaced FROM sent",
+    "required_columns": "SELECT rating, review_id FROM reviews",
+    "parse_dates_strict": """
+SELECT event_id, CASE event_type WHEN 'click' THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS parsed
+FROM events WHERE event_type <> 'error'""",
+    "held_out_report": f"""
+WITH shares AS (SELECT label, cast(count(*) - floor(count(*) * 0.75 + 0.5) AS bigint) AS held FROM taught GROUP BY label)
+SELECT cast(label AS varchar) AS class, 1.0::double AS "precision", 1.0::double AS recall, 1.0::double AS f1, held AS support FROM shares
+UNION ALL SELECT name, 1.0, 1.0, 1.0, cast(sum(held) AS bigint) FROM shares, (VALUES ('macro avg'), ('weighted avg'), ('accuracy')) n(name)
+GROUP BY name""",
+    "bug_classifier": f"""
+SELECT c::double AS c, class_weight, 1::bigint AS settings_chosen, 1.0::double AS best_f1
+FROM (VALUES {', '.join(f'({c})' for c in V.GRID_C)}) g(c), (VALUES ('unit'), ('balanced')) w(class_weight)""",
+    "self_training": "SELECT review_id, is_bug AS is_bug_report, is_bug AS likely FROM phrase_reviews",
+    "bug_predictions": f"""
+SELECT review_id, user_name, t AS review_description, review_date, app_version,
+  coalesce(rating, (SELECT median(rating) FROM phrase_reviews)) AS rating, is_bug AS is_bug_report, is_bug AS likely,
+  {" + ".join(f"cast(contains(t, '{k}') AS int)" for k in V.BUG_KEYWORDS)} AS bug_keyword_count,
+  cast(length(t) AS int) AS review_length
+FROM (SELECT *, {spaced('review_description')} AS t FROM phrase_reviews)""",
+    "reclassified": """
+SELECT review_description, coalesce(CASE WHEN given = 'Other' THEN known END, given) AS bug_category, review_date, app_version,
+  CASE WHEN given = 'Other' THEN known END AS predicted_category FROM planted_bugs""",
+    "other_clusters": """
+SELECT min(event_id) AS first_review, count(*) AS reviews, 1::bigint AS texts FROM grouped_texts GROUP BY cleaned_text""",
+    "topics": "SELECT DISTINCT array_to_string(list_sort(string_split(cleaned_text, ' ')), ' ') AS words FROM grouped_texts",
+    "topic_vocabulary": """
+SELECT term, count(*) AS tf, round(ln((1 + (SELECT count(*) FROM analysed)) / (1 + count(DISTINCT review_id))) + 1, 6) AS idf
+FROM (SELECT review_id, unnest(string_split(cleaned_text, ' ')) AS term FROM analysed) WHERE length(term) >= 2
+GROUP BY term ORDER BY tf DESC, term LIMIT 1000""",
     "bugs_only": "SELECT review_id, review_description FROM predictions WHERE is_bug_report = 1",
     "feedback_only": "SELECT review_id, review_description FROM predictions WHERE is_bug_report = 0",
     "tickets_by_level": f"SELECT * FROM tickets WHERE syslog_level IN ({listing(Q.LEVELS)})",
@@ -413,13 +467,13 @@ FROM categorized""",
 SELECT bug_category, s.syslog_level, s.severity_code FROM summaries JOIN severity s ON s.category = bug_category
 WHERE s.syslog_level = 'err'""",
     "attended_report": """
-SELECT TicketID, attended_at, "Timestamp", syslog_level, cast(severity_code AS double) AS severity_code, bug_category, app_version, review_date,
-  review_description FROM attended LEFT JOIN tickets USING (TicketID)""",
+SELECT a.ticket_key, a.TicketID, attended_at, "Timestamp", syslog_level, cast(severity_code AS double) AS severity_code, bug_category,
+  app_version, review_date, review_description FROM attended a LEFT JOIN tickets t ON t.ticket_key = a.ticket_key""",
     "new_tickets": "SELECT * FROM unsent",
     "mark_attended": f"""
-SELECT TicketID, attended_at FROM attended
-UNION ALL SELECT DISTINCT TicketID, timestamp '{Q.MARKED_AT}' FROM tickets
-WHERE syslog_level IN ('crit', 'info') AND TicketID NOT IN (SELECT TicketID FROM attended)""",
+SELECT ticket_key, TicketID, attended_at FROM attended
+UNION ALL SELECT DISTINCT ticket_key, TicketID, timestamp '{Q.MARKED_AT}' FROM tickets
+WHERE syslog_level IN ('crit', 'info') AND ticket_key NOT IN (SELECT ticket_key FROM attended)""",
     "category_insights": f"""
 SELECT n.bug_category, {report('summary')} AS summary, {report('key_findings')} AS key_findings,
   {report('suggested_actions')} AS suggested_actions, priority_level, s.syslog_level, s.severity_code, b.bug_count
@@ -432,9 +486,10 @@ FROM (SELECT 'legacy' AS history, trim(ticket_id) AS id FROM legacy
       UNION ALL SELECT 'sent', trim(ticket_id) FROM sent) WHERE id <> '' GROUP BY history""",
     "digest_first_run": f"""
 SELECT {DETAILS} FROM tickets
-ORDER BY review_date DESC NULLS LAST, TicketID, review_description, app_version LIMIT 10""",
+ORDER BY review_date DESC NULLS LAST, TicketID, ticket_key LIMIT 10""",
     "sent_state_next": """
-SELECT trim(ticket_id) AS ticket_id FROM sent WHERE trim(ticket_id) <> '' UNION SELECT TicketID FROM unsent""",
+SELECT trim(ticket_key) AS ticket_key, trim(ticket_id) AS ticket_id FROM sent WHERE trim(ticket_key) <> ''
+UNION SELECT ticket_key, TicketID FROM unsent""",
     "upsert_latest": UPSERT.format(batch="developer_response IS NULL, "),
     "bugs_per_category": BY_CATEGORY,
     "category_share": f"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ from ticketloom.operators.lookup import (
     lemma_table, lexicon_table, severity_table, small_table, stopword_table, taxonomy_rules,
 )
 from ticketloom.plans import daily
-from ticketloom.session import shared_dir
+from ticketloom.session import materialise, shared_dir
+from ticketloom.sources import readers, writers
 from ticketloom.streaming import jobs
 
 # The selections of the filter queries.
@@ -69,6 +70,52 @@ def summary_export(spark, sf):
     return rollup.export_summary(T.summaries(spark, sf), "Login Error")
 
 
+@query
+def csv_round_trip(spark, sf):
+    path = shared_dir(spark, "bugs") + ".csv"
+    rows = T.categorized(spark, sf).select(*S.CATEGORIZED_BUGS.names)
+    writers.write_csv(rows, path)
+    return readers.read_source(spark, path, "no_such_table", S.CATEGORIZED_BUGS)
+
+
+@query
+def table_round_trip(spark, sf):
+    """A table replaced by a second write, found when no file is there."""
+    name, rows = "check_" + uuid.uuid4().hex[:12], T.predictions(spark, sf).select("review_id", "rating", "review_date")
+    writers.write_table(rows.limit(5), name)
+    writers.write_table(rows, name)
+    found = readers.read_source(spark, shared_dir(spark, "nothing"), name)
+    kept = materialise(found if readers.table_exists(spark, name) else found.limit(0), "table")
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
+@query
+def file_before_table(spark, sf):
+    path = shared_dir(spark, "sent")
+    writers.replace_unless_empty(T.sent(spark, sf), path)
+    replaced = writers.replace_unless_empty(T.sent(spark, sf).limit(0), path)
+    return readers.read_sent(spark, path, "no_such_table").withColumn("replaced", F.lit(int(replaced)))
+
+
+@query
+def required_columns(spark, sf):
+    """Columns that are there, in the order asked for, of a feed whose required columns were checked."""
+    feed = ingest.require_columns(T.reviews(spark, sf), ["review_id", "review_description"])
+    return ingest.available_columns(feed, ["rating", "no_such_column", "review_id"])
+
+
+@query
+def parse_dates_strict(spark, sf):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    written = F.when(F.col("event_type") == "click", day).when(
+        F.col("event_type") == "error", F.concat(day, F.lit(" at noon"))
+    ).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return T.table(spark, sf, "events").filter("event_type <> 'error'").select(
+        "event_id", D.parse_ts(written, strict=True).alias("parsed")
+    )
+
+
 # --- projections -------------------------------------------------------------------------------
 
 @query
@@ -132,7 +179,7 @@ def severity_map(spark, sf):
 
 @query
 def ticket_id(spark, sf):
-    return tickets.with_ticket_id(T.categorized(spark, sf)).select("review_id", "TicketID")
+    return tickets.with_ticket_id(T.categorized(spark, sf)).select("review_id", "ticket_key", "TicketID")
 
 
 @query
@@ -247,11 +294,18 @@ def summary_prompt(spark, sf):
 
 @query
 def text_features(spark, sf):
+    """Words counted by the vectors' first two stages, and the vectors' length."""
     clean = T.predictions(spark, sf).select("review_id", "review_description")
-    model = models.fit_text_features(clean, "review_description", dimensions=512)
+    model = models.fit_text_features(clean, "review_description")
+    counted = model.stages[1].transform(model.stages[0].transform(clean)).select("review_id", "_tf")
     made = models.text_features(clean, "review_description", model=model)
-    squares = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda acc, x: acc + x * x)
-    return rounded(made.select("review_id", F.sqrt(squares).alias("norm")), "norm")
+    both = counted.join(made.select("review_id", "features"), "review_id")
+    add = lambda power: lambda acc, x: acc + F.pow(x, F.lit(power))
+    return rounded(both.select(
+        "review_id",
+        F.aggregate(F.unwrap_udt("_tf")["values"], F.lit(0.0), add(1)).cast("int").alias("tokens"),
+        F.sqrt(F.aggregate(F.unwrap_udt("features")["values"], F.lit(0.0), add(2))).alias("norm"),
+    ), "norm")
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -510,7 +564,7 @@ def classification_report(spark, sf):
 def _fitted(spark, sf):
     rows = T.training(spark, sf)
     featurizer = models.fit_text_features(rows, "processed_review")
-    train = models.text_features(rows, "processed_review", model=featurizer)
+    train = materialise(models.text_features(rows, "processed_review", model=featurizer), "train")
     return featurizer, train, models.fit_bug_classifier(train, "doc_id")
 
 
@@ -523,14 +577,19 @@ def held_out_report(spark, sf):
 
 @query
 def bug_classifier(spark, sf):
+    """The settings searched, how many were chosen, and the chosen one's score."""
     _, _, found = _fitted(spark, sf)
-    schema = S.schema_of("c double, class_weight string, f1_mean double, f1_std double, chosen int")
-    return small_table(spark, found.scores, schema)
+    scores = small_table(spark, found.scores, S.CLASSIFIER_SCORES)
+    chosen = F.col("chosen") == 1
+    return scores.select(
+        "c", "class_weight", scores.agg(F.count_if(chosen)).scalar().alias("settings_chosen"),
+        F.round(scores.agg(F.max(F.when(chosen, F.col("f1_mean")))).scalar(), 6).alias("best_f1"),
+    )
 
 
 def _pool(spark, sf, featurizer):
-    prepared = models.prediction_table(T.reviews(spark, sf))
-    return models.text_features(prepared, "processed_review", model=featurizer)
+    prepared = models.prediction_table(T.phrase_reviews(spark, sf))
+    return materialise(models.text_features(prepared, "processed_review", model=featurizer), "pool")
 
 
 @query
@@ -538,25 +597,35 @@ def self_training(spark, sf):
     featurizer, train, found = _fitted(spark, sf)
     pool = _pool(spark, sf, featurizer)
     again = models.self_train(found, train, pool)
-    return models.score_reviews(again.model, pool).select("review_id", "is_bug_report", "bug_confidence")
+    return models.score_reviews(again.model, pool).select(
+        "review_id", "is_bug_report", (F.col("bug_confidence") > 0.5).cast("int").alias("likely")
+    )
 
 
 @query
 def bug_predictions(spark, sf):
     labelled = T.training(spark, sf).select(F.col("processed_review").alias("review"), "label")
-    return daily.predict_bugs(T.reviews(spark, sf), labelled)[0]
+    scored = daily.predict_bugs(T.phrase_reviews(spark, sf), labelled)[0]
+    return scored.select(
+        "review_id", "user_name", "review_description", "review_date", "app_version", "rating", "is_bug_report",
+        (F.col("bug_confidence") > 0.5).cast("int").alias("likely"), "bug_keyword_count", "review_length",
+    )
 
 
 @query
 def reclassified(spark, sf):
-    return models.reclassify_other(T.categorized(spark, sf).drop("review_id"))
+    return models.reclassify_other(T.planted_bugs(spark, sf)).select(
+        "review_description", "bug_category", "review_date", "app_version", "predicted_category"
+    )
 
 
 @query
 def other_clusters(spark, sf):
-    _, other = taxonomy.split_other(T.categorized(spark, sf))
-    made = models.text_features(other, "review_description")
-    return models.cluster_other(made).groupBy("cluster").agg(F.count(F.lit(1)).alias("reviews"))
+    made = models.text_features(T.grouped_texts(spark, sf), "cleaned_text")
+    return models.cluster_other(made).groupBy("cluster").agg(
+        F.min("event_id").alias("first_review"), F.count(F.lit(1)).alias("reviews"),
+        F.count_distinct("cleaned_text").alias("texts"),
+    ).drop("cluster")
 
 
 @query
@@ -564,10 +633,16 @@ def key_phrases(spark, sf):
     return rounded(phrases.key_phrases(T.analysed(spark, sf)), "importance", places=4)
 
 
+@query
+def topic_vocabulary(spark, sf):
+    return rounded(phrases.topic_vocabulary(T.analysed(spark, sf)), "idf")
+
+
 @query
 def topics(spark, sf):
-    return phrases.topics(T.analysed(spark, sf)).select(
-        "topic", F.array_join("words", " ").alias("words")
+    """Topics of texts from five groups of words; the words of each sorted, the topics unnumbered."""
+    return phrases.topics(T.grouped_texts(spark, sf), words=3, iterations=60).select(
+        F.array_join(F.array_sort("words"), " ").alias("words")
     )
 
 

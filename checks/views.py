@@ -7,7 +7,7 @@ plant a null text, an empty text, a null date or a null rating.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as X
@@ -16,7 +16,7 @@ from ticketloom.operators.lookup import (
     lemma_table, lexicon_table, severity_table, stopword_table, taxonomy_rules,
 )
 from ticketloom.operators.taxonomy import categorize
-from ticketloom.session import materialise, spread
+from ticketloom.session import materialise, shared_dir, spread
 
 PHRASES = [
     "app keeps crashing on login screen", "Payment failed: credit card error",
@@ -34,9 +34,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table as a stream of four files, one a micro-batch: dates come late and out of order."""
+    path, events = shared_dir(spark, "event-files"), spark.read.parquet(f"{sf}/events.parquet")
+    for piece in range(4):
+        part = events.filter(F.pmod(F.hash("event_id"), F.lit(4)) == piece)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def scored_feed(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
@@ -126,27 +129,34 @@ def attended(spark: SparkSession, sf: str) -> DataFrame:
     A stored table, as in the chain; so is ``sent``.
     """
     made = tickets.by_level(ticket_view(spark, sf), ["crit"]).select(
-        "TicketID", (F.col("review_date") + F.expr("interval 1 day")).alias("attended_at")
+        "ticket_key", "TicketID", (F.col("review_date") + F.expr("interval 1 day")).alias("attended_at")
     )
     unknown = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("attended_at"))
     rows = made.distinct().unionByName(
-        unknown.select(F.concat(F.lit("BUG-user"), F.col("user_id").cast("string")).alias("TicketID"), "attended_at")
+        unknown.select(
+            F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("ticket_key"),
+            F.concat(F.lit("BUG-user"), F.col("user_id").cast("string")).alias("TicketID"), "attended_at",
+        )
     )
     return materialise(rows, "attended")
 
 
 def sent(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids of the err-level tickets, with white space around them, and blanks."""
+    """Keys and ids of the err-level tickets, with white space around them, and blanks."""
     made = tickets.by_level(ticket_view(spark, sf), ["err"])
-    blanks = table(spark, sf, "events").filter("event_type = 'view'").select(F.lit(" ").alias("ticket_id"))
-    padded = F.concat(F.lit(" "), F.col("TicketID"), F.lit(" "))
-    return materialise(made.select(padded.alias("ticket_id")).unionByName(blanks), "sent")
+    blanks = table(spark, sf, "events").filter("event_type = 'view'").select(
+        F.lit(" ").alias("ticket_key"), F.lit(" ").alias("ticket_id")
+    )
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    rows = made.select(padded("ticket_key").alias("ticket_key"), padded("TicketID").alias("ticket_id"))
+    return materialise(rows.unionByName(blanks), "sent")
 
 
 def legacy_sent(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids of the old all-digit form."""
+    """Ids of the old all-digit form, from before there were keys."""
     return table(spark, sf, "events").select(
-        F.concat(F.lit("BUG-"), F.col("user_id").cast("string")).alias("ticket_id")
+        F.lit(None).cast("string").alias("ticket_key"),
+        F.concat(F.lit("BUG-"), F.col("user_id").cast("string")).alias("ticket_id"),
     )
 
 
@@ -193,8 +203,66 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _phrase(number) -> Column:
+    return F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (number + 1).cast("int"))
+
+
+# The last phrase has no Latin letter: cleaned it is empty, and an empty text is not learnt from.
+TAUGHT = len(PHRASES) - 1
+
+
 def training(spark: SparkSession, sf: str) -> DataFrame:
-    """Every labelled document: its cleaned text, and whether it is toxic."""
-    return table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
-        "doc_id", X.clean_spaced(F.col("text")).alias("processed_review"), F.col("toxic").alias("label")
+    """Every labelled document as a training text whose class its phrase decides: bug or feedback."""
+    number = F.col("doc_id") % TAUGHT
+    return table(spark, sf, "labels").select(
+        "doc_id",
+        X.clean_spaced(F.concat(_phrase(number), F.lit(" "), F.col("quality").cast("string"))).alias("processed_review"),
+        F.when(number.isin(FEEDBACK_PHRASES), 0).otherwise(1).alias("label"),
+    )
+
+
+def phrase_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews whose text is the phrase of their event alone; its class is known."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf, "events").withColumn("k", k)
+    return rows.select(
+        F.col("event_id").cast("string").alias("review_id"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user_name"),
+        _phrase(F.col("k") % len(PHRASES)).alias("review_description"),
+        F.col("ts").alias("review_date"), F.lit("1.0").alias("app_version"),
+        F.when(F.col("k") % 10 != 0, F.col("k") % 5 + 1).cast("double").alias("rating"),
+    )
+
+
+# Words of three categories, and of five kinds of text that share none.
+CATEGORY_WORDS = {
+    "Payment Issue": ["payment", "card", "bill", "recharge"],
+    "Server Error": ["server", "timeout", "backend", "gateway"],
+    "UI Issue": ["layout", "button", "screen", "interface"],
+}
+GROUP_WORDS = [
+    ["river", "water", "boat"], ["engine", "wheel", "brake"], ["bread", "butter", "honey"],
+    ["guitar", "drum", "violin"], ["winter", "snow", "frost"],
+]
+
+
+def planted_bugs(spark: SparkSession, sf: str) -> DataFrame:
+    """Bugs whose text is two words of a category; every tenth is given as ``Other``, a few have no category."""
+    names = list(CATEGORY_WORDS)
+    lists = F.array(*[F.array(*map(F.lit, CATEGORY_WORDS[n])) for n in names])
+    own = F.get(lists, (F.col("event_id") % 3).cast("int"))
+    word = lambda c: F.get(own, (F.col(c) % 4).cast("int"))
+    known = F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 3).cast("int"))
+    return table(spark, sf, "events").select(
+        F.concat_ws(" ", word("event_id"), word("user_id")).alias("review_description"),
+        F.when(F.col("event_id") % 10 == 9, "Other").when(F.col("event_id") % 97 != 5, known).alias("bug_category"),
+        F.col("ts").alias("review_date"), F.col("event_id").cast("string").alias("app_version"),
+    )
+
+
+def grouped_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A text for every event: the three words of one of five groups."""
+    texts = F.array(*[F.lit(" ".join(words)) for words in GROUP_WORDS])
+    return table(spark, sf, "events").select(
+        "event_id", F.get(texts, (F.col("user_id") % 5).cast("int")).alias("cleaned_text")
     )

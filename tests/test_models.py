@@ -108,6 +108,33 @@ def test_reclassify_without_labels_or_others(spark):
     assert models.reclassify_other(none).first().cluster is None
 
 
+@pytest.mark.parametrize("texts,k,expected", [(["same"] * 6, 2, 1), (["a", "b", "c", "c"], 5, 3), ([""] * 3, 5, 1)])
+def test_fewer_distinct_texts_than_clusters(spark, texts, k, expected):
+    made = models.cluster_other(models.text_features(spark.createDataFrame([(t,) for t in texts], "t string"), "t"), k=k)
+    assert made.count() == len(texts) and made.select("cluster").distinct().count() == expected
+
+
+def test_null_categories_are_kept(spark):
+    rows = [("a", None, None, None), ("b", "UI Issue", None, None), ("c", "Other", None, None)]
+    made = {r.review_description: r.bug_category for r in models.reclassify_other(spark.createDataFrame(rows, BUGS)).collect()}
+    assert made == {"a": None, "b": "UI Issue", "c": "UI Issue"}
+
+
+def test_supplied_vectors(spark):
+    df = spark.createDataFrame([("abc", [0.5, 1.0]), ("", [3.0, 4.0])], "t string, v array<float>")
+    found = models.text_features(df, "t", vectors="v").select("t", vector_to_array("features").alias("f"))
+    assert {r.t: r.f for r in found.collect()} == {"abc": [0.5, 1.0], "": [0.0, 0.0]}
+
+
+def test_topics_do_not_depend_on_partitions(spark):
+    words = "pay card bill bank server down gone slow great love nice app".split()
+    df = spark.range(120).select(F.concat_ws(" ", *[
+        F.get(F.array(*map(F.lit, words)), ((F.col("id") * (i + 3)) % len(words)).cast("int")) for i in range(4)
+    ]).alias("cleaned_text"))
+    runs = [phrases.topics(df.repartition(n), k=3, words=4).collect() for n in (3, 7)]
+    assert runs[0] == runs[1]
+
+
 def test_key_phrases_by_hand(spark):
     df = spark.createDataFrame([("good app good",), ("bad app",), ("",), ("a i",)], "cleaned_text string")
     found = {r.term: r.importance for r in phrases.key_phrases(df).collect()}

@@ -1,15 +1,17 @@
 """Readers, writers and the daily chain."""
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ticketloom import schemas as S
-from ticketloom.operators import tickets
+from ticketloom.operators import rollup, tickets
 from ticketloom.operators.lookup import severity_table
 from ticketloom.plans import daily
-from ticketloom.sources import readers, writers
+from ticketloom.sources import readers, versions, writers
 
 ROWS = [
     ('one, "quoted"\nsecond line', "UI Issue", dt.datetime(2024, 1, 2, 3, 4, 5), "1.2"),
@@ -38,8 +40,29 @@ def test_csv_by_name(spark, tmp_path):
         readers.read_source(spark, str(path), schema=S.SENT_TICKETS)
 
 
+def test_csv_files_of_other_headers_fail(spark, tmp_path):
+    (tmp_path / "two.csv").mkdir()
+    (tmp_path / "two.csv" / "a.csv").write_text("review,label\none,1\n")
+    (tmp_path / "two.csv" / "b.csv").write_text("label,review\n0,two\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        readers.read_csv(spark, str(tmp_path / "two.csv"), S.TRAINING).collect()
+
+
+def test_versions_survive_a_dead_writer(spark, tmp_path):
+    path, one = str(tmp_path / "t"), spark.range(3)
+    assert versions.current(spark, path) is None and versions.read_current(spark, path, one.schema).count() == 0
+    versions.write_next(one, path)
+    versions.write_next(versions.read_current(spark, path, one.schema).union(one), path)
+    dead = tmp_path / "t" / "v=000003"
+    dead.mkdir()
+    (dead / "part-0.parquet").write_text("half a file")
+    assert versions.read_current(spark, path, one.schema).count() == 6
+    assert versions.write_next(one, path).endswith("v=000004")
+    assert versions.read_current(spark, path, one.schema).count() == 3 and not dead.exists()
+
+
 def test_file_before_table_before_error(spark, tmp_path):
-    df = spark.createDataFrame([("BUG-1",)], S.SENT_TICKETS)
+    df = spark.createDataFrame([("A1", "BUG-1")], S.SENT_TICKETS)
     assert not readers.table_exists(spark, "sent_tickets_test")
     with pytest.raises(FileNotFoundError):
         readers.read_source(spark, str(tmp_path / "no"), "sent_tickets_test", S.SENT_TICKETS)
@@ -58,7 +81,7 @@ def test_file_before_table_before_error(spark, tmp_path):
 
 def test_history_is_never_replaced_by_nothing(spark, tmp_path):
     path = str(tmp_path / "reviews")
-    df = spark.createDataFrame([("BUG-1",)], S.SENT_TICKETS)
+    df = spark.createDataFrame([("A1", "BUG-1")], S.SENT_TICKETS)
     assert writers.replace_unless_empty(df, path)
     assert not writers.replace_unless_empty(df.limit(0), path)
     assert spark.read.parquet(path).count() == 1
@@ -95,20 +118,54 @@ def test_daily_chain_runs_twice(spark, tmp_path):
         [(f"{t} {i}", int(t in BAD)) for t in GOOD + BAD for i in range(6)], S.TRAINING
     )
     out = str(tmp_path / "out")
+    read = lambda paths: {name: spark.read.parquet(path) for name, path in paths.items()}
     paths = daily.run_daily(spark, feed(spark, 60), training, out, grid=[1.0])
-    first = {name: spark.read.parquet(path) for name, path in paths.items()}
-    assert list(first) == ["reviews", "classifier_report", "bug_predictions", "prioritized_bugs", "categorized_bugs",
-                           "reclassified_bugs", "developer_bug_summaries"]
+    first = read(paths)
+    assert set(first) == {"reviews", "classifier_report", "classifier_scores", "bug_predictions", "prioritized_bugs",
+                          "categorized_bugs", "reclassified_bugs", "tickets", "sent_tickets", "digest", "developer_bug_summaries"}
     assert first["bug_predictions"].columns == S.BUG_PREDICTIONS.names
     predictions = {int(r.review_id): r for r in first["bug_predictions"].collect()}
     assert all(predictions[i].is_bug_report == int(i % 10 >= 5) for i in range(60) if i != 3)
     assert (predictions[3].is_bug_report, predictions[3].bug_confidence) == (0, 0.0)
     assert all(p.rating is not None for p in predictions.values())
+    assert first["classifier_scores"].filter("chosen = 1").count() == 1
     assert first["categorized_bugs"].columns == S.CATEGORIZED_BUGS.names
     assert first["reclassified_bugs"].filter("bug_category = 'Other'").count() == 0
     assert first["developer_bug_summaries"].columns == S.DEVELOPER_SUMMARIES.names
-    daily.run_daily(spark, feed(spark, 20, start=50), training, out, grid=[1.0])
-    assert spark.read.parquet(paths["reviews"]).count() == 70
+    # the first digest sends the ten newest, and all count as sent
+    assert first["digest"].count() == 10 and first["sent_tickets"].count() == 30
+
+    def model(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda prompt: None if "Server" in prompt else "summary: in short\n\npriority level: high")
+
+    texts = spark.createDataFrame([("61", "in other words")], "review_id string, translated string")
+    paths = daily.run_daily(
+        spark, feed(spark, 20, start=50), training, out, grid=[1.0], summariser=model, translations=texts
+    )
+    second = read(paths)
+    assert second["reviews"].count() == 70
+    assert second["digest"].count() == 5 and second["sent_tickets"].count() == 35
+    reports = {r.bug_category: r for r in second["developer_bug_summaries"].collect()}
+    assert reports["Server Error"].additional_notes == rollup.FAILED_SUMMARY["additional_notes"]
+    assert reports["Payment Issue"].summary == "in short" and reports["Payment Issue"].priority_level == "High"
+    assert second["translated_reviews"].count() == 70
     with pytest.raises(ValueError, match="empty"):
         daily.run_daily(spark, feed(spark, 0), training, out)
     assert spark.read.parquet(paths["reviews"]).count() == 70
+
+
+def test_attended_state_is_stored(spark, tmp_path):
+    wanted = spark.createDataFrame([("A1", "BUG-1")], "ticket_key string, TicketID string")
+    for at in ("2024-01-01 00:00:00", "2024-02-01 00:00:00"):
+        folder = daily.attend(spark, wanted, at, str(tmp_path))
+    assert [str(r.attended_at) for r in spark.read.parquet(folder).collect()] == ["2024-01-01 00:00:00"]
+
+
+def test_a_text_taken_whole(spark):
+    made = rollup.summary_sections(
+        spark.createDataFrame([("A", "all of it"), ("B", None)], "bug_category string, response string"), parsed=False
+    )
+    found = {r.bug_category: (r.summary, r.key_findings, r.priority_level) for r in made.collect()}
+    assert found == {"A": ("all of it", "N/A", "Unknown"),
+                     "B": tuple(rollup.FAILED_SUMMARY[c] for c in ("summary", "key_findings", "priority_level"))}

@@ -102,8 +102,8 @@ def test_ticket_id_hash(spark):
     found = [r.TicketID for r in tickets.with_ticket_id(df).orderBy("review_id").collect()]
     expected = ["app crash_2024-01-02 03:04:05_1.2", "nan_nan_nan"]
     assert found == ["BUG-" + hashlib.sha1(x.encode()).hexdigest()[:8].upper() for x in expected]
-    wide = tickets.with_ticket_id(df, digest_chars=40).first().TicketID
-    assert len(wide) == 44 and wide.startswith(found[0])
+    keys = [r.ticket_key for r in tickets.with_ticket_id(df).orderBy("review_id").collect()]
+    assert keys == [hashlib.sha1(x.encode()).hexdigest().upper() for x in expected]
 
 
 def test_syslog_lines(spark):
@@ -124,14 +124,28 @@ def test_filters(spark):
     assert tickets.by_date(df, ts("2024-01-02"), ts("2024-01-03")).count() == 2
 
 
+def test_dimension_rows_listed_twice_do_not_multiply(spark):
+    df = spark.createDataFrame([bug(1, "Other"), bug(2, None)], BUGS)
+    twice = severity_table(spark).union(severity_table(spark))
+    assert tickets.tickets(df, twice).count() == 2
+    tagged = spark.createDataFrame([("1", "text", "si")], "review_id string, t string, detected_language string")
+    texts = spark.createDataFrame([("1", "b"), ("1", "a"), (None, "c")], "review_id string, translated string")
+    assert [r.translated_review for r in language.translation_route(tagged, "t", texts).collect()] == ["a"]
+
+
 # --- state -------------------------------------------------------------------------------------
 
 def test_mark_attended_appends_once(spark):
-    attended = spark.createDataFrame([("BUG-1", ts("2024-01-01")), (None, ts("2024-01-01"))], S.ATTENDED_TICKETS)
-    ids = spark.createDataFrame([("BUG-1",), ("BUG-2",), ("BUG-2",), (None,)], "TicketID string")
+    attended = spark.createDataFrame(
+        [("A1", "BUG-1", ts("2024-01-01")), (None, None, ts("2024-01-01"))], S.ATTENDED_TICKETS
+    )
+    # A2 shows the id of A1 and is another ticket
+    ids = spark.createDataFrame(
+        [("A1", "BUG-1"), ("A2", "BUG-1"), ("A2", "BUG-1"), (None, "BUG-1")], "ticket_key string, TicketID string"
+    )
     after = state.mark_attended(attended, ids, ts("2024-06-01"))
     assert sorted(map(str, rows(after))) == sorted(map(str, [
-        ("BUG-1", ts("2024-01-01")), (None, ts("2024-01-01")), ("BUG-2", ts("2024-06-01")),
+        ("A1", "BUG-1", ts("2024-01-01")), (None, None, ts("2024-01-01")), ("A2", "BUG-1", ts("2024-06-01")),
     ]))
     assert state.mark_attended(after, ids, ts("2024-07-01")).count() == 3
 
@@ -139,24 +153,36 @@ def test_mark_attended_appends_once(spark):
 def test_attended_report_fans_out_and_keeps_unknown(spark):
     df = spark.createDataFrame([bug(1, "Other", "2024-01-01", "1"), bug(2, "Other", "2024-01-01", "1"), bug(3, "Other")], BUGS)
     made = tickets.tickets(df, severity_table(spark))
-    shared = tickets.with_ticket_id(df).filter("review_id = '1'").first().TicketID
-    attended = spark.createDataFrame([(shared, ts("2024-02-01")), ("BUG-x", ts("2024-03-01")), (None, ts("2024-01-01"))], S.ATTENDED_TICKETS)
+    shared = tickets.with_ticket_id(df).filter("review_id = '1'").first()
+    attended = spark.createDataFrame([
+        (shared.ticket_key, shared.TicketID, ts("2024-02-01")), ("x", "BUG-x", ts("2024-03-01")), (None, None, ts("2024-01-01")),
+        ("another", shared.TicketID, ts("2023-01-01")),
+    ], S.ATTENDED_TICKETS)
     found = state.attended_report(attended, made).collect()
     assert [(r.TicketID, r.bug_category) for r in found] == [
-        ("BUG-x", None), (shared, "Other"), (shared, "Other"), (None, None),
+        ("BUG-x", None), (shared.TicketID, "Other"), (shared.TicketID, "Other"), (None, None), (shared.TicketID, None),
     ]
 
 
-def test_attended_report_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(state, "MAX_ASKED", 0)
-    test_attended_report_fans_out_and_keeps_unknown(spark)
+def test_tickets_of_one_shown_id_are_all_delivered(spark):
+    """Keys that agree in their first eight digits, as two tickets of the test tables do."""
+    made = spark.createDataFrame([
+        (f"D7EA4DE0{i}", "BUG-D7EA4DE0", "Other", "1", ts("2024-01-01"), f"text {i}", level) for i, level in enumerate(["err", "crit"])
+    ], "ticket_key string, TicketID string, bug_category string, app_version string, review_date timestamp_ntz, "
+       "review_description string, syslog_level string")
+    done = made.filter("syslog_level = 'err'").select("ticket_key", F.col("TicketID").alias("ticket_id"))
+    assert [r.review_description for r in state.new_tickets(made, done).collect()] == ["text 1"]
+    rows_, after = state.digest(made, done)
+    assert rows_.count() == 1 and after.count() == 2
+    old = spark.createDataFrame([(" BUG-D7EA4DE0 ",), ("",)], "ticket_id string")
+    assert state.adopt_sent(old, made).count() == 2
 
 
 @pytest.mark.parametrize("ids,first", [
     ([], True), (["BUG-123", " BUG-4 "], True), (["BUG-123", "BUG-00FFAA11"], False), ([" ", None], True),
 ])
 def test_digest_mode(spark, ids, first):
-    sent = spark.createDataFrame([(i,) for i in ids], S.SENT_TICKETS)
+    sent = spark.createDataFrame([(None, i) for i in ids], S.SENT_TICKETS)
     assert state.digest_mode(sent).first().first_run is first
 
 
@@ -256,8 +282,8 @@ def scored(spark, pad=0):
     stop = grow(stopword_table(spark), lambda i: (f"zz{i}",))
     lemma = grow(lemma_table(spark), lambda i: (f"zz{i}s", f"zz{i}"))
     lexicon = grow(lexicon_table(spark), lambda i: (f"zz{i}", 0.5))
-    text = sentiment.clean_lemmas(df, "text", stop, lemma, key="review_id")
-    made = sentiment.score_sentiment(text, "cleaned_text", lexicon, key="review_id")
+    text = sentiment.clean_lemmas(df, "text", stop, lemma)
+    made = sentiment.score_sentiment(text, "cleaned_text", lexicon)
     return [(r.cleaned_text, round(r.sentiment_score, 6)) for r in made.orderBy("review_id").collect()]
 
 
@@ -267,6 +293,19 @@ def test_lemmas_and_scores_by_literal_and_by_join(spark):
     assert scored(spark, pad=1200) == expected
 
 
+@pytest.mark.parametrize("pad", [0, 1200])
+def test_lookups_mean_the_same_at_any_size(spark, pad):
+    """Null and repeated ids keep their own texts; a token listed twice counts once."""
+    df = spark.createDataFrame([(None, "apps good"), (None, "bad"), ("1", "good good bad"), ("1", None)], "review_id string, text string")
+    more = [(f"zz{i}",) for i in range(pad)]
+    lemma = spark.createDataFrame([("apps", "app"), ("apps", "zap")] + [(t, t) for t, in more], "token string, lemma string")
+    lexicon = spark.createDataFrame([("good", 0.7), ("good", 0.9), ("bad", -0.7)] + [(t, 0.1) for t, in more], "token string, polarity double")
+    stop = spark.createDataFrame([("the",), ("the",), (None,)] + more, "token string")
+    text = sentiment.clean_lemmas(df, "text", stop, lemma)
+    found = sentiment.score_sentiment(text, "cleaned_text", lexicon).select("cleaned_text", F.round("sentiment_score", 4)).collect()
+    assert sorted(map(tuple, found)) == [("", 0.0), ("app good", 0.7), ("bad", -0.7), ("good good bad", 0.2333)]
+
+
 def test_months_without_reviews(spark):
     df = spark.createDataFrame(
         [(ts("2024-01-31 23:00:00"), 0.5), (ts("2024-03-01"), -0.5), (ts("2024-01-01"), 0.0), (None, 1.0)],

@@ -51,10 +51,14 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 
 
 def upsert_latest(
-    existing: DataFrame, incoming: DataFrame, key: str = "review_id", tiebreak: list[str] | None = None
+    existing: DataFrame, incoming: DataFrame, key: str = "review_id", tiebreak: list[str] | None = None,
+    incoming_wins: bool = True,
 ) -> DataFrame:
     """One row per key: the latest date, an undated row before all, incoming before existing.
 
+    Rows equal in these go by ``tiebreak``, or else by all other columns. Without ``incoming_wins``
+    only date and tie-break count, so the result does not depend on what came first.
+
     Null keys form one group. The rank filter is pushed below the shuffle as a partial group
     limit, so a hot key sends one row per input partition.
     """
@@ -62,7 +66,7 @@ def upsert_latest(
         incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
     ties = tiebreak or sorted(c for c in both.columns if c not in ("_batch", key, "review_date"))
-    order = [F.col("review_date").desc_nulls_first(), F.col("_batch").desc()]
+    order = [F.col("review_date").desc_nulls_first(), *([F.col("_batch").desc()] if incoming_wins else [])]
     latest = W.partitionBy(key).orderBy(*order, *[F.col(c).asc_nulls_last() for c in ties])
     ranked = both.withColumn("_rank", F.row_number().over(latest))
     return ranked.filter("_rank = 1").drop("_rank", "_batch")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as X
+from ticketloom.operators.lookup import unique
 
 SINHALA = r"\x{0D80}-\x{0DFF}"
 
@@ -44,7 +45,7 @@ def translation_route(
     if translations is None:
         translated = F.lit("")
     else:
-        routed = routed.join(translations.select(key, "translated"), key, "left")
+        routed = routed.join(unique(translations, key, "translated"), key, "left")
         translated = F.coalesce("translated", F.lit(""))
     out = routed.withColumn(
         "translated_review", F.when(F.col("route") == "translate", translated).otherwise(text)

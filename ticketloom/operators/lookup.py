@@ -23,6 +23,20 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
+def unique(df: DataFrame, key: str, *values: str) -> DataFrame:
+    """One row per non-null key: that of the lowest ``pos`` where the table has one, else of the least values.
+
+    Every dimension table goes through here, so that a key listed twice means the same to a lookup
+    inside the row and to a join.
+    """
+    rows = df.filter(F.col(key).isNotNull())
+    if not values:
+        return rows.select(key).distinct()
+    order = F.struct(*[F.col(c) for c in ("pos", *values) if c in df.columns])
+    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
+    return first.select(key, *[F.col(f"_first.{v}").alias(v) for v in values])
+
+
 def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``limit``, else None. Never fetches more."""
     rows = df.limit(limit + 1).collect()

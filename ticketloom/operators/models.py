@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexer,
+    IDF, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexerModel,
 )
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,6 +27,11 @@ from ticketloom.operators.taxonomy import split_other
 from ticketloom.session import materialise
 
 
+# Bounds of the solvers: as far as the described library would go, in the search and in the final fit.
+MAX_ITERATIONS, TOLERANCE = 1000, 1e-5
+CLUSTER_ITERATIONS = 300
+
+
 # --- splits ------------------------------------------------------------------------------------
 
 def ranked_by_hash(df: DataFrame, group: str, key: str, seed: int = 42, hex_digits: int = 3) -> DataFrame:
@@ -71,7 +76,7 @@ def stratified_folds(
 
 # --- features ----------------------------------------------------------------------------------
 
-def fit_text_features(df: DataFrame, col: str, dimensions: int = 4096) -> PipelineModel:
+def fit_text_features(df: DataFrame, col: str, dimensions: int = 1 << 18) -> PipelineModel:
     """Hashed, idf-weighted, unit-length word vectors. One pass over the texts."""
     stages = [
         RegexTokenizer(inputCol=col, outputCol="_tokens", pattern=r"\s+", minTokenLength=1),
@@ -83,13 +88,19 @@ def fit_text_features(df: DataFrame, col: str, dimensions: int = 4096) -> Pipeli
 
 
 def text_features(
-    df: DataFrame, col: str, embedder: Callable | None = None, model: PipelineModel | None = None
+    df: DataFrame, col: str, embedder: Callable | None = None, model: PipelineModel | None = None,
+    vectors: str | None = None,
 ) -> DataFrame:
     """Add ``features``; an empty text has the zero vector.
 
+    ``vectors`` names a column of supplied embeddings, arrays of one length, which are then used.
     ``embedder`` maps an iterator of text Series to Series of float lists and runs in Arrow
     batches. Without one, ``model`` (or a model fitted on ``df``) makes hashed word vectors.
     """
+    if vectors is not None:
+        given = F.col(vectors).cast("array<double>")
+        zeros = F.transform(given, lambda x: F.lit(0.0))
+        return df.withColumn("features", array_to_vector(F.when(F.col(col) == "", zeros).otherwise(given)))
     if embedder is not None:
         udf = F.pandas_udf(embedder, "array<float>")
         made = df.withColumn("_raw", udf(F.col(col)))
@@ -136,8 +147,7 @@ def fit_bug_classifier(
         "classifier-rows",
     )
     per_fold = data.count() * (folds - 1) / folds
-    # the search ranks settings, for which a coarse fit will do; the chosen one is fitted finely
-    base = LogisticRegression(maxIter=100, tol=1e-3, standardization=False)
+    base = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False)
     regularisations = [1.0 / (c * per_fold) for c in strengths]
     params = (
         ParamGridBuilder()
@@ -159,7 +169,7 @@ def fit_bug_classifier(
         for i, p in enumerate(params)
     ]
     strength, weight = scores[best][0], scores[best][1]
-    estimator = base.copy({base.weightCol: weight, base.tol: 1e-5})
+    estimator = base.copy({base.weightCol: weight})
     return _fit_all(estimator, strength, scores, data)
 
 
@@ -236,35 +246,54 @@ def prediction_table(reviews: DataFrame) -> DataFrame:
 
 # --- the rest without a keyword ----------------------------------------------------------------
 
-def _with_clean_features(bugs: DataFrame) -> DataFrame:
+def _with_clean_features(bugs: DataFrame, embedder: Callable | None = None) -> DataFrame:
     cleaned = bugs.withColumn("cleaned_text", X.clean_stripped(F.col("review_description")))
-    return text_features(cleaned, "cleaned_text")
+    return text_features(cleaned, "cleaned_text", embedder)
 
 
 def cluster_other(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``cluster`` to rows that carry ``features``."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(df)
+    """Add ``cluster`` to rows that carry ``features``; at most as many as there are distinct vectors.
+
+    Rows are dealt by the hash of their vector and sorted before the fit, so that the start does not
+    depend on how the input was cut.
+    """
+    vectors = df.select("features").withColumn("_as_text", F.col("features").cast("string"))
+    distinct = vectors.groupBy(F.xxhash64("_as_text").alias("v")).agg(F.lit(1)).limit(k).count()
+    if distinct < 2:
+        return df.withColumn("cluster", F.lit(0))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.repartition(parts, "_as_text").sortWithinPartitions("_as_text").select("features")
+    model = KMeans(
+        k=distinct, seed=seed, maxIter=CLUSTER_ITERATIONS, featuresCol="features", predictionCol="cluster"
+    ).fit(dealt)
     return model.transform(df)
 
 
-def reclassify_other(bugs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Give every ``Other`` row the category that keyword-labelled rows suggest, and a cluster."""
-    rows = materialise(_with_clean_features(bugs), "reclassify-rows")
-    labelled, other = split_other(rows)
-    base = labelled.drop("features").withColumns({
+def reclassify_other(bugs: DataFrame, k: int = 5, seed: int = 42, embedder: Callable | None = None) -> DataFrame:
+    """Give every ``Other`` row the category that keyword-labelled rows suggest, and a cluster.
+
+    Rows with a null category are neither learnt from nor relabelled; they stay as they are.
+    """
+    rows = materialise(_with_clean_features(bugs, embedder), "reclassify-rows")
+    kept, other = split_other(rows)
+    base = kept.drop("features").withColumns({
         "predicted_category": F.lit(None).cast("string"), "cluster": F.lit(None).cast("int"),
     })
-    if labelled.isEmpty() or other.isEmpty():
+    labelled = kept.filter("bug_category IS NOT NULL")
+    categories = sorted(r[0] for r in labelled.select("bug_category").distinct().collect())  # the taxonomy's
+    if not categories or other.isEmpty():
         return base.unionByName(other.drop("features"), allowMissingColumns=True)
-    index = StringIndexer(
-        inputCol="bug_category", outputCol="label", stringOrderType="alphabetAsc"
-    ).fit(labelled)
+    names = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=categories)
+    if len(categories) == 1:
+        named = cluster_other(other, k, seed).withColumn("predicted_category", F.lit(categories[0]))
+        relabelled = named.withColumn("bug_category", F.col("predicted_category"))
+        return base.unionByName(relabelled.select(*base.columns))
+    index = StringIndexerModel.from_labels(categories, inputCol="bug_category", outputCol="label")
+    train = index.transform(labelled.select("features", "bug_category")).select("features", "label")
     model = LogisticRegression(
-        family="multinomial", maxIter=100, tol=1e-4, standardization=False, regParam=1.0 / labelled.count()
-    ).fit(index.transform(labelled).select("features", "label"))
-    names = IndexToString(
-        inputCol="prediction", outputCol="predicted_category", labels=index.labels
-    )
+        family="multinomial", maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False,
+        regParam=1.0 / labelled.select("bug_category").count(),
+    ).fit(train)
     clustered = cluster_other(other, k, seed)
     named = names.transform(model.transform(clustered))
     relabelled = named.withColumn("bug_category", F.col("predicted_category"))

@@ -7,7 +7,7 @@ array's size, which would compute the array a second time.
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ def term_frequencies(df: DataFrame, col: str = "cleaned_text", n: int = 100) ->
 
 def unigrams_and_bigrams(df: DataFrame, col: str) -> DataFrame:
     """Per row, in ``grams``: words of two characters or more, and pairs of neighbours among them."""
-    words = df.select(F.filter(F.split(col, " "), lambda t: F.length(t) >= 2).alias("_words"))
+    words = df.select(F.filter(F.split(F.coalesce(col, F.lit("")), " "), lambda t: F.length(t) >= 2).alias("_words"))
     pairs = F.greatest(F.size("_words") - 1, F.lit(0))
     left, right = F.slice("_words", 1, pairs), F.slice("_words", 2, pairs)
     bigrams = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
@@ -34,13 +34,14 @@ def unigrams_and_bigrams(df: DataFrame, col: str) -> DataFrame:
 def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: int = 20) -> DataFrame:
     """Top ``n`` of the ``vocab`` most frequent 1- and 2-grams by summed, row-normalised TF-IDF.
 
-    One shuffle counts terms and the rows they occur in. The vocabulary, bounded by ``vocab``,
-    returns to the rows as a scalar subquery, so weights and norms are computed inside each row and
-    only partial sums per term move.
+    The texts are stored once and read twice. The first pass counts terms, the rows they occur in,
+    and the rows, by an empty term in each. The vocabulary, bounded by ``vocab``, returns to the rows
+    as a scalar subquery, so weights and norms are computed inside each row and only partial sums per
+    term move.
     """
-    grams = unigrams_and_bigrams(df, col)
+    grams = unigrams_and_bigrams(materialise(df.select(col), "phrase-texts"), col)
     # within a row, a term that differs from the one before it in sorted order is a new one
-    ordered = grams.select(F.sort_array("grams").alias("_sorted"))
+    ordered = grams.select(F.sort_array(F.concat("grams", F.array(F.lit("")))).alias("_sorted"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.col("_sorted"))
     occurrences = F.zip_with("_sorted", F.slice(before, 1, F.size("_sorted")), lambda term, last: F.struct(
         term.alias("term"), (~term.eqNullSafe(last)).cast("int").alias("new"),
@@ -51,11 +52,17 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
         .groupBy("term")
         .agg(row_count().alias("tf"), F.sum("new").alias("df"))
     )
-    top = counts.orderBy(F.col("tf").desc(), "term").limit(vocab)
-    idf = F.log((grams.agg(row_count()).scalar() + 1) / (F.col("df") + 1)) + 1
-    weights = top.select("term", idf.alias("idf")).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "idf")))
+    # the empty term is in every row: it counts them, and is not a term
+    whole = F.struct((F.col("term") != "").alias("is_term"), "term", "df")
+    top = counts.orderBy((F.col("term") == "").desc(), F.col("tf").desc(), "term").limit(vocab + 1)
+    listed = top.agg(F.collect_list(whole).alias("_all")).select(
+        F.filter("_all", lambda x: x["is_term"]).alias("_terms"),
+        F.get(F.filter("_all", lambda x: ~x["is_term"]), F.lit(0))["df"].alias("_rows"),
     )
+    idf = lambda x: F.log((F.col("_rows") + 1) / (x["df"] + 1)) + 1
+    weights = listed.select(F.map_from_entries(
+        F.transform("_terms", lambda x: F.struct(x["term"], idf(x)))
+    ))
     rows = grams.withColumn("_idf", weights.scalar()).withColumn(
         "_hits", F.array_intersect(F.map_keys("_idf"), "grams")
     )
@@ -72,26 +79,47 @@ def key_phrases(df: DataFrame, col: str = "cleaned_text", vocab: int = 100, n: i
     return totals.orderBy(F.round("importance", 9).desc(), "term").limit(n)
 
 
+def topic_tokens(df: DataFrame, col: str) -> DataFrame:
+    """The words of two characters or more of every text."""
+    return df.select(F.filter(F.split(F.coalesce(col, F.lit("")), " "), lambda t: F.length(t) >= 2).alias("_tokens"))
+
+
+def topic_vocabulary(df: DataFrame, col: str = "cleaned_text", vocab: int = 1000) -> DataFrame:
+    """The ``vocab`` most frequent words with ``tf`` and smooth ``idf``; equal counts go by the word."""
+    tokens = topic_tokens(df, col)
+    total = tokens.agg(row_count()).scalar()
+    each = tokens.select(
+        F.explode_outer("_tokens").alias("term"), F.lit(1).alias("tf")
+    ).filter("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("tf"))
+    rows = tokens.select(F.explode_outer(F.array_distinct("_tokens")).alias("term")).filter("term IS NOT NULL")
+    held = rows.groupBy("term").agg(row_count().alias("df"))
+    top = each.orderBy(F.col("tf").desc(), "term").limit(vocab)
+    return top.join(held, "term").select("term", "tf", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
 def topics(
     df: DataFrame, col: str = "cleaned_text", k: int = 5, words: int = 9, seed: int = 42,
     vocab: int = 1000, iterations: int = 10,
 ) -> DataFrame:
-    """LDA topics over TF-IDF rows of the ``vocab`` most frequent words; ``words`` words each."""
-    tokens = RegexTokenizer(
-        inputCol=col, outputCol="_tokens", pattern=" ", minTokenLength=2, toLowercase=False
-    ).transform(df.select(col))
-    counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocab).fit(tokens)
-    counted = materialise(counter.transform(tokens).select("_tf"), "topic-counts")
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counted).idf
-    # smooth idf is one more than the library's
-    scaler = ElementwiseProduct(
-        scalingVec=[float(x) + 1.0 for x in idf], inputCol="_tf", outputCol="_tfidf"
-    )
+    """LDA topics over TF-IDF rows of the ``vocab`` most frequent words; ``words`` words each.
+
+    The vocabulary has an order of its own, and rows are dealt by their content and sorted before the
+    fit, so the topics do not depend on how the input was cut.
+    """
+    texts = materialise(df.select(col), "topic-texts")
+    listed = topic_vocabulary(texts, col, vocab).orderBy(F.col("tf").desc(), "term").collect()  # at most ``vocab``
+    if not listed:
+        return df.sparkSession.createDataFrame([], "topic string, words array<string>")
+    terms = [r.term for r in listed]
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="_tokens", outputCol="_tf")
+    scaler = ElementwiseProduct(scalingVec=[r.idf for r in listed], inputCol="_tf", outputCol="_tfidf")
     unit = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    rows = unit.transform(scaler.transform(counted)).select("features").persist()
-    model = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(rows)
-    rows.unpersist()
-    vocabulary = F.array(*[F.lit(w) for w in counter.vocabulary])
+    rows = unit.transform(scaler.transform(counter.transform(topic_tokens(texts, col)))).select("features", "_tokens")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    content = F.sha1(F.array_join("_tokens", " "))
+    dealt = rows.withColumn("_order", content).repartition(parts, "_order").sortWithinPartitions("_order")
+    model = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(dealt.select("features"))
+    vocabulary = F.array(*[F.lit(w) for w in terms])
     return model.describeTopics(words).select(
         F.concat(F.lit("Topic "), (F.col("topic") + 1).cast("string")).alias("topic"),
         F.transform("termIndices", lambda i: F.element_at(vocabulary, i + 1)).alias("words"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ticketloom import fixed_values as V
 from ticketloom.functions import text as X
 from ticketloom.functions.counts import row_count
 from ticketloom.functions.dates import month_end
-from ticketloom.operators.lookup import bounded_rows
+from ticketloom.operators.lookup import bounded_rows, unique
 
 
 # Up to this many entries a table is searched from front to back for every token.
@@ -24,20 +26,31 @@ def _literal_map(rows: list, value_type: str) -> Column:
     return F.create_map(*pairs) if pairs else F.create_map().cast(f"map<string,{value_type}>")
 
 
+def _by_text(df: DataFrame, text: Column, results: Callable[[DataFrame], DataFrame], out: str, missing: Column) -> DataFrame:
+    """``out`` for every row, worked out once for each distinct text and joined back by its hash.
+
+    ``results`` gets (``_text_key``, ``_text``) and returns (``_text_key``, ``out``). Texts are told
+    apart by a 160-bit hash, so a caller's key may be null or repeat, and no text travels as a key.
+    """
+    keyed = df.withColumn("_text_key", F.sha1(F.coalesce(text, F.lit(""))))
+    texts = keyed.select("_text_key", F.coalesce(text, F.lit("")).alias("_text")).dropDuplicates(["_text_key"])
+    joined = keyed.join(results(texts), "_text_key", "left")
+    return joined.select(*[F.col(c) for c in df.columns if c != out], F.coalesce(out, missing).alias(out))
+
+
 def clean_lemmas(
-    df: DataFrame, col: str, stopwords: DataFrame, lemmas: DataFrame,
-    out: str = "cleaned_text", key: str | None = None,
+    df: DataFrame, col: str, stopwords: DataFrame, lemmas: DataFrame, out: str = "cleaned_text"
 ) -> DataFrame:
     """Add the space-joined lemmas of the text's tokens, stop words dropped, order and repeats kept.
 
-    Lists that pass the size check are looked up inside the row, without a shuffle. Larger ones
-    are joined token by token and need ``key``, a unique column, to put the texts back together.
+    Lists that pass the size check are looked up inside the row, without a shuffle. Larger ones are
+    joined token by token, with the same result.
     """
-    tokens = X.letter_tokens(F.col(col))
-    stop = bounded_rows(stopwords.select("token"))
-    lemma = bounded_rows(lemmas.select("token", "lemma"), LINEAR_ROWS)
+    stopwords, lemmas = unique(stopwords, "token"), unique(lemmas, "token", "lemma")
+    stop, lemma = bounded_rows(stopwords), bounded_rows(lemmas, LINEAR_ROWS)
     if stop is None or lemma is None:
-        return _clean_lemmas_by_join(df, tokens, stopwords, lemmas, out, key)
+        return _clean_lemmas_by_join(df, col, stopwords, lemmas, out)
+    tokens = X.letter_tokens(F.col(col))
     remover = StopWordsRemover(
         inputCol="_tokens", outputCol="_kept", stopWords=[r.token for r in stop], caseSensitive=True
     )
@@ -52,30 +65,31 @@ def clean_lemmas(
     return kept.withColumn(out, F.array_join(mapped, " ")).drop("_tokens", "_kept")
 
 
-def _clean_lemmas_by_join(df, tokens, stopwords, lemmas, out, key) -> DataFrame:
-    if key is None:
-        raise ValueError("a unique key column is needed to join a stop word or lemma table")
-    words = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    kept = words.join(stopwords.select("token").distinct(), "token", "left_anti")
-    named = kept.join(lemmas.select("token", "lemma").dropDuplicates(["token"]), "token", "left")
-    pairs = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("w"))))
-    texts = named.groupBy(key).agg(F.array_join(F.transform(pairs, lambda p: p["w"]), " ").alias(out))
-    joined = df.join(texts, key, "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit("")))
+def _clean_lemmas_by_join(df, col, stopwords, lemmas, out) -> DataFrame:
+    def results(texts: DataFrame) -> DataFrame:
+        words = texts.select("_text_key", F.posexplode_outer(X.letter_tokens(F.col("_text"))).alias("_pos", "token"))
+        kept = words.filter("token IS NOT NULL").join(stopwords, "token", "left_anti")
+        named = kept.join(lemmas, "token", "left")
+        pairs = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "token").alias("w"))))
+        return named.groupBy("_text_key").agg(F.array_join(F.transform(pairs, lambda p: p["w"]), " ").alias(out))
+
+    return _by_text(df, F.col(col), results, out, F.lit(""))
 
 
 def score_sentiment(
-    df: DataFrame, col: str, lexicon: DataFrame, out: str = "sentiment_score", key: str | None = None
+    df: DataFrame, col: str, lexicon: DataFrame, out: str = "sentiment_score"
 ) -> DataFrame:
     """Add the mean polarity of the tokens found in the lexicon, 0 if none is."""
-    tokens = F.split(F.col(col), " ")
-    words = bounded_rows(lexicon.select("token", "polarity"))
+    lexicon = unique(lexicon, "token", "polarity")
+    words = bounded_rows(lexicon)
     if words is None:
-        if key is None:
-            raise ValueError("a unique key column is needed to join a lexicon")
-        parts = df.select(key, F.explode_outer(tokens).alias("token"))
-        scores = parts.join(lexicon, "token").groupBy(key).agg(F.round(F.avg("polarity"), SCORE_DIGITS).alias(out))
-        return df.join(scores, key, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+        def results(texts: DataFrame) -> DataFrame:
+            parts = texts.select("_text_key", F.explode_outer(F.split("_text", " ")).alias("token"))
+            scored = parts.join(lexicon, "token").groupBy("_text_key")
+            return scored.agg(F.round(F.avg("polarity"), SCORE_DIGITS).alias(out))
+
+        return _by_text(df, F.col(col), results, out, F.lit(0.0))
+    tokens = F.split(F.coalesce(F.col(col), F.lit("")), " ")
     known = F.array(*[F.lit(r.token) for r in words]).cast("array<string>")
     df = df.withColumn("_tokens", tokens).withColumn("_hits", F.array_intersect(known, "_tokens"))
     polarity = _literal_map(words, "double")
@@ -91,8 +105,8 @@ def analyse_feedback(
 ) -> DataFrame:
     """Non-bug reviews with lemma text, sentiment score and sentiment bucket."""
     feedback = predictions.filter("is_bug_report = 0")
-    lemma_text = clean_lemmas(feedback, "review_description", stopwords, lemmas, key="review_id")
-    scored = score_sentiment(lemma_text, "cleaned_text", lexicon, key="review_id")
+    lemma_text = clean_lemmas(feedback, "review_description", stopwords, lemmas)
+    scored = score_sentiment(lemma_text, "cleaned_text", lexicon)
     return scored.withColumn("sentiment_category", X.sentiment_bucket(F.col("sentiment_score")))
 
 

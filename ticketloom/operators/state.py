@@ -1,4 +1,8 @@
-"""State kept between runs: attended tickets, sent tickets, the digest of new ones."""
+"""State kept between runs: attended tickets, sent tickets, the digest of new ones.
+
+Everything here goes by ``ticket_key``, the whole hash. ``TicketID`` is its first eight digits and
+only shown: different tickets may share one.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +10,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions import text as X
-from ticketloom.operators.lookup import bounded_rows
-from ticketloom.operators.tickets import newest_first, spread_order
+from ticketloom.operators.tickets import newest_first
+from ticketloom.session import materialise
 
-# Up to this many attended ids are broadcast.
-MAX_ASKED = 10_000
-DIGEST_COLUMNS = ["TicketID", "bug_category", "app_version", "review_date", "review_description"]
+DIGEST_COLUMNS = ["ticket_key", "TicketID", "bug_category", "app_version", "review_date", "review_description"]
 
 
 def attended_report(attended: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Attended rows with their ticket details, newest first; unknown ids keep null details.
+    """Attended rows with their ticket details, newest first; unknown keys keep null details.
 
-    A left outer join could neither broadcast the small attended side nor split a ticket id that
-    many rows share. The matched rows come from an inner join, which can do both; the unmatched
-    ones from an anti join against only those ticket ids that were asked for.
+    The tickets are gone through once: those asked for are stored. A left outer join could not split
+    a key that many rows share, so the matched rows come from an inner join, and the unmatched ones
+    from an anti join against the keys found.
     """
-    asked, ids = attended.select("TicketID").distinct(), tickets.select("TicketID")
-    if bounded_rows(asked, MAX_ASKED) is not None:
-        known = ids.join(F.broadcast(asked), "TicketID", "left_semi").distinct()
-    else:
-        # distinct first: a shuffled join would bring every row of a shared id to one task
-        known = ids.distinct().join(asked, "TicketID", "left_semi")
-    matched = attended.join(tickets, "TicketID")
-    unmatched = attended.join(known, "TicketID", "left_anti")
+    asked = attended.select("ticket_key").dropna().distinct()
+    details = tickets.drop("TicketID")
+    found = materialise(details.join(asked, "ticket_key", "left_semi"), "asked-tickets")
+    matched = attended.join(found, "ticket_key")
+    unmatched = attended.join(found.select("ticket_key").distinct(), "ticket_key", "left_anti")
     report = matched.unionByName(unmatched, allowMissingColumns=True)
-    return spread_order(report, F.col("attended_at").desc_nulls_last(), "TicketID")
+    return report.orderBy(F.col("attended_at").desc_nulls_last(), "TicketID", "ticket_key")
 
 
-def mark_attended(attended: DataFrame, ids: DataFrame, at) -> DataFrame:
-    """Append each id not yet attended, once, with the time ``at``."""
-    wanted = ids.select("TicketID").dropna().distinct()
-    fresh = wanted.join(attended.dropna(subset=["TicketID"]), "TicketID", "left_anti")
+def mark_attended(attended: DataFrame, wanted: DataFrame, at) -> DataFrame:
+    """Append each ticket (``ticket_key``, ``TicketID``) not yet attended, once, with the time ``at``."""
+    keyed = wanted.select("ticket_key", "TicketID").dropna(subset=["ticket_key"]).dropDuplicates(["ticket_key"])
+    fresh = keyed.join(attended.dropna(subset=["ticket_key"]), "ticket_key", "left_anti")
     return attended.unionByName(fresh.withColumn("attended_at", F.lit(at).cast("timestamp_ntz")))
 
 
-def sent_ids(sent: DataFrame) -> DataFrame:
-    """Distinct trimmed non-blank ids."""
-    trimmed = sent.select(X.strip(F.col("ticket_id")).alias("ticket_id"))
-    return trimmed.filter("ticket_id <> ''").distinct()
+def sent_keys(sent: DataFrame) -> DataFrame:
+    """Distinct trimmed non-blank keys, each with its id."""
+    trimmed = sent.select(*[X.strip(F.col(c)).alias(c) for c in ("ticket_key", "ticket_id")])
+    return trimmed.filter("ticket_key <> ''").groupBy("ticket_key").agg(F.min("ticket_id").alias("ticket_id"))
+
+
+def adopt_sent(old: DataFrame, tickets: DataFrame) -> DataFrame:
+    """A table of sent ids from before there were keys: every ticket that shows one of them counts as sent."""
+    ids = old.select(X.strip(F.col("ticket_id")).alias("TicketID")).filter("TicketID <> ''").distinct()
+    keyed = tickets.select("ticket_key", "TicketID").join(ids, "TicketID").distinct()
+    return keyed.select("ticket_key", F.col("TicketID").alias("ticket_id"))
 
 
 def digest_mode(sent: DataFrame) -> DataFrame:
@@ -58,9 +64,8 @@ def digest_mode(sent: DataFrame) -> DataFrame:
 
 
 def new_tickets(tickets: DataFrame, sent: DataFrame) -> DataFrame:
-    """Tickets whose id is not in ``sent``. Null ids in ``sent`` match nothing and are dropped."""
-    seen = sent_ids(sent).select(F.col("ticket_id").alias("TicketID"))
-    return tickets.join(seen, "TicketID", "left_anti").select(*DIGEST_COLUMNS)
+    """Tickets whose key is not in ``sent``. Null keys in ``sent`` match nothing and are dropped."""
+    return tickets.join(sent_keys(sent).select("ticket_key"), "ticket_key", "left_anti").select(*DIGEST_COLUMNS)
 
 
 def latest_tickets(tickets: DataFrame, first_n: int = 10) -> DataFrame:
@@ -68,9 +73,9 @@ def latest_tickets(tickets: DataFrame, first_n: int = 10) -> DataFrame:
 
 
 def next_sent(sent: DataFrame, rows: DataFrame) -> DataFrame:
-    """Sent ids together with the ids of ``rows``, distinct and sorted."""
-    more = rows.select(F.col("TicketID").alias("ticket_id"))
-    return sent_ids(sent.select("ticket_id").union(more)).orderBy("ticket_id")
+    """Sent keys and ids together with those of ``rows``, distinct and sorted."""
+    more = rows.select("ticket_key", F.col("TicketID").alias("ticket_id"))
+    return sent_keys(sent.select("ticket_key", "ticket_id").union(more)).orderBy("ticket_id", "ticket_key")
 
 
 def digest(tickets: DataFrame, sent: DataFrame, first_n: int = 10) -> tuple[DataFrame, DataFrame]:

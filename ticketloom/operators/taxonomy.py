@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as V
 from ticketloom.functions import text as X
-from ticketloom.operators.lookup import bounded_rows
+from ticketloom.operators.lookup import bounded_rows, unique
 
 
 def normalise_rules(rules: DataFrame) -> DataFrame:
@@ -90,35 +90,36 @@ def _keyword_pattern(longest_first: list[str]) -> str:
 
 
 def _categorize_by_ngrams(df: DataFrame, text, rules: DataFrame, default: str) -> DataFrame:
-    """Equi-join of each distinct text's n-grams with the keywords, joined back by the text."""
+    """Equi-join of each distinct text's n-grams with the keywords, joined back by the text's hash.
+
+    Only n-grams of a length that some keyword has are made.
+    """
     words = F.size(F.split("keyword", " "))
-    longest = rules.agg(F.max(words)).first()[0]
-    df = df.withColumn("_text", text)
-    texts = df.select("_text").distinct().withColumn("_words", F.split("_text", " "))
+    lengths = rules.agg(F.array_sort(F.collect_set(words))).first()[0]
+    keyed = df.withColumn("_text", text).withColumn("_text_key", F.sha1(F.col("_text")))
+    texts = keyed.dropDuplicates(["_text_key"]).select("_text_key", F.split("_text", " ").alias("_words"))
 
     def grams(n: int):
-        starts = F.sequence(F.lit(1), F.size("_words") - (n - 1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1)))
         made = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
         return F.when(F.size("_words") >= n, made).otherwise(F.array().cast("array<string>"))
 
-    all_grams = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, longest + 1)])))
+    all_grams = F.array_distinct(F.flatten(F.array(*[grams(n) for n in lengths])))
     found = (
-        texts.select("_text", F.explode_outer(all_grams).alias("keyword"))
+        texts.select("_text_key", F.explode_outer(all_grams).alias("keyword"))
         .join(rules, "keyword")
-        .groupBy("_text")
+        .groupBy("_text_key")
         .agg(F.min_by("category", F.struct(-F.length("keyword"), F.col("pos"))).alias("_found"))
     )
-    out = df.join(found, "_text", "left")
-    return out.withColumn("bug_category", F.coalesce("_found", F.lit(default))).drop("_found", "_text")
+    out = keyed.join(found, "_text_key", "left")
+    return out.select(*df.columns, F.coalesce("_found", F.lit(default)).alias("bug_category"))
 
 
 def with_severity(
     df: DataFrame, severity: DataFrame, default: tuple[str, int] = V.DEFAULT_SEVERITY
 ) -> DataFrame:
     """Add ``syslog_level`` and ``severity_code`` of ``bug_category``."""
-    known = severity.select(
-        F.col("category").alias("bug_category"), "syslog_level", "severity_code"
-    )
+    known = unique(severity, "category", "severity_code", "syslog_level").withColumnRenamed("category", "bug_category")
     joined = df.join(known, "bug_category", "left")
     return joined.select(
         *[c for c in df.columns],
@@ -128,6 +129,6 @@ def with_severity(
 
 
 def split_other(df: DataFrame, default: str = V.DEFAULT_CATEGORY) -> tuple[DataFrame, DataFrame]:
-    """Rows with a keyword category, and rows without one."""
-    is_other = F.lower("bug_category") == default.lower()
+    """Rows with a keyword category (or none at all), and rows of the default one."""
+    is_other = F.coalesce(F.lower("bug_category") == default.lower(), F.lit(False))
     return df.filter(~is_other), df.filter(is_other)

@@ -42,22 +42,28 @@ def prioritize(predictions: DataFrame, tiebreak: str = "review_id") -> DataFrame
     return bugs_only(predictions).orderBy(F.col("bug_confidence").desc(), tiebreak)
 
 
-def ticket_id(text: Column, date: Column, version: Column, digest_chars: int = 8) -> Column:
-    """``BUG-`` and the first hex digits of a hash of text, date and version."""
+def ticket_key(text: Column, date: Column, version: Column) -> Column:
+    """The whole hash of text, date and version, 40 hex digits: what joins and stored state go by."""
     base = F.concat_ws("_", X.missing_as_nan(text), X.missing_as_nan(date), X.missing_as_nan(version))
-    return F.concat(F.lit("BUG-"), F.upper(F.substring(F.sha1(base), 1, digest_chars)))
+    return F.upper(F.sha1(base))
 
 
-def with_ticket_id(df: DataFrame, digest_chars: int = 8) -> DataFrame:
-    """Eight digits collide with even odds near 77,000 tickets; ask for up to 40 at scale."""
+def shown_id(key: Column, digits: int = 8) -> Column:
+    """``BUG-`` and the first digits of the key, for people. Near 77,000 tickets two are likely to share one."""
+    return F.concat(F.lit("BUG-"), F.substring(key, 1, digits))
+
+
+def with_ticket_id(df: DataFrame) -> DataFrame:
+    """Add ``ticket_key`` and ``TicketID``."""
     cols = [F.col(c) for c in ("review_description", "review_date", "app_version")]
-    return df.withColumn("TicketID", ticket_id(*cols, digest_chars=digest_chars))
+    return df.withColumn("ticket_key", ticket_key(*cols)).withColumn("TicketID", shown_id(F.col("ticket_key")))
 
 
-def tickets(bugs: DataFrame, severity: DataFrame, digest_chars: int = 8) -> DataFrame:
+def tickets(bugs: DataFrame, severity: DataFrame) -> DataFrame:
     """Categorised bugs as tickets, without an order (see ``newest_first``)."""
-    made = with_severity(with_ticket_id(bugs, digest_chars), severity)
+    made = with_severity(with_ticket_id(bugs), severity)
     return made.select(
+        "ticket_key",
         "TicketID",
         F.col("review_date").alias("Timestamp"),
         "syslog_level",
@@ -69,18 +75,15 @@ def tickets(bugs: DataFrame, severity: DataFrame, digest_chars: int = 8) -> Data
     )
 
 
-def spread_order(df: DataFrame, *order) -> DataFrame:
-    """Sort, with the row's own number as the last key: copies of a row then share out over tasks.
+def newest_first(tickets: DataFrame, tiebreak: str | None = None) -> DataFrame:
+    """Newest first, then by id and key.
 
-    Without it all rows of equal keys fall into one range partition.
+    Tickets of one key are equal in text, date and version. If very many may share one, keep a
+    column that tells them apart, such as ``review_id``, and name it as ``tiebreak``: the copies
+    then spread over tasks. A row number would not do, since a repeated task may number rows anew.
     """
-    return df.withColumn("_row", F.monotonically_increasing_id()).orderBy(*order, "_row").drop("_row")
-
-
-def newest_first(tickets: DataFrame) -> DataFrame:
-    return spread_order(
-        tickets, F.col("review_date").desc_nulls_last(), "TicketID", "review_description", "app_version"
-    )
+    more = [tiebreak] if tiebreak else []
+    return tickets.orderBy(F.col("review_date").desc_nulls_last(), "TicketID", "ticket_key", *more)
 
 
 def syslog_lines(tickets: DataFrame) -> DataFrame:

@@ -6,36 +6,49 @@ hands the stored table to the next one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom import schemas as S
 from ticketloom.functions import text as X
-from ticketloom.operators import ingest, models, rollup, tickets
+from ticketloom.operators import ingest, language, models, rollup, state, tickets
 from ticketloom.operators.ingest import available_columns, require_columns
-from ticketloom.operators.lookup import severity_table, taxonomy_rules
+from ticketloom.operators.lookup import severity_table, small_table, taxonomy_rules
 from ticketloom.operators.taxonomy import categorize
 from ticketloom.session import materialise
-from ticketloom.sources.readers import path_exists
+from ticketloom.sources.versions import current, read_current, write_next
 
 
 def predict_bugs(
-    reviews: DataFrame, training: DataFrame, grid: list[float] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Clean, featurise, fit with self-training, score every review; also the held-out report."""
+    reviews: DataFrame, training: DataFrame, grid: list[float] | None = None, embedder: Callable | None = None,
+    training_vectors: str | None = None, review_vectors: str | None = None,
+) -> tuple[DataFrame, DataFrame, list[tuple]]:
+    """Clean, featurise, fit with self-training, score every review.
+
+    Also gives the held-out report and the cross-validation scores on the labelled rows, where the
+    chosen settings, with which self-training fits again, are marked. Features are hashed words unless
+    an ``embedder`` or columns of supplied vectors are given. The featurised reviews are stored once.
+    """
     prepared = ingest.impute_rating(models.prediction_table(reviews))
-    featurizer = models.fit_text_features(prepared, "processed_review")
-    pool = models.text_features(prepared, "processed_review", model=featurizer)
     labelled = training.select(
-        X.clean_spaced(F.col("review")).alias("processed_review"), F.col("label").cast("int")
+        X.clean_spaced(F.col("review")).alias("processed_review"), F.col("label").cast("int"),
+        *([training_vectors] if training_vectors else []),
     )
     # numbered once and stored: copies of a text differ, and a repeated task sees the same numbers
     numbered = materialise(labelled.withColumn("row_key", F.monotonically_increasing_id()), "training")
-    train = models.text_features(numbered, "processed_review", model=featurizer)
+    if embedder is None and review_vectors is None:
+        featurizer = models.fit_text_features(prepared, "processed_review")
+        features = lambda df, vectors: models.text_features(df, "processed_review", model=featurizer)
+    else:
+        features = lambda df, vectors: models.text_features(df, "processed_review", embedder, vectors=vectors)
+    pool = materialise(features(prepared, review_vectors), "pool")
+    train = materialise(features(numbered, training_vectors).select("row_key", "processed_review", "label", "features"), "train")
     found, report = models.train_and_evaluate(train, "row_key", grid)
     final = models.self_train(found, train, pool)
     scored = models.score_reviews(final.model, pool)
-    return available_columns(scored, S.BUG_PREDICTIONS.names), report
+    return available_columns(scored, S.BUG_PREDICTIONS.names), report, found.scores
 
 
 def categorize_bugs(predictions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -45,11 +58,41 @@ def categorize_bugs(predictions: DataFrame, rules: DataFrame) -> DataFrame:
     return found.select(*S.CATEGORIZED_BUGS.names)
 
 
-def run_daily(spark: SparkSession, raw: DataFrame, training: DataFrame, out: str,
-              grid: list[float] | None = None) -> dict[str, str]:
-    """Run the chain and store each table as parquet below ``out``; gives the paths by name.
+def deliver_digest(spark: SparkSession, tickets_: DataFrame, path: str, first_n: int = 10) -> tuple[DataFrame, str]:
+    """The rows to send, stored, and the folder of the sent table to publish once they are out.
 
-    ``raw`` must not come back empty: history is kept then.
+    ``path`` holds ``digest`` and ``sent_tickets``, both in versions. The sent table is replaced after
+    the rows are stored: a run that dies in between sends them again rather than never.
+    """
+    sent = read_current(spark, f"{path}/sent_tickets", S.SENT_TICKETS)
+    rows, after = state.digest(tickets_, sent, first_n)
+    stored = spark.read.schema(rows.schema).parquet(write_next(rows, f"{path}/digest"))
+    return stored, write_next(after, f"{path}/sent_tickets")
+
+
+def attend(spark: SparkSession, wanted: DataFrame, at, path: str) -> str:
+    """Read the attended table, append the tickets not yet in it, store it as the next version."""
+    attended = read_current(spark, f"{path}/attended_tickets", S.ATTENDED_TICKETS)
+    return write_next(state.mark_attended(attended, wanted, at), f"{path}/attended_tickets")
+
+
+def summarise(bugs: DataFrame, model: Callable, key: str, parsed: bool = True) -> DataFrame:
+    """Report fields of every category from a model over its sample, prompt included."""
+    context = rollup.summary_context(bugs, numbered=parsed, key=key)
+    prompted = rollup.summary_prompt(context).select("bug_category", F.col("prompt").alias("context"))
+    return rollup.summary_sections(rollup.summarise_with(prompted, model), parsed=parsed)
+
+
+def run_daily(
+    spark: SparkSession, raw: DataFrame, training: DataFrame, out: str, grid: list[float] | None = None,
+    embedder: Callable | None = None, summariser: Callable | None = None, parsed: bool = True,
+    translations: DataFrame | None = None,
+) -> dict[str, str]:
+    """Run the chain and store each table as parquet below ``out``; gives the folders by name.
+
+    ``raw`` must not come back empty: history is kept then. Reviews, the digest and the sent tickets
+    are kept in versions, so a run that dies leaves the last complete one. ``translations`` (review_id,
+    translated) adds a table of translated reviews; ``summariser`` fills the developer summaries.
     """
     paths = {}
 
@@ -59,25 +102,31 @@ def run_daily(spark: SparkSession, raw: DataFrame, training: DataFrame, out: str
         return spark.read.schema(df.schema).parquet(paths[name])
 
     incoming = ingest.normalize_feed(raw)
-    history_path, fresh_path = f"{out}/reviews", f"{out}/reviews_next"
     if incoming.isEmpty():
         raise ValueError("the feed is empty; stored reviews are kept")
-    if path_exists(spark, history_path):
-        history = spark.read.schema(incoming.schema).parquet(history_path)
-        # written beside the history first: a job cannot overwrite what it reads
-        merged = store("reviews_next", ingest.upsert_latest(history, incoming))
-        reviews = store("reviews", merged)
-    else:
-        reviews = store("reviews", ingest.upsert_latest(incoming.limit(0), incoming))
-    paths.pop("reviews_next", fresh_path)
+    history = read_current(spark, f"{out}/reviews", incoming.schema)
+    paths["reviews"] = write_next(ingest.upsert_latest(history, incoming), f"{out}/reviews")
+    reviews = spark.read.schema(incoming.schema).parquet(paths["reviews"])
+    if translations is not None:
+        tagged = language.language_tag(reviews, "review_description", "language_code")
+        store("translated_reviews", language.translation_route(tagged, "review_description", translations))
 
-    scored, report = predict_bugs(reviews, training, grid)
+    scored, report, scores = predict_bugs(reviews, training, grid, embedder)
     store("classifier_report", report)
+    store("classifier_scores", small_table(spark, scores, S.CLASSIFIER_SCORES))
     predictions = store("bug_predictions", scored)
     store("prioritized_bugs", tickets.prioritize(predictions))
     categorized = store("categorized_bugs", categorize_bugs(predictions, taxonomy_rules(spark)))
-    relabelled = store("reclassified_bugs", models.reclassify_other(categorized))
-    per_category = rollup.developer_rollup(relabelled, severity_table(spark))
+    relabelled = store("reclassified_bugs", models.reclassify_other(categorized, embedder=embedder))
+    severity = severity_table(spark)
+    board = store("tickets", tickets.tickets(relabelled, severity))
+    _, paths["sent_tickets"] = deliver_digest(spark, board, out)
+    paths["digest"] = current(spark, f"{out}/digest")
+    sections = None
+    if summariser is not None:
+        keyed = board.select("ticket_key", "review_description", "bug_category", "review_date", "app_version")
+        sections = store("report_sections", summarise(keyed, summariser, "ticket_key", parsed))
+    per_category = rollup.developer_rollup(relabelled, severity)
     store("developer_bug_summaries", rollup.order_by_priority(
-        rollup.developer_summaries(per_category)).drop("priority_rank"))
+        rollup.developer_summaries(per_category, sections)).drop("priority_rank"))
     return paths

@@ -19,13 +19,16 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; quoted texts may hold line breaks and doubled quotes.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; quoted texts may hold doubled quotes and, if ``multi_line``, line breaks.
 
     Columns are matched by name, whatever their order; others are left out, missing ones are an
-    error. A value that does not fit its type is null; words like ``null`` and ``nan`` stay text.
+    error. All files below ``path`` must have the header of the first: one that differs is an error,
+    not rows in the wrong columns. A value that does not fit its type is null; words like ``null`` and
+    ``nan`` stay text. A file with line breaks in its texts cannot be split, so it is one task: give
+    many files, or say ``multi_line=False`` where no text has any.
     """
-    options = {"header": True, "multiLine": True, "escape": '"'}
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": False}
     header = spark.read.options(**options).csv(path).columns
     known = {field.name: field for field in schema}
     actual = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
@@ -53,10 +56,11 @@ def read_source(
         return spark.table(table)
     if empty_if_missing:
         return spark.createDataFrame([], schema)
-    raise FileNotFoundError(f"{path} not found and table {table} missing")
+    raise FileNotFoundError(f"neither a file {path} nor a table {table} to read")
 
 
 def read_sent(spark: SparkSession, path: str | None = None, table: str | None = None) -> DataFrame:
-    """The sent ids; empty when nothing is stored or what is stored lacks the column."""
+    """The sent keys and ids; empty when nothing is stored or what is stored lacks the columns."""
     stored = read_source(spark, path, table, empty_if_missing=True, schema=SENT_TICKETS)
-    return stored if "ticket_id" in stored.columns else spark.createDataFrame([], SENT_TICKETS)
+    known = set(SENT_TICKETS.names) <= set(stored.columns)
+    return stored if known else spark.createDataFrame([], SENT_TICKETS)

@@ -14,7 +14,10 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """With a header; quotes inside texts are doubled, times keep their microseconds."""
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"header": True, "escape": '"', "timestampNTZFormat": exact, "timestampFormat": exact + "XXX"}
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:

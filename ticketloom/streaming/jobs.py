@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ticketloom.operators.aggregates import KEYED
+from ticketloom.operators.aggregates import weekly_counts
 from ticketloom.operators.ingest import upsert_latest
 from ticketloom.operators.state import DIGEST_COLUMNS, new_tickets
 from ticketloom.sources.readers import path_exists
+from ticketloom.sources.versions import remove
 
 
 def _bucket(key: str, buckets: int):
@@ -18,28 +19,35 @@ def _bucket(key: str, buckets: int):
 
 def stream_upsert(
     stream: DataFrame, target: str, checkpoint: str, key: str = "review_id",
-    tiebreak: list[str] | None = None, buckets: int = 64,
+    tiebreak: list[str] | None = None, buckets: int = 64, splits: int = 4,
 ) -> StreamingQuery:
     """Keep the latest review per key in a parquet folder partitioned by key bucket.
 
-    A micro-batch rewrites only the buckets it touches. The merged buckets are first written to
-    a staging folder named by the batch, so that a batch that failed while it replaced them is
-    finished from there.
+    The result is that of one upsert of all rows so far, whichever batch brought them: rows equal in
+    date go by ``tiebreak`` (or by all other columns), not by arrival. A micro-batch is stored once and
+    rewrites the buckets it touches, each in ``splits`` files; choose ``buckets`` so that a bucket of
+    the whole history is a few tasks' work. The merged buckets are first written to a staging folder
+    named by the batch, so that a batch that failed while it replaced them is finished from there;
+    the folders of earlier batches are removed.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        staged = f"{checkpoint}/staged/batch={batch_id}"
+        arrived, staged = (f"{checkpoint}/{kind}/batch={batch_id}" for kind in ("arrived", "staged"))
+        for kind in ("arrived", "staged"):
+            remove(session, f"{checkpoint}/{kind}/batch={batch_id - 1}")
         if not path_exists(session, f"{staged}/_SUCCESS"):
-            incoming = batch.withColumn("bucket", _bucket(key, buckets))
+            rows = batch.withColumn("bucket", _bucket(key, buckets))
+            rows.write.mode("overwrite").parquet(arrived)
+            incoming = session.read.schema(rows.schema).parquet(arrived)
             if path_exists(session, target):
                 touched = incoming.select("bucket").distinct()
-                schema = incoming.schema
-                existing = session.read.schema(schema).parquet(target).join(touched, "bucket", "left_semi")
+                existing = session.read.schema(rows.schema).parquet(target).join(touched, "bucket", "left_semi")
             else:
                 existing = incoming.limit(0)
-            merged = upsert_latest(existing, incoming, key, tiebreak)
-            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+            merged = upsert_latest(existing, incoming, key, tiebreak, incoming_wins=False)
+            split = F.pmod(F.xxhash64(F.lit(1), key), F.lit(splits))
+            merged.repartition("bucket", split).write.mode("overwrite").partitionBy("bucket").parquet(staged)
         writer = session.read.parquet(staged).write.mode("overwrite").partitionBy("bucket")
         writer.option("partitionOverwriteMode", "dynamic").parquet(target)
 
@@ -54,22 +62,22 @@ def stream_upsert(
 def stream_new_tickets(
     tickets: DataFrame, sent: DataFrame, target: str, checkpoint: str, delay: str = "7 days"
 ) -> StreamingQuery:
-    """Append each ticket whose id was neither sent nor emitted before, once.
+    """Append each ticket whose key was neither sent nor emitted before, once.
 
-    Ids repeated within ``delay`` of their arrival are dropped by the stream's state, whose size
+    Keys repeated within ``delay`` of their arrival are dropped by the stream's state, whose size
     that bounds; older repeats meet the emitted table. The watermark follows the arrival time, so
     no ticket is too late. Each batch overwrites its own folder, so a repeated batch changes nothing.
     """
     arrived = tickets.withColumn("_arrived", F.current_timestamp())
-    once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["TicketID"])
+    once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["ticket_key"])
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        known = sent.select("ticket_id")
+        known = sent.select("ticket_key", "ticket_id")
         if path_exists(session, target):
-            emitted = session.read.schema("TicketID string, batch_id int").parquet(target)
+            emitted = session.read.schema("ticket_key string, TicketID string, batch_id int").parquet(target)
             before = emitted.filter(F.col("batch_id") < batch_id)
-            known = known.unionByName(before.select(F.col("TicketID").alias("ticket_id")))
+            known = known.unionByName(before.select("ticket_key", F.col("TicketID").alias("ticket_id")))
         fresh = new_tickets(batch, known).select(*DIGEST_COLUMNS)
         fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
@@ -81,35 +89,18 @@ def stream_new_tickets(
     )
 
 
-def weekly_windows(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Counts per week (Monday to Sunday), version and category; late rows within ``delay`` count.
+def stream_weekly_counts(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Counts of each micro-batch per week, version and category, a folder per batch.
 
-    A watermark needs a zoned time: the naive ``review_date`` is taken as UTC in whatever zone the
-    session has, so that weeks start on Monday 00:00 as they do in the batch.
+    The stored counts are the state, so nothing waits for a watermark: a late row is counted when it
+    comes, and a date in the future holds nothing back. A repeated batch overwrites its own folder.
     """
-    zone = F.current_timezone()
-    weeks = F.window("_at", "7 days", "7 days", "4 days")
-    counts = (
-        stream.filter(KEYED)
-        .withColumn("_at", F.from_utc_timestamp(F.col("review_date").cast("timestamp"), zone))
-        .withWatermark("_at", delay)
-        .groupBy(weeks.alias("week"), "app_version", "bug_category")
-        .agg(F.count(F.lit(1)).alias("bug_count"))
-    )
-    week_end = F.date_sub(F.to_utc_timestamp("week.end", zone).cast("date"), 1)
-    return counts.select(week_end.alias("week_end"), "app_version", "bug_category", "bug_count")
-
-
-def stream_weekly_counts(
-    stream: DataFrame, target: str, checkpoint: str, delay: str = "7 days"
-) -> StreamingQuery:
-    """The latest weekly counts as a parquet folder per batch; updated groups supersede older ones."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        weekly_counts(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
-        weekly_windows(stream, delay).writeStream.outputMode("update").foreachBatch(save)
+        stream.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -117,8 +108,7 @@ def stream_weekly_counts(
 
 
 def current_weekly_counts(spark: SparkSession, target: str) -> DataFrame:
-    """What the stream has counted so far: the last batch's number for each group."""
+    """What the stream has counted so far: the sum of all batches."""
     schema = "week_end date, app_version string, bug_category string, bug_count bigint, batch_id int"
-    groups = ["week_end", "app_version", "bug_category"]
     saved = spark.read.schema(schema).parquet(target)
-    return saved.groupBy(*groups).agg(F.max_by("bug_count", "batch_id").alias("bug_count"))
+    return saved.groupBy("week_end", "app_version", "bug_category").agg(F.sum("bug_count").alias("bug_count"))
