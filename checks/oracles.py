@@ -446,7 +446,9 @@ SELECT review_description, coalesce(CASE WHEN given = 'Other' THEN known END, gi
   CASE WHEN given = 'Other' THEN known END AS predicted_category FROM planted_bugs""",
     "other_clusters": """
 SELECT min(event_id) AS first_review, count(*) AS reviews, 1::bigint AS texts FROM grouped_texts GROUP BY cleaned_text""",
-    "topics": "SELECT DISTINCT array_to_string(list_sort(string_split(cleaned_text, ' ')), ' ') AS words FROM grouped_texts",
+    "topics": """
+SELECT DISTINCT array_to_string(list_sort(string_split(t.cleaned_text, ' ')), ' ') AS words
+FROM events e JOIN group_texts t ON t.g = e.user_id % 2""",
     "topic_vocabulary": """
 SELECT term, count(*) AS tf, round(ln((1 + (SELECT count(*) FROM analysed)) / (1 + count(DISTINCT review_id))) + 1, 6) AS idf
 FROM (SELECT review_id, unnest(string_split(cleaned_text, ' ')) AS term FROM analysed) WHERE length(term) >= 2

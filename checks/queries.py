@@ -640,8 +640,8 @@ def topic_vocabulary(spark, sf):
 
 @query
 def topics(spark, sf):
-    """Topics of texts from five groups of words; the words of each sorted, the topics unnumbered."""
-    return phrases.topics(T.grouped_texts(spark, sf), words=3, iterations=60).select(
+    """Topics of texts from two groups of words; the words of each sorted, the topics unnumbered."""
+    return phrases.topics(T.grouped_texts(spark, sf, 2), k=2, words=3, iterations=20).select(
         F.array_join(F.array_sort("words"), " ").alias("words")
     )
 

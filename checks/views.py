@@ -260,9 +260,9 @@ def planted_bugs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def grouped_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """A text for every event: the three words of one of five groups."""
+def grouped_texts(spark: SparkSession, sf: str, groups: int = 5) -> DataFrame:
+    """A text for every event: the three words of one of the first ``groups`` groups."""
     texts = F.array(*[F.lit(" ".join(words)) for words in GROUP_WORDS])
     return table(spark, sf, "events").select(
-        "event_id", F.get(texts, (F.col("user_id") % 5).cast("int")).alias("cleaned_text")
+        "event_id", F.get(texts, (F.col("user_id") % groups).cast("int")).alias("cleaned_text")
     )
