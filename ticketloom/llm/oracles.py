@@ -111,7 +111,7 @@ numbered AS (
 walk AS (
   {_network('numbered', 'n')}
   UNION ALL {_network('(SELECT * EXCLUDE (place), place AS was FROM walk WHERE place >= total)', 'was').replace('SELECT * EXCLUDE (l, r), l', 'SELECT * EXCLUDE (l, r, was), l', 1)})
-SELECT doc_id, size, text_crc32, 'rows' AS law, cast(place % 8 AS int) AS shard, place // 8 AS slot, cast(NULL AS int) AS grown_shard
+SELECT doc_id, size, text_crc32, 'rows' AS law, cast(place % 8 AS int) AS shard, place // 8 AS slot, cast(NULL AS double) AS grown_shard
 FROM walk WHERE place < total"""
 
 
