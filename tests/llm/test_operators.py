@@ -178,13 +178,29 @@ def test_copies_around_a_text_that_are_less_like_each_other(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates.classes(table(spark, rows)).collect()} == wanted
 
 
-def test_sketches_agree_where_coordinates_do(spark):
+def test_sketches_agree_where_coordinates_do():
     made = [near_duplicates.signature(*near_duplicates.shingles(t)) for t in family(6, edits=20)]
-    packed = [near_duplicates.sketch_of(m).tolist() for m in made]
-    df = spark.createDataFrame([(i, j, packed[i], packed[j]) for i in range(6) for j in range(6)], "i int, j int, a array<long>, b array<long>")
-    for r in df.withColumn("n", near_duplicates.agreeing(F.col("a"), F.col("b"))).collect():
-        bits = [(m >> np.uint64(40)) & np.uint64(15) for m in (made[r.i], made[r.j])]
-        assert r.n == int((bits[0] == bits[1]).sum())
+    packed = np.stack([near_duplicates.sketch_of(m).view(np.uint64) for m in made])
+    bits = [(m >> np.uint64(40)) & np.uint64(15) for m in made]
+    wanted = [[int((a == b).sum()) for b in bits] for a in bits]
+    assert near_duplicates.agreeing(packed, packed).tolist() == wanted
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_buckets_of_many_classes(spark, monkeypatch, block):
+    """Copies of one text with few or many changes: linked in chains, or not at all."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    base = DRAW.choices(VOCABULARY, k=150)
+    texts = []
+    for _ in range(60):
+        copy = base[:]
+        for i in DRAW.sample(range(150), DRAW.randint(1, 8)):
+            copy[i] = "new" + str(DRAW.random())
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    wanted = brute.near_classes(rows)
+    assert 3 < len(set(wanted.values())) < 60
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(table(spark, rows)).collect()} == wanted
 
 
 def test_repeated_keys_share_a_class(spark):
