@@ -11,6 +11,7 @@ from ticketloom import schemas as S
 from ticketloom.operators import rollup, tickets
 from ticketloom.operators.lookup import severity_table
 from ticketloom.plans import daily
+from ticketloom.session import materialise, scratch_scope
 from ticketloom.sources import readers, versions, writers
 
 ROWS = [
@@ -155,6 +156,14 @@ def test_daily_chain_runs_twice(spark, tmp_path):
     assert spark.read.parquet(paths["reviews"]).count() == 70
 
 
+def test_scratch_is_removed_with_its_scope(spark):
+    with scratch_scope(spark):
+        kept = materialise(spark.range(5), "scratch")
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 5 and readers.path_exists(spark, path)
+    assert not readers.path_exists(spark, path)
+
+
 def test_attended_state_is_stored(spark, tmp_path):
     wanted = spark.createDataFrame([("A1", "BUG-1")], "ticket_key string, TicketID string")
     for at in ("2024-01-01 00:00:00", "2024-02-01 00:00:00"):
