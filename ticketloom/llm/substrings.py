@@ -13,6 +13,9 @@ are keyed by their own 128-bit hash, of which the least document is an aggregate
 shuffle, and met in a join whose skewed keys adaptive execution splits. No task then holds the windows
 of more than a bounded number of rows, and nothing is left out.
 
+A row whose whole text a row of a lesser key has too is a repeat from end to end; it is set aside at the
+start and its windows do not travel.
+
 Words are runs of anything but the six ASCII white-space characters, unchanged. A null text has no
 words; null keys count as the least. Rows of equal key do not remove each other's words. An empty table
 gives an empty result. Long texts are read whole. Columns whose names begin with an underscore are
@@ -76,28 +79,28 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield part, [(t or "").encode().split() for t in part.column(column).to_pylist()]
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(minimiser, row), once for each row."""
+def _occurrences(docs: DataFrame, at: int) -> DataFrame:
+    """(minimiser, row), once for each row. ``at``: where the text is; the row's hash comes last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 1):
+        for part, texts in _texts(batches, at):
             found = [np.unique(minimisers(words)) for words in texts]
-            rows = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+            rows = np.repeat(part.column(part.num_columns - 1).to_numpy(), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(found)), pa.array(rows)], names=["minimiser", "_row"]
             )
 
-    return docs.select("_row", "_text").mapInArrow(run, "minimiser long, _row long")
+    return docs.mapInArrow(run, "minimiser long, _row long")
 
 
-def _packed(wanted: DataFrame) -> DataFrame:
+def _packed(wanted: DataFrame, at: int) -> DataFrame:
     """Super-k-mers of minimisers that are shared and not hot, as packed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 2):
-            rows, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
+        for part, texts in _texts(batches, at):
+            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "shared"))
             out: list[tuple] = []
-            for row, key, words, shared in zip(rows, keys, texts, _arrays(part.column(3))):
+            for row, key, words, shared in zip(rows.to_pylist(), keys.to_pylist(), texts, _arrays(lists)):
                 least = minimisers(words)
                 starts, sizes = super_kmers(least)
                 for i in np.flatnonzero(np.isin(least[starts], shared)).tolist():
@@ -105,23 +108,22 @@ def _packed(wanted: DataFrame) -> DataFrame:
                     out.append((int(least[first]), b" ".join(words[first:first + n + WINDOW - 1]), key, row, first, n))
             yield _batch(out, PACKED)
 
-    return wanted.select("_row", "_key", "_text", "shared").mapInArrow(run, "minimiser long, " + PLACES.replace("W", "packed binary, "))
+    return wanted.mapInArrow(run, "minimiser long, " + PLACES.replace("W", "packed binary, "))
 
 
-def _hot_windows(wanted: DataFrame) -> DataFrame:
+def _hot_windows(wanted: DataFrame, at: int) -> DataFrame:
     """Every window of a hot minimiser, by its 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 2):
-            rows, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for row, key, words, hot in zip(rows, keys, texts, _arrays(part.column(3))):
-                at = np.flatnonzero(np.isin(minimisers(words), hot)).tolist()
+        for part, texts in _texts(batches, at):
+            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "hot"))
+            for row, key, words, hot in zip(rows.to_pylist(), keys.to_pylist(), texts, _arrays(lists)):
+                found = np.flatnonzero(np.isin(minimisers(words), hot)).tolist()
                 yield _batch(
-                    [(xxhash.xxh3_128_digest(b" ".join(words[i:i + WINDOW])), key, row, i, 1) for i in at], PACKED[1:]
+                    [(xxhash.xxh3_128_digest(b" ".join(words[i:i + WINDOW])), key, row, i, 1) for i in found], PACKED[1:]
                 )
 
-    chosen = wanted.filter(F.size("hot") > 0).select("_row", "_key", "_text", "hot")
-    return chosen.mapInArrow(run, PLACES.replace("W", "packed binary, "))
+    return wanted.filter(F.size("hot") > 0).mapInArrow(run, PLACES.replace("W", "packed binary, "))
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -184,17 +186,23 @@ def _window_repeats(windows: DataFrame) -> DataFrame:
     return windows.join(least, "packed").filter("_key > low").select("_key", "_row", "first", "windows")
 
 
+def _copies(docs: DataFrame, text: str) -> DataFrame:
+    """Rows whose whole text a row of a lesser key has too."""
+    hashed = docs.filter(F.col(text).isNotNull()).select("_row", "_key", F.sha2(F.col(text).cast("binary"), 256).alias("_body"))
+    firsts = hashed.groupBy("_body").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high")).filter("_low < _high")
+    return hashed.join(firsts, "_body").filter("_key > _low").select("_row").distinct()
+
+
 def _without(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
     """``rows`` (with their repeated stretches) with the words kept and the counts."""
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
-            n = len(columns)
-            keys, stretches = part.column(n).to_pylist(), part.column(n + 1).to_pylist()
+            keys, copies, stretches = (part.column(c).to_pylist() for c in ("_key", "_copy", "stretches"))
             kept, totals, removed = [], [], []
-            for words, key, own in zip(texts, keys, stretches):
-                gone = np.zeros(len(words), bool)
+            for words, key, copy, own in zip(texts, keys, copies, stretches):
+                gone = np.full(len(words), bool(copy) and len(words) >= WINDOW)
                 for s in own or ():
                     if s["_key"] == key:  # else another row of the same hash
                         gone[s["first"]:s["first"] + s["windows"] + WINDOW - 1] = True
@@ -203,10 +211,12 @@ def _without(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
                 totals.append(len(words))
                 removed.append(len(words) - len(left))
             made = [pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=[*columns, "kept_text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:len(columns)], *made], names=[*columns, "kept_text", "n_words", "n_removed"]
+            )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    return rows.select(*columns, "_key", "stretches").mapInArrow(
+    return rows.select(*columns, "_key", "_copy", "stretches").mapInArrow(
         run, f"{fields}, kept_text string, n_words long, n_removed long"
     )
 
@@ -214,21 +224,26 @@ def _without(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns, at = df.columns, df.columns.index(text)
+    order = F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("_key")
     # A row goes by a hash of key and text, so that rows that share a key stay apart.
-    docs = df.withColumns({
-        "_row": F.xxhash64(F.col(key), F.col(text)), "_key": F.coalesce(F.col(key).cast("long"), F.lit(LEAST)), "_text": F.col(text),
-    })
-    found = _occurrences(docs)
+    docs = df.withColumn("_row", F.xxhash64(F.col(key), F.col(text)))
+    # The texts are dealt once; every step below asks for the same columns, so Spark reuses the shuffle.
+    copies = _copies(docs.select("_row", order, text), text).withColumn("_copy", F.lit(True))
+    dealt = docs.repartition(parts, "_row").join(copies.hint("shuffle_hash"), "_row", "left")
+    # a copy is known to be repeated as a whole, and its windows are no news to others
+    open_ = dealt.filter("_copy IS NULL").select(*columns, "_row")
+    found = _occurrences(open_, at)
     shared = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    hot = F.when(F.col("held") > hot_rows, F.col("minimiser"))
     cool = F.when(F.col("held") <= hot_rows, F.col("minimiser"))
+    hot = F.when(F.col("held") > hot_rows, F.col("minimiser"))
     marked = found.join(shared.hint("shuffle_hash"), "minimiser").groupBy("_row").agg(
         F.collect_list(cool).alias("shared"), F.collect_list(hot).alias("hot")  # bounded by the text
     )
-    dealt = docs.repartition(parts, "_row")
-    wanted = dealt.join(marked, "_row").select("_row", "_key", "_text", "shared", "hot")
-    repeats = _bucket_repeats(_packed(wanted)).unionByName(_window_repeats(_hot_windows(wanted)))
+    wanted = open_.join(marked, "_row").select(*columns, "_row", order, "shared", "hot")
+    repeats = _bucket_repeats(_packed(wanted, at)).unionByName(_window_repeats(_hot_windows(wanted, at)))
     stretches = repeats.groupBy("_row").agg(
         F.collect_list(F.struct("_key", "first", "windows")).alias("stretches")  # bounded by the text
     )
-    return _without(dealt.join(stretches, "_row", "left"), df.columns, text)
+    last = dealt.join(stretches, "_row", "left").select(*columns, order, "_copy", "stretches")
+    return _without(last, columns, text)
