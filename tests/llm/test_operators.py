@@ -333,6 +333,43 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty, mixing.default_margins()).count() == 0
 
 
+def test_mixing_by_share(spark):
+    """The share decides the scale: one document of a new source and language moves the others by a thousandth at most."""
+    langs = {0: "en", 1: "en", 2: "en", 3: "de", 4: "fr"}
+    rows = [(i, prose(20 + i % 50), f"s{(i % 11) ** 2 % 7}", langs[i % 5]) for i in range(1500)]
+    columns = "doc_id long, text string, source string, lang string"
+    margins = {"source": F.col("source"), "lang": F.col("lang")}
+
+    def run(rows, **scale):
+        made = mixing.mix(spark.createDataFrame(rows, columns), margins, **scale).collect()
+        return {r.doc_id: r for r in made}
+
+    found, more = run(rows, share=0.75), run([*rows, (-1, prose(5), None, "xx")], share=0.75)
+    total = sum(r._tokens for r in found.values())
+    assert sum(r._tokens * r._probability for r in found.values()) == pytest.approx(0.75 * total, rel=1e-4)
+    assert more[-1]._probability == 1.0 and len(found) == len(rows)
+    assert all(more[i]._probability == pytest.approx(r._probability, rel=1e-3) for i, r in found.items())
+    for m in margins:  # every target that the supply allows is met
+        own, drawn = {}, {}
+        for r in found.values():
+            own[r[m]] = own.get(r[m], 0) + r._tokens
+            drawn[r[m]] = drawn.get(r[m], 0) + r._tokens * r._probability
+        raised = {v: t ** mixing.TEMPER for v, t in own.items()}
+        for v, t in raised.items():
+            assert drawn[v] == pytest.approx(0.75 * total * t / sum(raised.values()), rel=1e-3)
+    kept = sum(r._tokens * r._probability for r in run([*rows, (-1, prose(5), None, "xx")]).values())
+    assert kept < 0.7 * total  # where the scarcest cell decides, it drops more
+
+
+def test_amounts_go_no_further_than_supply(spark):
+    cells = spark.createDataFrame([("a", 10.0), ("b", 100.0), ("c", 890.0), (None, 0.0)], "_s string, _tokens double")
+    aims = spark.createDataFrame([("a", 0.4), ("b", 0.2), ("c", 0.4)], "_s string, _target double")
+    made = {r._value: r._amount for r in mixing.amounts(cells, {"_s": aims}, 0.5)["_s"].collect()}
+    assert made == pytest.approx({"a": 10.0, "b": 100.0, "c": 390.0})
+    found = {r._s: r._probability for r in mixing.filled(cells, {"_s": aims}, 0.5).collect()}
+    assert found == pytest.approx({"a": 1.0, "b": 1.0, "c": 390 / 890, None: 1.0})
+
+
 # --- URLs --------------------------------------------------------------------------------------
 
 def day(n):

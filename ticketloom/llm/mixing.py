@@ -2,10 +2,14 @@
 
 Token weights are summed over cells, one for each combination of the margins (source, language,
 topic). Raking scales the cells to each margin's target shares in turn until all of them hold; a
-cell's calibrated weight over its tokens says how much of it is wanted. The scarcest cell is taken
-whole, all others in proportion: a document is kept with its cell's probability, by a hash of its key
-and text, so that the same document is always drawn alike and the expected tokens have the target
-shares on every margin.
+cell's calibrated weight over its tokens says how much of it is wanted. A document is kept with its
+cell's probability, by a hash of its key and text, so that the same document is always drawn alike.
+
+With a ``share`` the sample holds that share of all tokens. A value whose target is more than it has
+is taken whole and the others of its margin share the rest by their targets; a cell that would be
+wanted more than once is taken whole and the rest is raked again. A rare source or a cell of one
+document so moves nothing but itself. Without a ``share`` the scarcest cell sets the scale: it is
+taken whole, all others in proportion, and the targets hold exactly.
 
 The fit works on the table of cells alone, by joins with the sums of a margin, and stores the cells
 after every round. The corpus is read once for the cells and once for the draw. Null margins are a
@@ -27,6 +31,10 @@ from ticketloom.session import materialise
 TOLERANCE, ROUNDS = 1e-6, 200
 # Target shares: a margin's own shares to this power, so that large sources shrink and small ones grow.
 TEMPER = 0.9
+# The share of all tokens that the registered query and the pipeline keep.
+SHARE = 0.75
+# No cell is wanted more often than this, where margins cannot hold together.
+MOST_WANTED = 1e12
 
 
 def token_weight(text: Column) -> Column:
@@ -89,6 +97,73 @@ def calibrated(cells: DataFrame) -> DataFrame:
     return rated.withColumn("_probability", F.coalesce(F.least(F.col("_ratio") / most, F.lit(1.0)), F.lit(1.0)))
 
 
+def amounts(cells: DataFrame, targets: dict[str, DataFrame], share: float) -> dict[str, DataFrame]:
+    """For every margin its values with ``_amount``, the tokens wanted of each, in all ``share`` of the tokens.
+
+    By the targets, but no more of a value than it has: what it lacks goes to the others by their targets.
+    """
+    supplies = {}
+    for margin, target in targets.items():
+        sums = cells.groupBy(margin).agg(F.sum("_tokens").alias("_supply"))
+        known = sums.join(target, sums[margin].eqNullSafe(target[margin])).filter("_supply > 0 AND _target > 0")
+        supplies[margin] = materialise(known.select(sums[margin].alias("_value"), "_supply", "_target"), "supplies")
+    offered = [s.agg(F.sum("_supply")).first()[0] or 0.0 for s in supplies.values()]
+    budget = min([share * (cells.agg(F.sum("_tokens")).first()[0] or 0.0), *offered])
+    made = {}
+    for margin, supply in supplies.items():
+        level, risen = 0.0, True
+        while risen:
+            whole = F.col("_supply") <= level * F.col("_target")
+            held, rest = supply.agg(
+                F.sum(F.when(whole, F.col("_supply")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("_target")))
+            ).first()
+            risen = bool(rest) and (budget - held) / rest > level * (1 + 1e-12)
+            level = (budget - held) / rest if risen else level
+        made[margin] = supply.select("_value", F.least("_supply", level * F.col("_target")).alias("_amount"))
+    return made
+
+
+def filled(
+    cells: DataFrame, targets: dict[str, DataFrame], share: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS
+) -> DataFrame:
+    """Cells with ``_probability``: raked to the amounts of every margin, no cell beyond the tokens it has.
+
+    A full cell stays full while its weight is at least its tokens; the factor of a value is the one
+    that gives its amount if the same cells stay full (Newton's step, which ends there from any side).
+    """
+    wanted = {m: materialise(a, "amounts") for m, a in amounts(cells, targets, share).items()}
+    taken, full = F.least("_weight", "_tokens"), F.col("_weight") >= F.col("_tokens")
+    fitted = cells.withColumn("_weight", share * F.col("_tokens"))
+    for _ in range(rounds):
+        step = fitted.withColumn("_before", taken)
+        for margin, amount in wanted.items():
+            sums = step.groupBy(F.col(margin).alias("_key")).agg(
+                F.sum("_tokens").alias("_supply"),
+                F.sum(F.when(full, F.col("_tokens")).otherwise(0.0)).alias("_full"),
+                F.sum(F.when(full, 0.0).otherwise(F.col("_weight"))).alias("_free"),
+                F.max(F.when(F.col("_weight") > 0, F.col("_tokens") / F.col("_weight"))).alias("_rise"),
+            )
+            asked = F.coalesce("_amount", F.lit(0.0))
+            factor = (
+                F.when(asked >= F.col("_supply") * (1 - 1e-12), F.coalesce("_rise", F.lit(1.0)))
+                .when((asked > F.col("_full")) & (F.col("_free") > 0), (asked - F.col("_full")) / F.col("_free"))
+                .when(F.col("_full") + F.col("_free") > 0, asked / (F.col("_full") + F.col("_free")))
+                .otherwise(0.0)
+            )
+            factors = sums.join(amount, F.col("_key").eqNullSafe(F.col("_value")), "left").select("_key", factor.alias("_factor"))
+            raised = F.least(F.col("_weight") * F.col("_factor"), F.col("_tokens") * MOST_WANTED)
+            step = step.join(factors, F.col(margin).eqNullSafe(F.col("_key"))).select(
+                *cells.columns, "_before", raised.alias("_weight")
+            )
+        step = materialise(step, "raked")
+        change, whole = step.agg(F.sum(F.abs(taken - F.col("_before"))), F.sum("_tokens")).first()
+        fitted = step.drop("_before")
+        if (change or 0.0) <= tolerance * (whole or 0.0):
+            break
+    # a cell without tokens cannot upset the shares and is kept
+    return fitted.withColumn("_probability", F.when(F.col("_tokens") > 0, taken / F.col("_tokens")).otherwise(1.0))
+
+
 def draw(key: str, text: str, seed: int) -> Column:
     """A number in [0, 1) from a row's key and text."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 11)
@@ -97,17 +172,19 @@ def draw(key: str, text: str, seed: int) -> Column:
 
 def mix(
     df: DataFrame, margins: dict[str, Column], key: str = "doc_id", text: str = "text",
-    targets: Callable[[DataFrame, str], DataFrame] = tempered_targets, seed: int = 97,
+    targets: Callable[[DataFrame, str], DataFrame] = tempered_targets, seed: int = 97, share: float | None = None,
 ) -> DataFrame:
     """All rows and columns of ``df`` with ``_tokens``, ``_probability`` and ``_sampled``.
 
     ``margins`` names the margins and gives the expression of each; ``targets`` gives a margin's
-    values with their shares from the cells.
+    values with their shares from the cells; ``share`` is the share of all tokens to keep, None to let
+    the scarcest cell decide.
     """
     names = {m: f"_{m}" for m in margins}
     shown = df.withColumns({names[m]: c for m, c in margins.items()} | {"_own": token_weight(F.col(text))})
     cells = materialise(shown.groupBy(*names.values()).agg(F.sum("_own").alias("_tokens")), "cells")
-    fitted = calibrated(rake(cells, {c: materialise(targets(cells, c), "targets") for c in names.values()}))
+    aims = {c: materialise(targets(cells, c), "targets") for c in names.values()}
+    fitted = calibrated(rake(cells, aims)) if share is None else filled(cells, aims, share)
     rated = materialise(
         fitted.select(*[F.col(c).alias(f"{c}_cell") for c in names.values()], "_probability"), "probabilities"
     )
