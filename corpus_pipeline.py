@@ -40,7 +40,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with probabilities that give every source, language and topic its target share."""
-    return mixing.mix(docs, mixing.default_margins(), share=mixing.SHARE).filter("_sampled").select(*docs.columns)
+    mixed = mixing.mix(docs, mixing.default_margins(), share=mixing.SHARE, tokenizer=TOKENIZER)
+    return mixed.filter("_sampled").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

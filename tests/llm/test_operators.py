@@ -8,12 +8,14 @@ from zlib import crc32
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from tests.conftest import SMALL
 from tests.llm import brute
 from ticketloom.llm import (
     chat, fingerprints, mixing, near_duplicates, order, packing, quality, sharding, substrings, tokenize, urls,
 )
-from ticketloom.llm.queries import TOKENIZER
+from ticketloom.llm.queries import REGISTRY, TOKENIZER
 
 DRAW = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -361,6 +363,29 @@ def test_mixing_by_share(spark):
     assert kept < 0.7 * total  # where the scarcest cell decides, it drops more
 
 
+def test_mixing_weighs_tokens(spark):
+    """Weights are the library's tokens of whole texts, also where there is no white space."""
+    texts = ["word " * 30, "Straßenbahnhaltestelle " * 30, "長" * 500, "", None, "a" * 40_000 + " b"] * 20
+    rows = [(i, t, "s" if i % 2 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mix(df, {"source": F.col("source")}, share=0.6, tokenizer=TOKENIZER, keep=["doc_id"])
+    assert {"doc_id", "_tokens", "_probability", "_sampled"} <= set(made.columns) and "text" not in made.columns
+    found = {r.doc_id: r for r in made.collect()}
+    library = Tokenizer.from_file(TOKENIZER)
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows}
+    assert {i: r._tokens for i, r in found.items()} == want
+    total = sum(want.values())
+    assert sum(r._tokens * r._probability for r in found.values()) == pytest.approx(0.6 * total, rel=1e-4)
+    whole = mixing.mix(df, {"source": F.col("source")}, share=0.6, tokenizer=TOKENIZER)
+    assert {(r.doc_id, r.text, r._sampled) for r in whole.collect()} == {(i, t, found[i]._sampled) for i, t, _ in rows}
+
+
+def test_source_mix_publishes_tokens(spark):
+    library, rows = Tokenizer.from_file(TOKENIZER), REGISTRY["op10_source_mix"](spark, SMALL).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert {r.doc_id: r.tokens for r in rows} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+
+
 def test_amounts_go_no_further_than_supply(spark):
     cells = spark.createDataFrame([("a", 10.0), ("b", 100.0), ("c", 890.0), (None, 0.0)], "_s string, _tokens double")
     aims = spark.createDataFrame([("a", 0.4), ("b", 0.2), ("c", 0.4)], "_s string, _target double")

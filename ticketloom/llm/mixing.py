@@ -1,7 +1,8 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by its result.
 
 Token weights are summed over cells, one for each combination of the margins (source, language,
-topic). Raking scales the cells to each margin's target shares in turn until all of them hold; a
+topic): the tokens that a tokenizer file gives for the whole text, or words where none is named.
+Raking scales the cells to each margin's target shares in turn until all of them hold; a
 cell's calibrated weight over its tokens says how much of it is wanted. A document is kept with its
 cell's probability, by a hash of its key and text, so that the same document is always drawn alike.
 
@@ -12,7 +13,8 @@ document so moves nothing but itself. Without a ``share`` the scarcest cell sets
 taken whole, all others in proportion, and the targets hold exactly.
 
 The fit works on the table of cells alone, by joins with the sums of a margin, and stores the cells
-after every round. The corpus is read once for the cells and once for the draw. Null margins are a
+after every round. With a tokenizer the texts are read once: rows are stored with their tokens, margins
+and draw, and only with the columns asked for. By words the corpus is read for the cells and for the draw. Null margins are a
 value of their own; null and empty texts weigh nothing and are drawn with their cell. Rows equal in
 key and text are drawn alike. An empty table gives an empty result. Working columns begin with an
 underscore; columns of the input with any other names are kept as they are.
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.fingerprints import words_of
+from ticketloom.llm.tokenize import with_tokens
 from ticketloom.session import materialise
 
 TOLERANCE, ROUNDS = 1e-6, 200
@@ -173,15 +176,22 @@ def draw(key: str, text: str, seed: int) -> Column:
 def mix(
     df: DataFrame, margins: dict[str, Column], key: str = "doc_id", text: str = "text",
     targets: Callable[[DataFrame, str], DataFrame] = tempered_targets, seed: int = 97, share: float | None = None,
+    tokenizer: str | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``df`` with ``_tokens``, ``_probability`` and ``_sampled``.
+    """All rows and columns of ``df`` (or those of ``keep``) with ``_tokens``, ``_probability`` and ``_sampled``.
 
     ``margins`` names the margins and gives the expression of each; ``targets`` gives a margin's
     values with their shares from the cells; ``share`` is the share of all tokens to keep, None to let
-    the scarcest cell decide.
+    the scarcest cell decide. ``tokenizer`` is the file whose tokens weigh, None to weigh by words.
     """
-    names = {m: f"_{m}" for m in margins}
-    shown = df.withColumns({names[m]: c for m, c in margins.items()} | {"_own": token_weight(F.col(text))})
+    names, keep = {m: f"_{m}" for m in margins}, df.columns if keep is None else keep
+    shown = df.withColumns({names[m]: c for m, c in margins.items()} | {"_draw": draw(key, text, seed)})
+    carried = [*keep, *names.values(), "_draw"]
+    if tokenizer:
+        counted = with_tokens(shown, text, tokenizer, carried, "_own")
+        shown = materialise(counted.withColumn("_own", F.col("_own").cast("double")), "weighed")
+    else:
+        shown = shown.select(*carried, token_weight(F.col(text)).alias("_own"))
     cells = materialise(shown.groupBy(*names.values()).agg(F.sum("_own").alias("_tokens")), "cells")
     aims = {c: materialise(targets(cells, c), "targets") for c in names.values()}
     fitted = calibrated(rake(cells, aims)) if share is None else filled(cells, aims, share)
@@ -193,8 +203,8 @@ def mix(
         same = same & shown[c].eqNullSafe(rated[f"{c}_cell"])
     return (
         shown.join(rated, same)
-        .drop(*[f"{c}_cell" for c in names.values()])
-        .withColumn("_sampled", draw(key, text, seed) < F.col("_probability"))
+        .withColumn("_sampled", F.col("_draw") < F.col("_probability"))
+        .drop(*[f"{c}_cell" for c in names.values()], "_draw")
         .withColumnRenamed("_own", "_tokens")
     )
 

@@ -134,7 +134,10 @@ def op9_shards(spark, sf):
 
 @query
 def op10_source_mix(spark, sf):
-    mixed = mixing.mix(table(spark, sf, "documents"), mixing.default_margins(), share=mixing.SHARE)
+    mixed = mixing.mix(
+        table(spark, sf, "documents"), mixing.default_margins(), share=mixing.SHARE, tokenizer=TOKENIZER,
+        keep=["doc_id", "source", "lang"],
+    )
     return mixed.select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
         F.round("_probability", 9).alias("probability"), F.col("_sampled").alias("sampled"),

@@ -141,3 +141,20 @@ def token_counts(df: DataFrame, text: str, path: str, keep: list[str]) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "n_bytes", "n_tokens"])
 
     return df.select(*keep, text).mapInArrow(count, schema)
+
+
+def with_tokens(df: DataFrame, text: str, path: str, keep: list[str], name: str) -> DataFrame:
+    """The columns ``keep``, which may hold the text itself, with the tokens of every text as ``name``."""
+    read = keep if text in keep else [*keep, text]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode
+        for batch in batches:
+            texts = [t or "" for t in batch.column(read.index(text)).to_pylist()]
+            counts: list[int] = []
+            for a, b in balanced([len(t) for t in texts]):
+                counts += map(len, encode(texts[a:b]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, name])
+
+    return df.select(*read).mapInArrow(count, schema)
