@@ -2,7 +2,9 @@
 
 import datetime as dt
 import hashlib
+import json
 import random
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -256,6 +258,23 @@ def test_token_counts(spark, edges, empty):
     assert tokenize.token_counts(empty, "text", TOKENIZER, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("change", ["prepend", "special"])
+def test_long_texts_are_cut_only_for_plain_files(tmp_path, change):
+    model = json.loads(Path(TOKENIZER).read_text(encoding="utf-8"))
+    if change == "prepend":
+        model["normalizer"] = {"type": "Prepend", "prepend": "Q"}
+    else:
+        last = max(*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"]))
+        made = dict(model["added_tokens"][0], id=last + 1, content="x y")
+        model["added_tokens"].append(made)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(model), encoding="utf-8")
+    text = "x y " * 30_000
+    ids = tokenize.Encoder(str(path)).encode([text, "short x y"])
+    library = Tokenizer.from_file(str(path))
+    assert [list(i) for i in ids] == [library.encode(t, add_special_tokens=False).ids for t in (text, "short x y")]
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 def test_quality(spark, empty):

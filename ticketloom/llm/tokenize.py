@@ -1,8 +1,8 @@
 """Token counts by a public tokenizer, in batches balanced by bytes, long texts split where it is safe.
 
 A text may be cut before a single space or line feed that stands between two characters that are not
-white space: the byte-level pre-tokenizer never forms a token across such a place, and special strings
-hold no white space. Long texts are encoded in blocks between such places, so that no call of the
+white space, where the file has the plain byte-level pre-tokenizer, which never forms a token across such
+a place, and no special string with white space. With any other file every text is one call. Long texts are encoded in blocks between such places, so that no call of the
 library holds more than a block's offsets; batches of blocks are about equal in bytes. The ids are
 exactly those that the library gives for the whole text.
 
@@ -85,6 +85,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ranked, self.special = ranked_encoding(path)
+        odd = re.compile(f"[{_ODD}]")
+        self.cuts = bool(self.ranked) and not any(map(odd.search, self.ranked.special_tokens_set))
 
     def blocks(self, blocks: list[str]) -> list[np.ndarray]:
         if not self.ranked:
@@ -98,7 +100,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizers library gives them."""
-        cut = [blocks_of(t) if len(t) > BLOCK_CHARS else [t] for t in texts]
+        cut = [blocks_of(t) if self.cuts and len(t) > BLOCK_CHARS else [t] for t in texts]
         ids = iter(self.blocks([b for own in cut for b in own]))
         return [np.concatenate([next(ids) for _ in own]) if len(own) > 1 else next(ids) for own in cut]
 
