@@ -420,6 +420,20 @@ def day(n):
     return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
 
 
+def test_url_patterns_keep_the_case_of_paths(spark):
+    patterns = ["Example.com/De/", "example.com/de/low/", "host.com/A.html", "host.com/b?Q=1", "root.com/"]
+    lists = spark.createDataFrame([("spam", p, "add", day(0)) for p in patterns], "list string, pattern string, action string, at timestamp_ntz")
+    urls_of = {
+        "http://example.com/De/x": "example.com/De/", "http://EXAMPLE.com/de/x": "", "http://example.com/de/low/x": "example.com/de/low/",
+        "http://HOST.com/A.html": "host.com/A.html", "http://host.com/A.html?x#f": "host.com/A.html", "http://host.com/a.html": "",
+        "http://host.com/A.html/x": "", "http://host.com/b?Q=1#f": "host.com/b?Q=1", "http://host.com/b?q=1": "", "http://host.com/b": "",
+        "http://root.com/": "root.com/", "http://root.com/x/y": "root.com/", "http://root.com/x": "root.com/",
+    }
+    rows = spark.createDataFrame([(u, day(1)) for u in urls_of], "url string, fetched_at timestamp_ntz")
+    found = urls.filter_captures(rows, lists, ["url"], []).collect()
+    assert {r.url: r.pattern for r in found} == urls_of and {r.url for r in found if r.blocked} == {u for u, p in urls_of.items() if p}
+
+
 def test_url_filters(spark):
     entries = [("spam", "bad.com", "add", day(5)), ("spam", "bad.com", "remove", day(10)), ("spam", "bad.com", "add", day(12)),
                ("spam", "bad.com", "add", day(5)), ("adult", "ok.org/x/", "add", day(0)), ("allow", "good.bad.com", "add", day(0)),

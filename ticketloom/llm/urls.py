@@ -2,8 +2,9 @@
 
 A list is a log of entries: at a time, a pattern is added to a list or removed from it. The log of one
 pattern becomes disjoint intervals in which it holds. A capture's URL gives the patterns that could
-match it: its host and every parent domain, and its host with every prefix of its path that ends at a
-slash. Captures meet intervals by an equality join on the pattern, with the fetch time inside the
+match it: its host and every parent domain, its host with every prefix of its path that ends at a
+slash, and the page itself, its host with the whole path, without and with the query. Hosts go by lower
+case, paths by their own. Captures meet intervals by an equality join on the pattern, with the fetch time inside the
 interval; a pattern of a list holds in at most one interval at a time, so a capture gets at most one
 row for each list and pattern of its own. A block counts unless a longer pattern of an allow list holds.
 
@@ -25,7 +26,7 @@ def host_of(url: Column) -> Column:
 
 
 def patterns_of(url: Column) -> Column:
-    """Every pattern that could match a URL: domains, and host with path prefixes."""
+    """Every pattern that could match a URL: domains, host with path prefixes, host with path and query."""
     host = host_of(url)
     labels = F.split(host, "\\.")
     domains = F.transform(
@@ -33,20 +34,24 @@ def patterns_of(url: Column) -> Column:
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
+    asked = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^#]*)", 1)
     parts = F.split(path, "/")
     prefixes = F.when(
-        F.size(parts) >= 3,
+        F.size(parts) >= 2,
         F.transform(
-            F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))),
+            F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
             lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    return F.when(host != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array().cast("array<string>"))
+    pages = F.when(path != "", F.array(F.concat(host, path), F.concat(host, asked))).otherwise(F.array().cast("array<string>"))
+    return F.when(host != "", F.array_distinct(F.concat(domains, prefixes, pages))).otherwise(F.array().cast("array<string>"))
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """Intervals [valid_from, valid_to) of (list, pattern) from entries (list, pattern, action, at)."""
-    log = entries.select("list", F.lower("pattern").alias("pattern"), "action", "at").dropna().distinct()
+    host = F.substring_index("pattern", "/", 1)
+    folded = F.concat(F.lower(host), F.substring("pattern", F.length(host) + 1, F.length("pattern")))
+    log = entries.select("list", folded.alias("pattern"), "action", "at").dropna().distinct()
     order = Window.partitionBy("list", "pattern").orderBy("at", "action")  # add before remove
     ended = log.withColumn("valid_to", F.lead("at").over(order))
     return ended.filter("action = 'add' AND (valid_to IS NULL OR valid_to > at)").select(
