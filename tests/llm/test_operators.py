@@ -434,6 +434,11 @@ def test_url_patterns_keep_the_case_of_paths(spark):
     assert {r.url: r.pattern for r in found} == urls_of and {r.url for r in found if r.blocked} == {u for u, p in urls_of.items() if p}
 
 
+def test_near_duplicates_refuse_a_lower_threshold(spark):
+    with pytest.raises(ValueError, match="below 0.8"):
+        near_duplicates.classes(table(spark, [(1, PASSAGE)]), threshold=0.6)
+
+
 def test_url_filters(spark):
     entries = [("spam", "bad.com", "add", day(5)), ("spam", "bad.com", "remove", day(10)), ("spam", "bad.com", "add", day(12)),
                ("spam", "bad.com", "add", day(5)), ("adult", "ok.org/x/", "add", day(0)), ("allow", "good.bad.com", "add", day(0)),

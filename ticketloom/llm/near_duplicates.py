@@ -215,7 +215,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: its key and ``class_id``, the least key of its class."""
+    """One row per row of ``df``: its key and ``class_id``, the least key of its class.
+
+    Bands and the filter on sketches are laid out for a likeness of 0.8: a lower threshold is refused.
+    """
+    if not threshold >= THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {THRESHOLD}: the bands would miss pairs of that likeness")
     rows = materialise(signed(df, key, text), "signatures")
     worded = rows.filter("body IS NOT NULL")
     firsts = materialise(worded.groupBy("body").agg(F.min("id").alias("id")), "texts")
