@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ticketloom.llm.chat import INSTRUCT
+from ticketloom.llm.hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES
+from ticketloom.llm.importance import BUCKETS, LEAST_WORDS, PERCENT
 from ticketloom.llm.queries import ALLOW_LISTS, LIST_EPOCH
 from ticketloom.llm.sharding import PRIME, round_keys
 from ticketloom.llm.substrings import WINDOW
@@ -115,10 +117,68 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, cast(place % 8 AS int) AS shard,
 FROM walk WHERE place < total"""
 
 
+def _words_crc(word: str) -> str:
+    """The checksum of a text, four bits at a time, in each byte the low ones first."""
+    digits = f"string_split(hex(encode({word})), '')"
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({digits}) + 1),
+      lambda i: cast(strpos('0123456789ABCDEF', ({digits})[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 AS bigint))),
+      lambda crc, nibble: xor(crc >> 4, {_crc_table()}[(xor(crc, nibble) & 15) + 1])), 4294967295)"""
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOUND = f"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+IMPORTANCE = f"""
+WITH held AS (SELECT doc_id, {_FOUND} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word FROM held),
+aimed AS (SELECT unnest(ws) AS word FROM (SELECT {_FOUND} AS ws FROM benchmark)),
+buckets AS (
+  SELECT word, {_words_crc("word")} % {BUCKETS} AS bucket
+  FROM (SELECT word FROM words UNION SELECT word FROM aimed)),
+own AS (SELECT bucket, count(*) AS s FROM words JOIN buckets USING (word) GROUP BY bucket),
+aim AS (SELECT bucket, count(*) AS t FROM aimed JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, cast(floor(1000 * ln(
+    (coalesce(t, 0) + 1)::double * ((SELECT coalesce(sum(s), 0) FROM own) + {BUCKETS})::double
+    / ((s + 1)::double * ((SELECT coalesce(sum(t), 0) FROM aim) + {BUCKETS})::double))) AS bigint) AS gain
+  FROM own LEFT JOIN aim USING (bucket)),
+sums AS (SELECT doc_id, sum(gain) AS total FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT h.doc_id, cast(len(ws) AS bigint) AS n_features,
+    cast(CASE WHEN len(ws) = 0 THEN 0 ELSE (total - ((total % len(ws)) + len(ws)) % len(ws)) // len(ws) END AS bigint) AS weight,
+    cast(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || h.doc_id)[1:8])::bigint + 0.5::double) / 4294967296::double))) AS bigint) AS noise
+  FROM held h LEFT JOIN sums USING (doc_id)),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= {LEAST_WORDS})
+SELECT s.doc_id, n_features, weight, weight + noise AS score, cast(CASE WHEN place <= {PERCENT} * n // 100 THEN place END AS double) AS rank
+FROM scored s LEFT JOIN drawn d USING (doc_id)"""
+
+NEGATIVES_OF = f"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, cast(list_inner_product(a.v, b.v) AS bigint) AS score
+  FROM rows a, rows b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {POSITIVES}),
+found AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+    cast(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS int) AS rank
+  FROM positives p JOIN scored s USING (anchor_id)
+  WHERE NOT s.same AND {LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {HIGH} * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= {NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": SUBSTRINGS,
         "op3_url_filters": URLS,
         "op7_chat_format": CHAT,
         "op9_shards": SHARDS,
+        "op11_importance": IMPORTANCE,
+        "op13_hard_negatives": NEGATIVES_OF,
     }

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.llm import (
-    chat, fingerprints, mixing, near_duplicates, packing, quality, sharding, substrings, tokenize, urls,
+    bpe, chat, fingerprints, hard_negatives, importance, mixing, near_duplicates, packing, quality, sharding, substrings,
+    tokenize, urls,
 )
 from ticketloom.session import materialise
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 512
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -142,3 +144,33 @@ def op10_source_mix(spark, sf):
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
         F.round("_probability", 9).alias("probability"), F.col("_sampled").alias("sampled"),
     )
+
+
+@query
+def op11_importance(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+@query
+def op12_bpe(spark, sf):
+    docs = table(spark, sf, "documents")
+    coded = bpe.encode(docs, "text", RANK_FILE, public_tokenizers.PATTERN, ["doc_id"])
+    listed = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    digested = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"))
+    return bpe.decode(digested, "ids", RANK_FILE).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    x = lambda v: v.cast("double")
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < F.lit(float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    made = rows.filter(finite).select(
+        "vec_id", label.alias("label"), F.transform("embedding", lambda v: F.floor(256 * x(v))).alias("vector")
+    )
+    return hard_negatives.mine(made, "vec_id", "vector", "label", F.col("vec_id") % 100 == 0)
