@@ -95,7 +95,7 @@ def test_bit_planes():
 
 @pytest.fixture(scope="module")
 def library():
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.Ranks(RANK_FILE).rank, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.ranks_of(RANK_FILE).rank, special_tokens={})
 
 
 @pytest.mark.parametrize("block_chars", [bpe.BLOCK_CHARS, 500])
@@ -110,7 +110,7 @@ def test_bpe(spark, texts, library, block_chars):
 def test_bpe_of_nothing(spark, texts):
     assert bpe.encode(texts.limit(0), "text", RANK_FILE, PATTERN, ["doc_id"]).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, []), (3, [72, 105])], "i long, ids array<int>")
-    ranks = bpe.Ranks(RANK_FILE)
+    ranks = bpe.ranks_of(RANK_FILE)
     assert {r.i: bytes(r.decoded) for r in bpe.decode(nulls, "ids", RANK_FILE).collect()} == {1: b"", 2: b"", 3: ranks.token[72] + ranks.token[105]}
 
 
@@ -123,18 +123,35 @@ def test_white_space_beyond_the_library(spark):
 
 
 def test_replay_is_the_library_word_by_word(library):
-    ranks = bpe.Ranks(RANK_FILE)
+    ranks = bpe.ranks_of(RANK_FILE)
     words = ["".join(DRAW.choices("aabcdeé長ßtionre", k=DRAW.randint(1, 30))) for _ in range(5000)]
     words += ["a" * n for n in range(1, 70)] + ["".join(chr(DRAW.randint(0x21, 0x2FF)) for _ in range(9)) for _ in range(3000)]
     words = [w.encode() for w in dict.fromkeys(words)]
-    for word, ids in zip(words, bpe.replay(words, ranks)):
-        assert ids == library._core_bpe.encode_single_piece(word)
+    want = [library._core_bpe.encode_single_piece(word) for word in words]
+    assert bpe.replay(words, ranks) == want
+    ids, sizes = bpe.replay_block(words, ranks, few=0)
+    assert [own.tolist() for own in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_replay_where_a_merge_makes_an_earlier_one():
+    """Ranks for which all places at once would go wrong: such words are replayed apart."""
+    tokens = [b"abc", b"ab", b"bc", b"cab", b"aa", b"aaa", b"bcab"]
+    for order in range(200):
+        DRAW.shuffle(tokens)
+        table = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        ranks = bpe.Ranks(table)
+        words = ["".join(DRAW.choices("abc", k=DRAW.randint(1, 12))).encode() for _ in range(100)]
+        library = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=table, special_tokens={})
+        want = [library._core_bpe.encode_single_piece(w) for w in words]
+        assert bpe.replay(words, ranks) == want
+        ids, sizes = bpe.replay_block(words, ranks, few=0)
+        assert [own.tolist() for own in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
 def test_every_code_point(library):
     import regex
 
-    find, ranks = regex.compile(PATTERN).findall, bpe.Ranks(RANK_FILE)
+    find, ranks = regex.compile(PATTERN).findall, bpe.ranks_of(RANK_FILE)
     texts = []
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000:

@@ -1,23 +1,22 @@
-"""Byte-level BPE by replaying merges over the words of the whole corpus.
+"""Byte-level BPE by replaying merges over all words of a block of the corpus at once.
 
-A pattern cuts every text into words; each distinct word of the corpus is encoded once. Words meet in
-blocks: an inverted index names, for every token pair that the vocabulary can merge, the places where it
-stands in any word of the block. Merges are applied in the order of their ranks, each at all places of
-its pair, and only the pairs to the left and right of a place change in the index. A merge that makes
-a pair of lesser rank gives way to it, so the result is that of merging each word by itself, the pair of
-least rank first and the leftmost of equal ones.
+A pattern cuts every text into words; each distinct word of a block of texts is encoded once. An inverted
+index names, for every token pair that the vocabulary can merge, the places where it stands in any word
+of the block. Merges are applied in the order of their ranks, each at all places of its pair in one
+step, and only the pairs to the left and right of a place change in the index. Where a merge makes a pair
+of no greater rank than its own, the order within a word would matter: such a word is replayed apart,
+place by place, the lesser rank first and the leftmost of equal ones, which is the definition.
 
-Texts are cut once, in blocks of bounded size: a block stores its distinct words, and its documents as
-numbers of these words. The words of all blocks are made distinct by a shuffle, encoded, joined back to
-the blocks that hold them (a word counts once a block, however frequent) and meet the block's documents
-in one task, before them. Neither the vocabulary of the corpus nor a block's documents pass the driver,
-and the texts themselves are not shuffled.
+A block is a bounded number of characters of one task's texts; its distinct words, its documents as
+numbers of these words and its index are all a task holds. Nothing is shuffled or passes the driver. (Words
+of all blocks can be made distinct by a shuffle too, but then the documents, as numbers, have to be
+shuffled to meet them again.)
 
 Decoding joins the bytes of the ids; the bytes of a whole encoding are the text's.
 
 A null text counts as empty and has no ids. Long texts are cut and encoded whole, also those without any
 white space and those of nothing else. Repeated rows stay repeated. Empty tables give empty results. Only
-the columns asked for are kept; they may have any names but those beginning with an underscore.
+the columns asked for are kept, under any names.
 """
 
 from __future__ import annotations
@@ -29,30 +28,33 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketloom.session import materialise
-
-# Characters of the texts of a block, and bytes of the words that are replayed together.
-BLOCK_CHARS, REPLAY_BYTES = 1 << 24, 1 << 22
+# Characters of the texts of a block.
+BLOCK_CHARS = 1 << 24
+# Fewer bytes of words than this are replayed place by place, which then is faster.
+FEW_BYTES = 1 << 16
 # Documents of one batch that a task hands out.
 BATCH_DOCS = 256
 
 
 class Ranks:
-    """A rank file: every token's bytes and its rank, which is its id."""
+    """Every token's bytes and its rank, which is its id."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.rank = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    def __init__(self, rank: dict[bytes, int]):
+        self.rank = rank
         self.token = [b""] * (max(self.rank.values(), default=-1) + 1)
         for token, rank in self.rank.items():
             self.token[rank] = token
         self.byte = [self.rank[bytes([b])] for b in range(256)]
         self._merged: dict[tuple[int, int], int] = {}
+        pairs = sorted(
+            (left * len(self.token) + right, rank) for token, rank in self.rank.items() for cut in range(1, len(token))
+            if (left := self.rank.get(token[:cut], -1)) >= 0 <= (right := self.rank.get(token[cut:], -1))
+        )
+        self._pairs = np.array([p for p, _ in pairs], np.int64)
+        self._pair_ranks = np.array([r for _, r in pairs], np.int64)
 
     def merged(self, left: int, right: int) -> int:
         """The rank of the merge of two tokens, -1 if the vocabulary has none."""
@@ -64,13 +66,22 @@ class Ranks:
         return found
 
 
+    def merged_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The same for arrays of tokens; a token below 0 merges with none."""
+        wanted = np.where((left >= 0) & (right >= 0), left * len(self.token) + right, -1)
+        at = np.searchsorted(self._pairs, wanted)
+        at[at == len(self._pairs)] = 0
+        return np.where(self._pairs[at] == wanted, self._pair_ranks[at], -1) if len(self._pairs) else wanted * 0 - 1
+
+
 _ranks: dict[str, Ranks] = {}
 
 
 def ranks_of(path: str) -> Ranks:
     """One table for each file in a Python worker."""
     if path not in _ranks:
-        _ranks[path] = Ranks(path)
+        with open(path, "rb") as file:
+            _ranks[path] = Ranks({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)})
     return _ranks[path]
 
 
@@ -134,134 +145,129 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     return out
 
 
-def _split(df: DataFrame, text: str, pattern: str, keep: list[str], block_chars: int) -> DataFrame:
-    """Rows of two kinds: a block's words, one row each, and its documents as numbers of these words."""
-    schema = T.StructType([
-        T.StructField("_block", T.LongType()), T.StructField("_number", T.LongType()), T.StructField("_word", T.BinaryType()),
-        *(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("_places", T.BinaryType()),
-    ])
+def replay_block(words: list[bytes], ranks: Ranks, few: int = FEW_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, one after the other, and how many each has: each merge at all its places at once."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    if lengths.sum() < few:
+        ids = replay(words, ranks)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for own in ids for x in own), np.int32, int(sizes.sum())), sizes
+    # a word's bytes and a mark that no pair reaches over
+    owner = np.repeat(np.arange(len(words)), lengths + 1)
+    inner = np.ones(len(owner), bool)
+    inner[np.cumsum(lengths + 1) - 1] = False
+    token = np.full(len(owner), -1, np.int64)
+    token[inner] = np.array(ranks.byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+    after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+    odd: list[np.ndarray] = []
+
+    first = ranks.merged_all(token[:-1], token[1:])
+    places = np.flatnonzero(first >= 0)
+    places = places[np.argsort(first[places], kind="stable")]
+    known, cuts = np.unique(first[places], return_index=True)
+    ends = np.append(cuts[1:], len(places))
+    start = {rank: (a, b) for rank, a, b in zip(known.tolist(), cuts.tolist(), ends.tolist())}
+    later: dict[int, list[int]] = {}
+    waiting = list(start)
+    heapify(waiting)
+    while waiting:
+        rank = heappop(waiting)
+        a, b = start.pop(rank, (0, 0))
+        found, more = places[a:b], later.pop(rank, None)
+        if more:
+            found = np.unique(np.concatenate([found, more]))  # a place may be entered from both sides
+        # a place is stale where another merge took its token or its neighbour
+        found = found[ranks.merged_all(token[found], token[after[found]]) == rank]
+        if len(found) > 1:
+            chained = after[found[:-1]] == found[1:]
+            if chained.any():  # of places that share a token every second one, from the left
+                at = np.arange(len(found))
+                begin = np.maximum.accumulate(np.where(np.append(True, ~chained), at, 0))
+                found = found[(at - begin) % 2 == 0]
+        if not len(found):
+            continue
+        gone = after[found]
+        follow = after[gone]
+        right = token[follow]  # before a merge there
+        token[found], token[gone] = rank, -2
+        after[found], before[follow] = follow, found
+        b = before[found]
+        left = np.where(b >= 0, token[b], -1)
+        spots = np.concatenate([b, found])
+        made = ranks.merged_all(np.concatenate([left, token[found]]), np.concatenate([token[found], token[follow]]))
+        passing = ranks.merged_all(token[found], right)
+        early = ((made >= 0) & (made <= rank)).reshape(2, -1).any(axis=0) | ((passing >= 0) & (passing <= rank))
+        if early.any():
+            odd.append(owner[found[early]])
+        open_ = made > rank
+        for new, place in zip(made[open_].tolist(), spots[open_].tolist()):
+            held = later.get(new)
+            if held is None:
+                later[new] = [place]
+                if new not in start:
+                    heappush(waiting, new)
+            else:
+                held.append(place)
+    alive = token >= 0
+    ids, sizes = token[alive].astype(np.int32), np.bincount(owner[alive], minlength=len(words))
+    if odd:
+        again = np.unique(np.concatenate(odd))
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for i, own in zip(again.tolist(), replay([words[i] for i in again.tolist()], ranks)):
+            parts[i], sizes[i] = np.array(own, np.int32), len(own)
+        ids = np.concatenate(parts)
+    return ids, sizes
+
+
+class _Numbers(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = len(self)
+        return made
+
+
+def _coded(block: list[tuple[list[pa.Array], list[np.ndarray]]], numbers: _Numbers, ranks: Ranks, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The documents of a block, each with its ids."""
+    flat, sizes = replay_block([w.encode() for w in numbers], ranks)
+    starts = np.cumsum(sizes) - sizes
+    for columns, places in block:
+        words = np.concatenate(places)
+        lengths = sizes[words]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[words] - (ends - lengths), lengths) + np.arange(total)]
+        cuts = np.cumsum([0, *map(len, places)])
+        offsets = np.append(0, ends)[cuts]
+        made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*columns, made], names=names)
+
+
+def encode(
+    df: DataFrame, text: str, path: str, pattern: str, keep: list[str], name: str = "ids", block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The columns ``keep`` with the ids of every text as an array ``name``."""
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        block, held, numbers = TaskContext.get().partitionId() << 32, 0, {}
-
-        def number(word: str) -> int:
-            n = numbers.get(word)
-            if n is None:
-                n = numbers[word] = len(numbers)
-            return n
-
-        def words(kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-            known = list(numbers)
-            for a in range(0, len(known), 20_000):
-                part = [w.encode() for w in known[a:a + 20_000]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int64()),
-                    pa.array(part, pa.binary()), *(pa.nulls(len(part), k) for k in kinds), pa.nulls(len(part), pa.binary()),
-                ], names=schema.names)
-
-        kinds: list[pa.DataType] = []
+        find, ranks = regex.compile(pattern).findall, ranks_of(path)
+        block, held, numbers = [], 0, _Numbers()
         for batch in batches:
-            kinds = [c.type for c in batch.columns[:-1]]
             for start in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(start, BATCH_DOCS)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                places = [np.fromiter(map(number, find(t)), "<u4").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()),
-                    pa.nulls(len(texts), pa.binary()), *part.columns[:-1], pa.array(places, pa.binary()),
-                ], names=schema.names)
-                held += sum(map(len, texts))
+                places = []
+                for said in part.column(part.num_columns - 1).to_pylist():
+                    places.append(np.fromiter(map(numbers.__getitem__, find(said or "")), np.int32))
+                    held += len(said or "")
+                block.append((part.columns[:-1], places))
                 if held >= block_chars:
-                    yield from words(kinds)
-                    block, held = block + 1, 0
-                    numbers.clear()
-        yield from words(kinds)
+                    yield from _coded(block, numbers, ranks, schema.names)
+                    block, held, numbers = [], 0, _Numbers()
+        yield from _coded(block, numbers, ranks, schema.names)
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
-def encoded_words(words: DataFrame, path: str, replay_bytes: int = REPLAY_BYTES) -> DataFrame:
-    """Every row's ``_word`` with its ids as ``_ids``, little-endian numbers of four bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(path)
-
-        def coded(block: list[bytes]) -> pa.RecordBatch:
-            ids = [np.array(x, "<u4").tobytes() for x in replay(block, ranks)]
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.binary()), pa.array(ids, pa.binary())], names=["_word", "_ids"])
-
-        block, held = [], 0
-        for batch in batches:
-            for word in batch.column(0).to_pylist():
-                block.append(word)
-                held += len(word)
-                if held >= replay_bytes:
-                    yield coded(block)
-                    block, held = [], 0
-        if block:
-            yield coded(block)
-
-    return words.mapInArrow(run, "_word binary, _ids binary")
-
-
-def _joined(rows: DataFrame, schema: T.StructType, keep: list[str]) -> DataFrame:
-    """Documents with their ids, from rows sorted by block, a block's words first and in their order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, []
-        flat = starts = sizes = None
-        for batch in batches:
-            blocks, coded = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            places = batch.column(batch.num_columns - 1).to_pylist()
-            rows, ids = [], []
-            for i, own in enumerate(places):
-                if blocks[i] != now:
-                    now, known, flat = blocks[i], [], None
-                if own is None:
-                    known.append(coded[i])
-                    continue
-                if flat is None:
-                    sizes = np.array([len(x) // 4 for x in known], np.int64)
-                    starts = np.cumsum(sizes) - sizes
-                    flat = np.frombuffer(b"".join(known), "<u4").astype(np.int32)
-                    known = []
-                words = np.frombuffer(own, "<u4")
-                lengths = sizes[words]
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                rows.append(i)
-                ids.append(flat[np.repeat(starts[words] - (ends - lengths), lengths) + np.arange(total)])
-            if rows:
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                kept = [c.take(pa.array(rows)) for c in batch.columns[3:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, made], names=schema.names)
-
-    return rows.select("_block", "_number", "_ids", *keep, "_places").mapInArrow(run, schema)
-
-
-def encode(
-    df: DataFrame, text: str, path: str, pattern: str, keep: list[str], name: str = "ids", block_chars: int = BLOCK_CHARS,
-) -> DataFrame:
-    """The columns ``keep`` with the ids of every text as an array ``name``."""
-    shown = [f"_keep_{i}" for i in range(len(keep))]  # fresh names, so that none clashes
-    named = df.select(*[F.col(c).alias(s) for c, s in zip(keep, shown)], F.col(text).alias("_text"))
-    split = materialise(_split(named, "_text", pattern, shown, block_chars), "split")
-    words = split.filter("_number IS NOT NULL").select("_block", "_number", "_word")
-    coded = materialise(encoded_words(words.select("_word").distinct(), path), "encoded")
-    met = words.join(coded, "_word").select("_block", "_number", "_ids")
-    docs = split.filter("_number IS NULL").select("_block", "_number", F.lit(None).cast("binary").alias("_ids"), *shown, "_places")
-    blank = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in [*shown, "_places"]]
-    rows = met.select("*", *blank).unionByName(docs)
-    # a block's words come first, in their order
-    together = rows.repartition("_block").sortWithinPartitions("_block", F.col("_number").asc_nulls_last())
-    schema = T.StructType([
-        *(T.StructField(c, docs.schema[c].dataType) for c in shown), T.StructField(name, T.ArrayType(T.IntegerType(), False)),
-    ])
-    return _joined(together, schema, shown).select(*[F.col(s).alias(c) for c, s in zip(keep, shown)], name)
-
-
 def decode(df: DataFrame, ids: str, path: str, name: str = "decoded") -> DataFrame:
     """``df`` with the bytes that its array ``ids`` stands for, as ``name``. Null ids give no bytes."""
     at = df.columns.index(ids)
