@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Characters of the texts of a block.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 # Fewer bytes of words than this are replayed place by place, which then is faster.
 FEW_BYTES = 1 << 16
 # Documents of one batch that a task hands out.
