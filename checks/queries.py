@@ -652,8 +652,8 @@ def topics(spark, sf):
 def stream_upsert(spark, sf):
     target = shared_dir(spark, "upsert")
     stream = T.keyed_reviews(spark, sf, T.event_stream(spark, sf))
-    jobs.stream_upsert(stream, target, shared_dir(spark, "upsert-log"), tiebreak=["feed_id"]).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target).select(*stream.columns)
+    jobs.stream_upsert_deltas(stream, target, shared_dir(spark, "upsert-log"), tiebreak=["feed_id"]).awaitTermination()
+    return jobs.current_reviews(spark, target, stream.schema, tiebreak=["feed_id"])
 
 
 @query

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.operators import aggregates, ingest, state, tickets
 from ticketloom.operators.lookup import severity_table
+from ticketloom.sources import deltas
 from ticketloom.streaming import jobs
 
 
@@ -103,3 +104,103 @@ def test_weekly_counts_lose_nothing(spark, bugs, tmp_path, zone):
         )
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+# --- deltas -------------------------------------------------------------------------------------
+
+def upserted(spark, bugs, path, target, log, **more):
+    jobs.stream_upsert_deltas(stream_of(spark, bugs, path), target, log, tiebreak=["feed_id"], **more).awaitTermination()
+    return jobs.current_reviews(spark, target, bugs.schema, tiebreak=["feed_id"])
+
+
+@pytest.mark.parametrize("cut,n,ratio", [(0, 4, 0.5), (1, 5, 0.5), (0, 4, float("inf")), (0, 3, 0.0)])
+def test_upsert_by_deltas(spark, bugs, tmp_path, cut, n, ratio):
+    path, target, log = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")
+    keyed = bugs.withColumn("review_id", F.when(F.col("review_id") != "7", F.col("review_id")))  # a null key too
+    pieces(keyed, path, [F.hash("feed_id"), (F.col("feed_id") / 80).cast("int")][cut], n)
+    found = upserted(spark, keyed, path, target, log, ratio=ratio)
+    batch = ingest.upsert_latest(keyed.limit(0), keyed, tiebreak=["feed_id"])
+    assert as_set(found.select(*keyed.columns)) == as_set(batch.select(*keyed.columns))
+    base, left = deltas.generation(spark, target)
+    assert (base is None) == (ratio == float("inf")) and (ratio != 0.0 or not left)
+    some = jobs.current_reviews(spark, target, keyed.schema, tiebreak=["feed_id"], bounds=("2", "35"))
+    assert as_set(some.select(*keyed.columns)) == as_set(batch.filter("review_id BETWEEN '2' AND '35'").select(*keyed.columns))
+
+
+def folder_bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file())
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
+    """The same small batch after a small and after a large history."""
+    sizes = []
+    for n in (1_000, 100_000):
+        where = tmp_path / str(n)
+        rows = lambda a, b: spark.range(a, b).select(
+            F.col("id").cast("string").alias("review_id"), F.sha1(F.col("id").cast("string")).alias("body"),
+            F.lit("2024-01-01").cast("timestamp_ntz").alias("review_date"),
+        )
+        fold = jobs._latest("review_id", None)
+        deltas.append(rows(0, n), str(where), 0, "review_id", fold)
+        deltas.compact(spark, str(where), rows(0, 1).schema, "review_id", fold)
+        before = folder_bytes(where)
+        deltas.append(rows(n - 50, n + 50), str(where), 1, "review_id", fold)
+        sizes.append(folder_bytes(where) - before)
+        assert deltas.read(spark, str(where), rows(0, 1).schema, "review_id", fold).count() == n + 50
+        plan = deltas.read(spark, str(where), rows(0, 1).schema, "review_id", fold)
+        assert not deltas.due(spark, str(where)) or n == 1_000
+        assert plan.select("review_id").distinct().count() == n + 50
+    assert sizes[1] < 2 * sizes[0]
+
+
+def test_a_compaction_that_dies_changes_nothing(spark, bugs, tmp_path, monkeypatch):
+    path, target, log = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")
+    pieces(bugs, path, F.hash("feed_id"), 3)
+    kept = deltas._write
+
+    def dies(df, path, name, key):
+        if name.startswith("base"):
+            df.limit(5).write.mode("overwrite").parquet(f"{path}/{name}")
+            (tmp_path / "out" / name / "_SUCCESS").unlink()
+            raise OSError("lost in the middle of a compaction")
+        kept(df, path, name, key)
+
+    monkeypatch.setattr(deltas, "_write", dies)
+    with pytest.raises(Exception, match="middle of a compaction"):
+        upserted(spark, bugs, path, target, log)
+    expected = lambda rows: as_set(ingest.upsert_latest(rows.limit(0), rows, tiebreak=["feed_id"]).select(*bugs.columns))
+    base, left = deltas.generation(spark, target)
+    assert base is None and left == [0, 1]
+    monkeypatch.setattr(deltas, "_write", kept)
+    # the batch is repeated, the compaction too, over the half-written base
+    assert as_set(upserted(spark, bugs, path, target, log).select(*bugs.columns)) == expected(bugs)
+    assert deltas.generation(spark, target)[0] is not None
+
+
+def test_readers_keep_the_generation_they_began_with(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("n"))
+    fold, target = (lambda r: r.groupBy("k").agg(F.sum("n").cast("int").alias("n"))), str(tmp_path / "t")
+    deltas.append(rows, target, 0, "k", fold)
+    deltas.compact(spark, target, rows.schema, "k", fold)
+    deltas.append(rows, target, 1, "k", fold)
+    began = deltas.read(spark, target, rows.schema, "k", fold)
+    deltas.compact(spark, target, rows.schema, "k", fold)
+    assert began.agg(F.sum("n")).first()[0] == 400
+    for number in (2, 3):
+        deltas.append(rows, target, number, "k", fold)
+        deltas.compact(spark, target, rows.schema, "k", fold)
+    assert deltas.read(spark, target, rows.schema, "k", fold).agg(F.sum("n")).first()[0] == 800
+    names = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert "base=0" not in names and "delta=0" not in names and "base=3" in names
+    deltas.append(rows, target, 3, "k", fold)  # a batch that the base holds, delivered again
+    assert deltas.read(spark, target, rows.schema, "k", fold).agg(F.sum("n")).first()[0] == 800
+
+
+def test_weekly_counts_are_folded(spark, bugs, tmp_path):
+    path, target = str(tmp_path / "in"), str(tmp_path / "out")
+    pieces(bugs, path, F.hash("feed_id"), 5)
+    jobs.stream_weekly_counts(stream_of(spark, bugs, path), target, str(tmp_path / "log"), most=2).awaitTermination()
+    base, left = deltas.generation(spark, target)
+    assert base is not None and len(left) <= 2
+    names = ["week_end", "app_version", "bug_category", "bug_count"]
+    assert as_set(jobs.current_weekly_counts(spark, target).select(*names)) == as_set(aggregates.weekly_counts(bugs).select(*names))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ticketloom.operators.aggregates import weekly_counts
 from ticketloom.operators.ingest import upsert_latest
 from ticketloom.operators.state import DIGEST_COLUMNS, new_tickets
+from ticketloom.sources import deltas
 from ticketloom.sources.readers import path_exists
 from ticketloom.sources.versions import remove
 
@@ -59,6 +60,44 @@ def stream_upsert(
     )
 
 
+def _latest(key: str, tiebreak: list[str] | None):
+    return lambda rows: upsert_latest(rows.limit(0), rows, key, tiebreak, incoming_wins=False)
+
+
+def stream_upsert_deltas(
+    stream: DataFrame, target: str, checkpoint: str, key: str = "review_id", tiebreak: list[str] | None = None,
+    ratio: float = deltas.RATIO, most: int = deltas.MOST_DELTAS,
+) -> StreamingQuery:
+    """Keep the latest review per key as a base and deltas, which ``current_reviews`` merges when read.
+
+    The result is that of one upsert of all rows so far, as with ``stream_upsert``; but a micro-batch
+    writes only its own rows, one a key. When the deltas outgrow ``ratio`` of the base, or are more than
+    ``most``, the batch that notices folds them into a new base; ``ratio=inf`` leaves that to a job of
+    its own, which calls ``deltas.compact``.
+    """
+    fold, schema = _latest(key, tiebreak), stream.schema
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        deltas.append(batch, target, batch_id, key, fold)
+        if batch_id and deltas.due(batch.sparkSession, target, ratio, most):
+            deltas.compact(batch.sparkSession, target, schema, key, fold)
+
+    return (
+        stream.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_reviews(
+    spark: SparkSession, target: str, schema, key: str = "review_id", tiebreak: list[str] | None = None,
+    bounds: tuple[str, str] | None = None,
+) -> DataFrame:
+    """The latest review per key of ``stream_upsert_deltas``; with ``bounds`` only keys between them."""
+    return deltas.read(spark, target, schema, key, _latest(key, tiebreak), bounds)
+
+
 def stream_new_tickets(
     tickets: DataFrame, sent: DataFrame, target: str, checkpoint: str, delay: str = "7 days"
 ) -> StreamingQuery:
@@ -89,15 +128,28 @@ def stream_new_tickets(
     )
 
 
-def stream_weekly_counts(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Counts of each micro-batch per week, version and category, a folder per batch.
+WEEKLY_COUNTS = "week_end date, app_version string, bug_category string, bug_count bigint"
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("week_end", "app_version", "bug_category").agg(F.sum("bug_count").alias("bug_count"))
+
+
+def stream_weekly_counts(
+    stream: DataFrame, target: str, checkpoint: str, ratio: float = 4.0, most: int = deltas.MOST_DELTAS
+) -> StreamingQuery:
+    """Counts of each micro-batch per week, version and category, a delta per batch.
 
     The stored counts are the state, so nothing waits for a watermark: a late row is counted when it
-    comes, and a date in the future holds nothing back. A repeated batch overwrites its own folder.
+    comes, and a date in the future holds nothing back. A repeated batch overwrites its own delta. Deltas
+    that outgrow the base are folded into it, so what a reader sums does not grow with the batches.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        weekly_counts(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        session = batch.sparkSession
+        deltas.append(weekly_counts(batch), target, batch_id, "week_end", lambda rows: rows)
+        if batch_id and deltas.due(session, target, ratio, most):
+            deltas.compact(session, target, session.createDataFrame([], WEEKLY_COUNTS).schema, "week_end", _summed)
 
     return (
         stream.writeStream.foreachBatch(save)
@@ -108,7 +160,5 @@ def stream_weekly_counts(stream: DataFrame, target: str, checkpoint: str) -> Str
 
 
 def current_weekly_counts(spark: SparkSession, target: str) -> DataFrame:
-    """What the stream has counted so far: the sum of all batches."""
-    schema = "week_end date, app_version string, bug_category string, bug_count bigint, batch_id int"
-    saved = spark.read.schema(schema).parquet(target)
-    return saved.groupBy("week_end", "app_version", "bug_category").agg(F.sum("bug_count").alias("bug_count"))
+    """What the stream has counted so far: the base's and all later batches' counts, summed."""
+    return deltas.read(spark, target, spark.createDataFrame([], WEEKLY_COUNTS).schema, "week_end", _summed)
