@@ -432,8 +432,23 @@ SELECT cast(label AS varchar) AS class, 1.0::double AS "precision", 1.0::double
 UNION ALL SELECT name, 1.0, 1.0, 1.0, cast(sum(held) AS bigint) FROM shares, (VALUES ('macro avg'), ('weighted avg'), ('accuracy')) n(name)
 GROUP BY name""",
     "bug_classifier": f"""
-SELECT c::double AS c, class_weight, 1::bigint AS settings_chosen, 1.0::double AS best_f1
-FROM (VALUES {', '.join(f'({c})' for c in V.GRID_C)}) g(c), (VALUES ('unit'), ('balanced')) w(class_weight)""",
+SELECT c::double AS c, class_weight, solver, 1::bigint AS settings_chosen, 1.0::double AS best_f1
+FROM (VALUES {', '.join(f'({c})' for c in V.GRID_C)}) g(c), (VALUES ('unit'), ('balanced')) w(class_weight),
+  (VALUES ('liblinear'), ('lbfgs')) s(solver)""",
+    "hashed_weights": f"""
+WITH cleaned AS (SELECT review_id, {spaced('review_description')} AS t FROM phrase_reviews),
+words AS (SELECT review_id, unnest(list_filter(string_split(t, ' '), lambda w: w <> '')) AS w FROM cleaned),
+counts AS (SELECT review_id, w, count(*) AS tf FROM words GROUP BY review_id, w),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM cleaned)) / (1 + count(*))) AS idf FROM counts GROUP BY w),
+norms AS (SELECT review_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM counts JOIN idf USING (w) GROUP BY review_id),
+weighed AS (SELECT review_id, tf * idf / norm AS weight FROM counts JOIN idf USING (w) JOIN norms USING (review_id))
+SELECT review_id, cast(count(weight) AS int) AS n_weights, round(coalesce(max(weight), 0), 6) AS greatest, round(coalesce(sum(weight), 0), 6) AS total
+FROM cleaned LEFT JOIN weighed USING (review_id) GROUP BY review_id""",
+    "latent_groups": """
+SELECT 1.0::double AS norm, min(event_id) AS first_review, count(*) AS reviews, 1::bigint AS texts FROM grouped_texts GROUP BY cleaned_text""",
+    "csv_blocks": r"""
+SELECT review_id, regexp_replace(review_description, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS review_description, developer_response,
+  review_date, app_version FROM reviews""",
     "self_training": "SELECT review_id, is_bug AS is_bug_report, is_bug AS likely FROM phrase_reviews",
     "bug_predictions": f"""
 SELECT review_id, user_name, t AS review_description, review_date, app_version,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from ticketloom import schemas as S
 from ticketloom.functions import dates as D
 from ticketloom.functions import text as X
 from ticketloom.operators import (
-    aggregates, ingest, language, models, phrases, rollup, sentiment, state, taxonomy, tickets,
+    aggregates, ingest, language, latent, models, phrases, rollup, sentiment, state, taxonomy, tickets,
 )
 from ticketloom.operators.lookup import (
     lemma_table, lexicon_table, severity_table, small_table, stopword_table, taxonomy_rules,
@@ -582,7 +583,7 @@ def bug_classifier(spark, sf):
     scores = small_table(spark, found.scores, S.CLASSIFIER_SCORES)
     chosen = F.col("chosen") == 1
     return scores.select(
-        "c", "class_weight", scores.agg(F.count_if(chosen)).scalar().alias("settings_chosen"),
+        "c", "class_weight", "solver", scores.agg(F.count_if(chosen)).scalar().alias("settings_chosen"),
         F.round(scores.agg(F.max(F.when(chosen, F.col("f1_mean")))).scalar(), 6).alias("best_f1"),
     )
 
@@ -633,6 +634,68 @@ def key_phrases(spark, sf):
     return rounded(phrases.key_phrases(T.analysed(spark, sf)), "importance", places=4)
 
 
+@query
+def hashed_weights(spark, sf):
+    """Of every review's hashed vector the number, the greatest and the sum of the weights: they hold each word's idf."""
+    rows = X.clean_spaced(F.col("review_description")).alias("t")
+    made = models.text_features(T.phrase_reviews(spark, sf).select("review_id", rows), "t")
+    listed = F.regexp_extract(F.col("features").cast("string"), r"\[([^\[\]]*)\]\)$", 1)
+    weights = F.transform(F.filter(F.split(listed, ","), lambda x: x != ""), lambda x: x.cast("double"))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    return made.select(
+        "review_id", F.size(weights).alias("n_weights"), F.round(F.coalesce(F.array_max(weights), F.lit(0.0)), 6).alias("greatest"),
+        F.round(total, 6).alias("total"),
+    )
+
+
+@query
+def latent_groups(spark, sf):
+    """Dense vectors of the grouped texts: one for each group, of length one, as the directions span all texts."""
+    rows = T.grouped_texts(spark, sf)
+    model = latent.fit_latent(rows, "cleaned_text")
+    made = models.text_features(rows, "cleaned_text", embedder=model.embedder())
+    vector = vector_to_array("features")
+    norm = F.round(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm")
+    place = F.transform(vector, lambda x: F.round(x, 4) + 0.0).alias("place")
+    return made.select("event_id", "cleaned_text", norm, place).groupBy("place", "norm").agg(
+        F.min("event_id").alias("first_review"), F.count(F.lit(1)).alias("reviews"), F.count_distinct("cleaned_text").alias("texts"),
+    ).drop("place")
+
+
+@query
+def csv_blocks(spark, sf):
+    """Written as few CSV files and read again by blocks."""
+    path = shared_dir(spark, "bugs") + ".csv"
+    trimmed = F.regexp_replace("review_description", r"^[\x00-\x20]+|[\x00-\x20]+$", "")  # as the sink does
+    rows = T.reviews(spark, sf).select(
+        "review_id", trimmed.alias("review_description"), "developer_response", "review_date", "app_version"
+    )
+    writers.write_csv(rows.coalesce(2), path)
+    return readers.read_csv_blocks(spark, path, rows.schema)
+
+
+# Whole texts with the default parameters; no SQL tells their rows, the tests hold them by what must be true.
+
+@query
+def topics_whole_text(spark, sf):
+    return phrases.topics(T.analysed(spark, sf)).withColumn("words", F.array_join("words", " "))
+
+
+@query
+def other_clusters_whole_text(spark, sf):
+    """The bugs of no category, as in the chain: cleaned, vectors of the words, five clusters."""
+    _, other = taxonomy.split_other(T.categorized(spark, sf))
+    rows = other.select("review_id", X.clean_stripped(F.col("review_description")).alias("cleaned_text"))
+    return models.cluster_other(models.text_features(rows, "cleaned_text")).select("review_id", "cluster")
+
+
+@query
+def bug_predictions_whole_text(spark, sf):
+    """Trained on the labelled documents' texts, with self-training over the reviews' whole texts."""
+    scored = daily.predict_bugs(T.reviews(spark, sf), T.training_texts(spark, sf), [1.0])[0]
+    return scored.select("review_id", "is_bug_report", F.round("bug_confidence", 4).alias("bug_confidence"), "review_length")
+
+
 @query
 def topic_vocabulary(spark, sf):
     return rounded(phrases.topic_vocabulary(T.analysed(spark, sf)), "idf")

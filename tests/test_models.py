@@ -26,7 +26,7 @@ def found(train):
 
 
 def test_classifier_separates(train, found):
-    assert len(found.scores) == 4 and sum(s[4] for s in found.scores) == 1
+    assert len(found.scores) == 8 and {s[5] for s in found.scores} == {"liblinear", "lbfgs"} and sum(s[4] for s in found.scores) == 1
     best = next(s for s in found.scores if s[4])
     assert best[2] > 0.95
     scored = models.score_reviews(found.model, train)
@@ -160,3 +160,114 @@ def test_topics(spark):
 def test_term_frequencies(spark):
     df = spark.createDataFrame([("b a a",), ("",), ("b c",)], "cleaned_text string")
     assert [tuple(r) for r in phrases.term_frequencies(df, n=2).collect()] == [("a", 2), ("b", 2)]
+
+
+def rows_of(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "cleaned_text string")
+
+
+TOPIC_TEXTS = [f"{a} {b} {c}" for a in ("pay", "card", "bill") for b in ("bank", "money", "fee") for c in ("pay", "owed")]
+TOPIC_TEXTS += [f"{a} {b} {c}" for a in ("server", "down", "gone") for b in ("slow", "late", "lag") for c in ("server", "net")]
+
+
+def test_topics_of_counted_texts_are_those_of_repeated_rows(spark):
+    """The fit on distinct texts with counts, against the same fit on every row by itself."""
+    texts = [t for i, t in enumerate(TOPIC_TEXTS) for _ in range(1 + i * 7 % 5)]
+    rows, terms, idf = phrases.tfidf_rows(rows_of(spark, texts), "cleaned_text", 1000)
+    counted = phrases.fit_topics(rows, len(terms), 2, 42, 10)
+    each = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("n", F.lit(1).cast("long"))
+    assert each.count() == len(texts) > rows.count() == len(set(TOPIC_TEXTS))
+    import numpy as np
+
+    assert np.allclose(counted, phrases.fit_topics(each, len(terms), 2, 42, 10), rtol=1e-9)
+    known = {r.term: (r.tf, r.idf) for r in phrases.topic_vocabulary(rows_of(spark, texts)).collect()}
+    assert {t: pytest.approx(known[t][1]) for t in terms} == dict(zip(terms, idf))
+    made = phrases.topics(rows_of(spark, texts), k=2, words=4).collect()
+    money, net = (set(" ".join(TOPIC_TEXTS[a:b]).split()) for a, b in ((0, 18), (18, 36)))
+    assert sorted(set(r.words) <= money for r in made) == sorted(set(r.words) <= net for r in made) == [False, True]
+
+
+def test_digamma():
+    import numpy as np
+
+    assert phrases.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329)
+    x = np.array([0.01, 0.2, 0.5, 1.7, 5.0, 30.0])
+    assert np.allclose(phrases.digamma(x + 1), phrases.digamma(x) + 1 / x)
+
+
+def test_topics_of_nothing(spark):
+    assert phrases.topics(rows_of(spark, [])).count() == 0 and phrases.topics(rows_of(spark, ["", "a"])).count() == 0
+
+
+def test_repeated_texts_are_no_hot_key(spark):
+    """Ten distinct texts among 20,000 rows: what a fit sees is ten weighted rows, on no one partition."""
+    df = spark.range(20_000).select(F.concat(F.lit("w"), F.least(F.col("id"), F.lit(9)).cast("string")).alias("t"))
+    made = models.text_features(df, "t")
+    shrunk = models.shrunk(made.select("features", F.lit(1.0).alias("weight")), [], ["weight"])
+    assert sorted(r.weight for r in shrunk.select("weight").collect()) == [1.0] * 9 + [19_991.0]
+    plan = shrunk._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") > 0  # combined before the shuffle
+
+
+def test_clusters_of_weighted_rows_are_those_of_repeated_rows(spark):
+    from pyspark.ml.clustering import KMeans
+
+    texts = [f"{a} {b}" for a in ("river", "boat") for b in ("water", "lake")] + [f"{a} {b}" for a in ("wheel", "brake") for b in ("engine", "gear")]
+    df = models.text_features(rows_of(spark, [t for i, t in enumerate(texts) for _ in range(1 + i * 5 % 7)]), "cleaned_text")
+    found = models.cluster_other(df, k=2).collect()
+    plain = KMeans(k=2, seed=42, maxIter=300, predictionCol="cluster").fit(df).transform(df).collect()
+    groups = lambda rows: {frozenset(r.cleaned_text for r in rows if r.cluster == c) for c in (0, 1)}
+    assert groups(found) == groups(plain) == {frozenset(texts[:4]), frozenset(texts[4:])}
+
+
+def test_the_penalised_intercept_by_hand(spark):
+    """Two rows at x = 1 of both classes, two at 0: the penalised fit solves C * gradient = weights, all of them."""
+    import numpy as np
+
+    rows = [(1.0, 1), (1.0, 1), (1.0, 0), (0.0, 0), (0.0, 0), (0.0, 0)]
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(i, Vectors.dense([x]), y) for i, (x, y) in enumerate(rows)], ["id", "features", "label"])
+    strength = 2.0
+    estimators = {}
+    for solver in models.SOLVERS:
+        base = models.LogisticRegression(
+            maxIter=1000, tol=1e-12, standardization=False, regParam=1 / (strength * len(rows)),
+        )
+        weighed = models.with_weights(df.withColumn("label", F.col("label").cast("double")))
+        shrunk = models.shrunk(weighed.select("features", "label", "unit", "balanced"), ["label"], ["unit", "balanced"])
+        assert shrunk.count() == 3
+        estimators[solver] = base.copy(models._solver_params(base, "unit", solver)).fit(models.solver_rows(shrunk))
+
+    def gradient(slope, intercept):
+        p = [1 / (1 + np.exp(-(slope * x + intercept))) for x, _ in rows]
+        return strength * sum((q - y) * x for q, (x, y) in zip(p, rows)), strength * sum(q - y for q, (_, y) in zip(p, rows))
+
+    slope, intercept = estimators["liblinear"].coefficients
+    a, b = gradient(slope, intercept)
+    assert a + slope == pytest.approx(0, abs=1e-6) and b + intercept == pytest.approx(0, abs=1e-6)
+    slope, intercept = estimators["lbfgs"].coefficients[0], estimators["lbfgs"].intercept
+    a, b = gradient(slope, intercept)
+    assert a + slope == pytest.approx(0, abs=1e-6) and b == pytest.approx(0, abs=1e-6)
+
+
+def test_latent_vectors_separate_groups_of_words(spark):
+    """Texts of one group come near each other even where they share no word; other groups stay apart."""
+    import numpy as np
+
+    from ticketloom.operators import latent
+
+    groups = [["river", "water", "boat", "lake"], ["engine", "wheel", "brake", "gear"], ["bread", "butter", "honey", "jam"]]
+    texts = [f"{g[i % 4]} {g[(i + 1 + i // 4) % 4]}" for i in range(24) for g in groups]
+    df = rows_of(spark, [*texts, "", "unknown"] * 2)
+    model = latent.fit_latent(df, "cleaned_text", rank=3, more=12, vocab=12)
+    made = models.text_features(df, "cleaned_text", embedder=model.embedder()).select("cleaned_text", vector_to_array("features").alias("f"))
+    found = {r.cleaned_text: np.array(r.f) for r in made.collect()}
+    assert not found[""].any() and not found["unknown"].any()
+    like = lambda a, b: found[a] @ found[b] / np.sqrt((found[a] @ found[a]) * (found[b] @ found[b]))
+    assert like("river water", "boat lake") > 0.9 and like("river water", "engine wheel") < 0.1
+    # the singular values of the whole matrix, by a dense factorisation
+    rows, terms, _ = phrases.tfidf_rows(df, "cleaned_text", 12)
+    dense = np.array([np.bincount(r.at, r.weight, len(terms)) for r in rows.collect() for _ in range(r.n)])
+    assert np.allclose(model.strengths, np.linalg.svd(dense, compute_uv=False)[:3])
+    assert latent.fit_latent(df.limit(0), "cleaned_text").terms == []

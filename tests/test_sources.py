@@ -41,6 +41,55 @@ def test_csv_by_name(spark, tmp_path):
         readers.read_source(spark, str(path), schema=S.SENT_TICKETS)
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of 300 bytes, so that small files have many."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+TEXTS = ['plain', 'a "quoted" word', 'two\nlines', 'comma, and "both"\n\n\nwith\nmany\nlines', '', None, '"', '""\n"', ' spaced ', 'é\n長 文',
+         'x' * 700, 'long\n' * 200, '\n', 'ends in quote"', 'null', 'carriage\r\nreturn']
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_csv_by_blocks_is_csv_by_files(spark, tmp_path, small_blocks, files):
+    path, kinds = str(tmp_path / "many.csv"), "review_description string, bug_category string, review_date timestamp_ntz, app_version string"
+    rows = [(TEXTS[i * 7 % len(TEXTS)], TEXTS[i % len(TEXTS)], dt.datetime(2024, 1, 1 + i % 28) if i % 3 else None, str(i)) for i in range(200)]
+    writers.write_csv(spark.createDataFrame(rows, kinds).coalesce(files), path)
+    schema = spark.createDataFrame([], kinds).schema
+    found, want = readers.read_csv_blocks(spark, path, schema), readers.read_csv(spark, path, schema)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.count() == 200
+    lines = spark.read.option("lineSep", "\n").text(path)
+    assert lines.rdd.getNumPartitions() > 20  # one file, many tasks
+    fewer = readers.read_csv_blocks(spark, path, S.schema_of("app_version string"))
+    assert sorted(r.app_version for r in fewer.collect()) == sorted(r[3] for r in rows)
+
+
+def test_csv_by_blocks_when_blocks_are_joined(spark, tmp_path, small_blocks, monkeypatch):
+    path = str(tmp_path / "bugs.csv")
+    writers.write_csv(spark.createDataFrame([(f"{t}\n{i}", "c", None, str(i)) for i, t in enumerate(TEXTS * 5)], S.CATEGORIZED_BUGS).coalesce(1), path)
+    monkeypatch.setattr(readers, "BROADCAST_BLOCKS", 0)
+    assert as_set(readers.read_csv_blocks(spark, path, S.CATEGORIZED_BUGS)) == as_set(readers.read_csv(spark, path, S.CATEGORIZED_BUGS))
+
+
+def test_csv_by_blocks_refuses_what_it_cannot_cut(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text('review,label\n5" screen,1\n')
+    with pytest.raises(ValueError, match="odd number of quotes"):
+        readers.read_csv_blocks(spark, str(tmp_path / "odd.csv"), S.TRAINING)
+    (tmp_path / "two.csv").mkdir()
+    (tmp_path / "two.csv" / "a.csv").write_text("review,label\none,1\n")
+    (tmp_path / "two.csv" / "b.csv").write_text("label,review\n0,two\n")
+    with pytest.raises(Exception, match="another header"):
+        readers.read_csv_blocks(spark, str(tmp_path / "two.csv"), S.TRAINING).collect()
+    (tmp_path / "crlf.csv").write_bytes(b'review,label\r\n"a\r\nb",1\r\nc,0\r\n')
+    assert as_set(readers.read_csv_blocks(spark, str(tmp_path / "crlf.csv"), S.TRAINING)) == {("a\r\nb", 1), ("c", 0)}
+
+
 def test_csv_files_of_other_headers_fail(spark, tmp_path):
     (tmp_path / "two.csv").mkdir()
     (tmp_path / "two.csv" / "a.csv").write_text("review,label\none,1\n")

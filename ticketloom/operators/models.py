@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexerModel,
+    IDF, ElementwiseProduct, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,6 +30,10 @@ from ticketloom.session import materialise
 # Bounds of the solvers: as far as the described library would go, in the search and in the final fit.
 MAX_ITERATIONS, TOLERANCE = 1000, 1e-5
 CLUSTER_ITERATIONS = 300
+# The solvers of the grid: whether the intercept is a feature like any other, and so penalised too.
+SOLVERS = {"liblinear": True, "lbfgs": False}
+WITH_ONE = "features_and_one"
+WEIGHTS = ("unit", "balanced")
 
 
 # --- splits ------------------------------------------------------------------------------------
@@ -111,16 +115,65 @@ def text_features(
     return fitted.transform(df).drop("_tokens", "_tf", "_tfidf")
 
 
+def shrunk(df: DataFrame, by: list[str], sums: list[str], features: str = "features") -> DataFrame:
+    """Rows of equal ``features`` and ``by`` as one row with the sums of their weights.
+
+    Fits that weigh their rows give the same on it. A vector that very many rows share is combined
+    before the shuffle and is one row after it. The result is dealt and sorted by content, so it does
+    not depend on how the input was cut.
+    """
+    keyed = df.withColumn("_content", F.md5(F.col(features).cast("string").cast("binary")))
+    made = keyed.groupBy("_content", *by).agg(F.first(features).alias(features), *[F.sum(c).alias(c) for c in sums])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return made.repartition(parts, "_content", *by).sortWithinPartitions("_content", *by).drop("_content")
+
+
 # --- bug classifier ----------------------------------------------------------------------------
 
 @dataclass
 class BugClassifier:
-    """The fitted model, the estimator to refit it with, and its cross-validation scores."""
+    """The fitted model, the estimator to refit it with, and its cross-validation scores.
+
+    A score is (inverse strength, class weight, mean F1, its deviation, chosen, solver).
+    """
 
     model: LogisticRegressionModel
     estimator: LogisticRegression
     strength: float
-    scores: list[tuple[float, str, float, float, int]]
+    scores: list[tuple[float, str, float, float, int, str]]
+
+
+def with_one(df: DataFrame) -> DataFrame:
+    """Add the features with a constant one behind them, as ``features_and_one``."""
+    both = VectorAssembler(inputCols=["features", "_one"], outputCol=WITH_ONE)
+    made = both.transform(df.withColumn("_one", F.lit(1.0))).drop("_one")
+    return made.withMetadata(WITH_ONE, {})  # else every plan carries a name for each of 2 ** 18 places
+
+
+def solver_rows(df: DataFrame) -> DataFrame:
+    """Weighted rows as both solvers need them: each with its mirror image, features negated and class swapped.
+
+    A row and its mirror image have the same logistic loss without a free intercept, so a fit on both is
+    the fit on the rows; but the constant feature, which Spark would leave out, takes two values. Mirror
+    images weigh nothing in ``unit`` and ``balanced``; in the columns ``<weight>_mirrored`` they weigh as their rows.
+    """
+    rows = with_one(df).withColumns({f"{w}_mirrored": F.col(w) for w in WEIGHTS})
+    size = rows.select(F.col(WITH_ONE)).head()
+    if size is None:
+        return rows
+    negative = ElementwiseProduct(scalingVec=[-1.0] * size[0].size, inputCol=WITH_ONE, outputCol="_negated")
+    mirrored = negative.transform(rows).withMetadata("_negated", {}).withColumns({
+        "label": 1.0 - F.col("label"), **{w: F.lit(0.0) for w in WEIGHTS}, WITH_ONE: F.col("_negated"),
+    })
+    return rows.unionByName(mirrored.drop("_negated"))
+
+
+def _solver_params(base: LogisticRegression, weight: str, solver: str) -> dict:
+    penalised = SOLVERS[solver]
+    return {
+        base.weightCol: f"{weight}_mirrored" if penalised else weight, base.fitIntercept: not penalised,
+        base.featuresCol: WITH_ONE if penalised else "features",
+    }
 
 
 def with_weights(train: DataFrame, label: str = "label") -> DataFrame:
@@ -137,52 +190,51 @@ def fit_bug_classifier(
 ) -> BugClassifier:
     """Logistic regression on (``features``, ``label``), chosen by F1 of class 1.
 
-    The grid crosses inverse strength with class weights; folds are stratified by hash. The scores
-    are those of the folds, taken before the final fit on all rows.
+    The grid crosses inverse strength with class weights and solvers: ``lbfgs`` leaves the intercept
+    free, ``liblinear`` penalises it like a weight, as a constant feature. Folds are stratified by hash
+    over all rows; then rows of equal features, label and fold shrink to one of their summed weight. The
+    scores are those of the folds, taken before the final fit on all rows; the first best is chosen.
     """
     strengths = grid or V.GRID_C
     folded = stratified_folds(with_weights(train), "label", key, folds, seed)
-    data = materialise(
-        folded.select("features", F.col("label").cast("double").alias("label"), "fold", "unit", "balanced"),
-        "classifier-rows",
-    )
-    per_fold = data.count() * (folds - 1) / folds
+    rows = folded.select("features", F.col("label").cast("double").alias("label"), "fold", "unit", "balanced")
+    data = materialise(solver_rows(shrunk(rows, ["label", "fold"], [*WEIGHTS])), "classifier-rows")
+    per_fold = _row_total(data) * (folds - 1) / folds
     base = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False)
-    regularisations = [1.0 / (c * per_fold) for c in strengths]
-    params = (
-        ParamGridBuilder()
-        .addGrid(base.regParam, regularisations)
-        .addGrid(base.weightCol, ["unit", "balanced"])
-        .build()
-    )
-    f1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
+    settings = [(c, weight, solver) for c in strengths for weight in WEIGHTS for solver in SOLVERS]
+    params = [
+        {base.regParam: 1.0 / (c * per_fold), **_solver_params(base, weight, solver)} for c, weight, solver in settings
+    ]
+    f1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, weightCol="unit")
     search = CrossValidator(
         estimator=base, estimatorParamMaps=params, evaluator=f1, numFolds=folds, foldCol="fold",
         seed=seed, parallelism=parallelism,
     ).fit(data)
     best = max(range(len(params)), key=lambda i: search.avgMetrics[i])
     scores = [
-        (
-            strengths[regularisations.index(p[base.regParam])], p[base.weightCol],
-            float(search.avgMetrics[i]), float(search.stdMetrics[i]), int(i == best),
-        )
-        for i, p in enumerate(params)
+        (c, weight, float(search.avgMetrics[i]), float(search.stdMetrics[i]), int(i == best), solver)
+        for i, (c, weight, solver) in enumerate(settings)
     ]
-    strength, weight = scores[best][0], scores[best][1]
-    estimator = base.copy({base.weightCol: weight})
-    return _fit_all(estimator, strength, scores, data)
+    chosen = {param: value for param, value in params[best].items() if param != base.regParam}
+    return _fit_all(base.copy(chosen), settings[best][0], scores, data)
+
+
+def _row_total(data: DataFrame) -> float:
+    """The rows that shrunk data stands for."""
+    return data.agg(F.sum("unit")).first()[0] or 0.0
 
 
 def _fit_all(estimator, strength, scores, data: DataFrame) -> BugClassifier:
     """Fit on all rows of ``data``, the regularisation scaled to their number."""
-    scaled = estimator.copy({estimator.regParam: 1.0 / (strength * data.count())})
+    scaled = estimator.copy({estimator.regParam: 1.0 / (strength * _row_total(data))})
     return BugClassifier(scaled.fit(data), scaled, strength, scores)
 
 
 def refit(found: BugClassifier, rows: DataFrame) -> BugClassifier:
     """The chosen settings on other rows (``features``, ``label``)."""
     weighted = with_weights(rows.select("features", F.col("label").cast("double").alias("label")))
-    return _fit_all(found.estimator, found.strength, found.scores, materialise(weighted, "refit-rows"))
+    data = materialise(solver_rows(shrunk(weighted, ["label"], [*WEIGHTS])), "refit-rows")
+    return _fit_all(found.estimator, found.strength, found.scores, data)
 
 
 def train_and_evaluate(
@@ -194,7 +246,7 @@ def train_and_evaluate(
     """
     split = materialise(stratified_split(rows, "label", key, frac, seed), "split-rows")
     found = fit_bug_classifier(split.filter("is_train = 1"), key, grid, seed=seed)
-    held = found.model.transform(split.filter("is_train = 0"))
+    held = found.model.transform(with_one(split.filter("is_train = 0")))
     return refit(found, split), classification_report(held, "label", "prediction")
 
 
@@ -223,7 +275,7 @@ def score_reviews(
 ) -> DataFrame:
     """Add ``is_bug_report`` and ``bug_confidence``; an empty text is 0 with 0.0."""
     empty = F.col(text) == ""
-    scored = model.transform(df)
+    scored = model.transform(with_one(df) if model.getFeaturesCol() == WITH_ONE else df)
     return scored.select(
         *df.columns,
         F.when(empty, 0).otherwise(F.col("prediction").cast("int")).alias("is_bug_report"),
@@ -254,18 +306,16 @@ def _with_clean_features(bugs: DataFrame, embedder: Callable | None = None) -> D
 def cluster_other(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``cluster`` to rows that carry ``features``; at most as many as there are distinct vectors.
 
-    Rows are dealt by the hash of their vector and sorted before the fit, so that the start does not
-    depend on how the input was cut.
+    The fit sees distinct vectors, each weighing as many rows as share it, dealt and sorted by content:
+    a text that many rows repeat is one row of it, and the start does not depend on how the input was cut.
     """
-    vectors = df.select("features").withColumn("_as_text", F.col("features").cast("string"))
-    distinct = vectors.groupBy(F.xxhash64("_as_text").alias("v")).agg(F.lit(1)).limit(k).count()
+    weighed = materialise(shrunk(df.select("features", F.lit(1.0).alias("weight")), [], ["weight"]), "distinct-vectors")
+    distinct = weighed.limit(k).count()
     if distinct < 2:
         return df.withColumn("cluster", F.lit(0))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = vectors.repartition(parts, "_as_text").sortWithinPartitions("_as_text").select("features")
     model = KMeans(
-        k=distinct, seed=seed, maxIter=CLUSTER_ITERATIONS, featuresCol="features", predictionCol="cluster"
-    ).fit(dealt)
+        k=distinct, seed=seed, maxIter=CLUSTER_ITERATIONS, featuresCol="features", predictionCol="cluster", weightCol="weight"
+    ).fit(weighed)
     return model.transform(df)
 
 
@@ -289,10 +339,11 @@ def reclassify_other(bugs: DataFrame, k: int = 5, seed: int = 42, embedder: Call
         relabelled = named.withColumn("bug_category", F.col("predicted_category"))
         return base.unionByName(relabelled.select(*base.columns))
     index = StringIndexerModel.from_labels(categories, inputCol="bug_category", outputCol="label")
-    train = index.transform(labelled.select("features", "bug_category")).select("features", "label")
+    weighed = shrunk(labelled.select("features", "bug_category", F.lit(1.0).alias("unit")), ["bug_category"], ["unit"])
+    train = materialise(index.transform(weighed).select("features", "label", "unit"), "relabel-rows")
     model = LogisticRegression(
-        family="multinomial", maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False,
-        regParam=1.0 / labelled.select("bug_category").count(),
+        family="multinomial", maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False, weightCol="unit",
+        regParam=1.0 / _row_total(train),
     ).fit(train)
     clustered = cluster_other(other, k, seed)
     named = names.transform(model.transform(clustered))

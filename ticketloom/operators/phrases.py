@@ -6,8 +6,10 @@ array's size, which would compute the array a second time.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,30 +99,142 @@ def topic_vocabulary(df: DataFrame, col: str = "cleaned_text", vocab: int = 1000
     return top.join(held, "term").select("term", "tf", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def tfidf_rows(df: DataFrame, col: str, vocab: int) -> tuple[DataFrame, list[str], list[float]]:
+    """Distinct texts as unit-length TF-IDF rows (``at``, ``weight``, ``n`` equal rows), with terms and idf.
+
+    Equal texts shrink to one row before the shuffle. The vocabulary, at most ``vocab`` words, is that of
+    ``topic_vocabulary`` over all rows. Rows are dealt and sorted by content.
+    """
+    whole = F.array_join("_tokens", " ").alias("text")
+    texts = materialise(topic_tokens(df, col).select(whole).groupBy("text").agg(row_count().alias("n")), "topic-texts")
+    words = texts.select(F.split("text", " ").alias("_tokens"), "n")
+    total = texts.agg(F.sum("n")).scalar()
+    held = lambda tokens, name: words.select(F.explode_outer(tokens).alias("term"), "n").filter("term <> ''").groupBy("term").agg(
+        F.sum("n").alias(name))
+    top = held("_tokens", "tf").orderBy(F.col("tf").desc(), "term").limit(vocab)
+    listed = top.join(held(F.array_distinct("_tokens"), "df"), "term").select(
+        "term", "tf", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf")
+    ).orderBy(F.col("tf").desc(), "term").collect()  # at most ``vocab``
+    terms, idf = [r.term for r in listed], [r.idf for r in listed]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(parts, "text").sortWithinPartitions("text").select("text", "n")
+    weigh = text_weigher(terms, idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [weigh(t) for t in batch.column(0).to_pylist()]
+            at, weight = (pa.array([r[i] for r in rows], pa.list_(t)) for i, t in ((0, pa.int32()), (1, pa.float64())))
+            yield pa.RecordBatch.from_arrays([at, weight, batch.column(1)], names=["at", "weight", "n"])
+
+    made = dealt.mapInArrow(run, "at array<int>, weight array<double>, n long")
+    return materialise(made, "topic-rows"), terms, idf
+
+
+def text_weigher(terms: list[str], idf: list[float]) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """From a text's words to the places of its known terms and their unit-length TF-IDF weights."""
+    place = {t: i for i, t in enumerate(terms)}
+    scale = np.array(idf)
+
+    def weigh(text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = np.array([place[t] for t in (text or "").split(" ") if t in place], np.int32)
+        at, counts = np.unique(found, return_counts=True)
+        weight = counts * scale[at] if len(at) else np.zeros(0)
+        return at, weight / (np.sqrt(weight @ weight) or 1.0)
+
+    return weigh
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of the log of the gamma function, for numbers above 0."""
+    shift = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        shift = np.where(low, shift - 1 / x, shift)
+        x = np.where(low, x + 1, x)
+    y = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+
+
+def document_topics(
+    counts: np.ndarray, words: np.ndarray, prior: float, steps: int = 100, tolerance: float = 1e-3
+) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights of each row of ``counts``, by variational steps, and each row's expected topics.
+
+    ``words`` holds the exponential of every topic's expected log of its words.
+    """
+    weights = np.ones((len(counts), len(words)))
+    expected = np.empty_like(weights)
+    open_ = np.arange(len(counts))
+    for _ in range(steps):
+        own = weights[open_]
+        theta = np.exp(digamma(own) - digamma(own.sum(axis=1))[:, None])
+        share = counts[open_] / (theta @ words + 1e-100)
+        made = prior + theta * (share @ words.T)
+        weights[open_] = made
+        open_ = open_[np.abs(made - own).mean(axis=1) >= tolerance]
+        if not len(open_):
+            break
+    expected = np.exp(digamma(weights) - digamma(weights.sum(axis=1))[:, None])
+    return weights, expected
+
+
+# Rows of one dense block in a task.
+TOPIC_BLOCK = 512
+
+
+def fit_topics(rows: DataFrame, terms: int, k: int, seed: int, iterations: int) -> np.ndarray:
+    """Batch variational Bayes of LDA: each topic's weight of every term.
+
+    A row stands for ``n`` equal rows, so it adds its statistics ``n`` times. Tasks send the sums of
+    their rows; sums of all and the topics are as large as topics times terms, whatever the corpus.
+    """
+    prior = 1.0 / k
+    topics_ = np.random.RandomState(seed).gamma(100.0, 0.01, (k, terms))
+    schema = "topic int, term int, total double"
+    for _ in range(iterations):
+        words = np.exp(digamma(topics_) - digamma(topics_.sum(axis=1))[:, None])
+
+        def run(batches: Iterator[pa.RecordBatch], words: np.ndarray = words) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((k, terms))
+            for batch in batches:
+                for start in range(0, batch.num_rows, TOPIC_BLOCK):
+                    part = batch.slice(start, TOPIC_BLOCK)
+                    sizes = np.diff(part.column(0).offsets.to_numpy())
+                    counts = np.zeros((part.num_rows, terms))
+                    places = np.repeat(np.arange(part.num_rows), sizes), part.column(0).flatten().to_numpy()
+                    counts[places] = part.column(1).flatten().to_numpy()
+                    _, expected = document_topics(counts, words, prior)
+                    share = counts * part.column(2).to_numpy()[:, None] / (expected @ words + 1e-100)
+                    sums += expected.T @ share
+            topic, term = np.divmod(np.arange(k * terms, dtype=np.int32), np.int32(terms))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(topic), pa.array(term), pa.array((sums * words).ravel())], names=["topic", "term", "total"]
+            )
+
+        totals = rows.mapInArrow(run, schema).groupBy("topic", "term").agg(F.sum("total").alias("total"))
+        topics_ = np.full((k, terms), prior)
+        for topic, term, total in totals.collect():  # topics times terms
+            topics_[topic, term] += total
+    return topics_
+
+
 def topics(
     df: DataFrame, col: str = "cleaned_text", k: int = 5, words: int = 9, seed: int = 42,
     vocab: int = 1000, iterations: int = 10,
 ) -> DataFrame:
     """LDA topics over TF-IDF rows of the ``vocab`` most frequent words; ``words`` words each.
 
-    The vocabulary has an order of its own, and rows are dealt by their content and sorted before the
-    fit, so the topics do not depend on how the input was cut.
+    Each distinct text is one row that counts as often as it occurs, so a text that many rows repeat is
+    no hot key; the topics are those of the repeated rows and do not depend on how the input was cut.
     """
-    texts = materialise(df.select(col), "topic-texts")
-    listed = topic_vocabulary(texts, col, vocab).orderBy(F.col("tf").desc(), "term").collect()  # at most ``vocab``
-    if not listed:
-        return df.sparkSession.createDataFrame([], "topic string, words array<string>")
-    terms = [r.term for r in listed]
-    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="_tokens", outputCol="_tf")
-    scaler = ElementwiseProduct(scalingVec=[r.idf for r in listed], inputCol="_tf", outputCol="_tfidf")
-    unit = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    rows = unit.transform(scaler.transform(counter.transform(topic_tokens(texts, col)))).select("features", "_tokens")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    content = F.sha1(F.array_join("_tokens", " "))
-    dealt = rows.withColumn("_order", content).repartition(parts, "_order").sortWithinPartitions("_order")
-    model = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0).fit(dealt.select("features"))
-    vocabulary = F.array(*[F.lit(w) for w in terms])
-    return model.describeTopics(words).select(
-        F.concat(F.lit("Topic "), (F.col("topic") + 1).cast("string")).alias("topic"),
-        F.transform("termIndices", lambda i: F.element_at(vocabulary, i + 1)).alias("words"),
-    )
+    session = df.sparkSession
+    rows, terms, _ = tfidf_rows(df, col, vocab)
+    if not terms:
+        return session.createDataFrame([], "topic string, words array<string>")
+    fitted = fit_topics(rows, len(terms), k, seed, iterations)
+    shares = np.round(fitted / fitted.sum(axis=1)[:, None], 9)
+    named = [
+        (f"Topic {i + 1}", [terms[t] for t in sorted(range(len(terms)), key=lambda t: (-own[t], terms[t]))[:words]])
+        for i, own in enumerate(shares)
+    ]
+    return session.createDataFrame(named, "topic string, words array<string>")

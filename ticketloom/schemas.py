@@ -46,7 +46,7 @@ DEVELOPER_SUMMARIES = schema_of(
 )
 ATTENDED_TICKETS = schema_of("ticket_key string, TicketID string, attended_at timestamp_ntz")
 SENT_TICKETS = schema_of("ticket_key string, ticket_id string")
-CLASSIFIER_SCORES = schema_of("c double, class_weight string, f1_mean double, f1_std double, chosen int")
+CLASSIFIER_SCORES = schema_of("c double, class_weight string, f1_mean double, f1_std double, chosen int, solver string")
 TAXONOMY_RULES = schema_of("pos int, category string, keyword string")
 SEVERITY_MAP = schema_of("category string, syslog_level string, severity_code int")
 LEXICON = schema_of("token string, polarity double")
