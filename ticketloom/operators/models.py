@@ -120,12 +120,11 @@ def shrunk(df: DataFrame, by: list[str], sums: list[str], features: str = "featu
 
     Fits that weigh their rows give the same on it. A vector that very many rows share is combined
     before the shuffle and is one row after it. The result is dealt and sorted by content, so it does
-    not depend on how the input was cut.
+    not depend on how the input was cut; a small one comes in few partitions, as fits read it often.
     """
     keyed = df.withColumn("_content", F.md5(F.col(features).cast("string").cast("binary")))
     made = keyed.groupBy("_content", *by).agg(F.first(features).alias(features), *[F.sum(c).alias(c) for c in sums])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return made.repartition(parts, "_content", *by).sortWithinPartitions("_content", *by).drop("_content")
+    return made.repartition("_content", *by).sortWithinPartitions("_content", *by).drop("_content")
 
 
 # --- bug classifier ----------------------------------------------------------------------------
