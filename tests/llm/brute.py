@@ -83,3 +83,37 @@ def raked(cells, targets, rounds=500):
                 sums[c[m]] += w
             weights = {c: w * target.get(c[m], 0.0) / sums[c[m]] if sums[c[m]] else 0.0 for c, w in weights.items()}
     return weights
+
+
+def capped(cells, targets, share, rounds=60):
+    """Tokens taken of {(margin values): tokens}, ``share`` of all: raked to amounts, no cell beyond its tokens.
+
+    A value's amount goes by its target among those that can still give; a value's factor is found by bisection.
+    """
+    budget = share * sum(cells.values())
+    wanted = []
+    for m, target in enumerate(targets):
+        supply = Counter()
+        for c, t in cells.items():
+            supply[c[m]] += t
+        low, high = 0.0, max(supply[v] / s for v, s in target.items() if s)
+        for _ in range(200):
+            level = (low + high) / 2
+            given = sum(min(supply[v], level * s) for v, s in target.items())
+            low, high = (level, high) if given < budget else (low, level)
+        wanted.append({v: min(supply[v], high * s) for v, s in target.items()})
+    weight = {c: share * t for c, t in cells.items()}
+    for _ in range(rounds):
+        for m, amounts in enumerate(wanted):
+            groups = defaultdict(list)
+            for c in cells:
+                groups[c[m]].append(c)
+            for value, own in groups.items():
+                low, high = 0.0, 1e6
+                for _ in range(60):
+                    factor = (low + high) / 2
+                    given = sum(min(weight[c] * factor, cells[c]) for c in own)
+                    low, high = (factor, high) if given < amounts.get(value, 0.0) else (low, factor)
+                for c in own:
+                    weight[c] = min(weight[c] * high, cells[c] * 1e12)
+    return {c: min(weight[c], cells[c]) for c in cells}

@@ -235,3 +235,81 @@ def test_the_tree_passes_over_most_points():
         if kids:
             for k in range(*kids):
                 assert tree.radius[k] <= tree.radius[node] + 1e-9
+
+
+# --- mends ----------------------------------------------------------------------------------------
+
+def test_raking_by_arrays_is_raking_by_tables(spark):
+    """Caps that bind on several margins: the same rounds give the same on arrays and on tables."""
+    from ticketloom.llm import mixing
+
+    rng = random.Random(2)
+    values, other = ["x", "y", None, "z"], ["p", "q", "r"]
+    cells = {(a, b): rng.choice([0.0, 5.0, 40.0, 300.0, 2000.0]) for a in values for b in other}
+    shares = [dict(zip(values, [0.4, 0.3, 0.2, 0.1])), dict(zip(other, [0.6, 0.3, 0.1]))]
+    df = spark.createDataFrame([(*c, t) for c, t in cells.items()], "_a string, _b string, _tokens double")
+    aims = {m: spark.createDataFrame([*own.items()], f"{m} string, _target double") for m, own in zip(("_a", "_b"), shares)}
+    tables = {(r._a, r._b): r._probability for r in mixing.filled(df, aims, 0.4, rounds=4).collect()}
+    codes = [np.array([v.index(c[i]) for c in cells]) for i, v in enumerate((values, other))]
+    targets = [np.array([own[v] for v in names]) for own, names in zip(shares, (values, other))]
+    made, _ = mixing.filled_arrays(codes, np.array([*cells.values()]), targets, 0.4, rounds=4)
+    assert dict(zip(cells, made.tolist())) == pytest.approx(tables, abs=1e-9)
+
+
+def test_caps_that_bind_on_two_margins(spark):
+    """One small cell is taken whole; what it lacks goes to the others so that both margins hold."""
+    from ticketloom.llm import mixing
+
+    cells = {("x", "p"): 10.0, ("x", "q"): 1000.0, ("y", "p"): 1000.0, ("y", "q"): 1000.0}
+    df = spark.createDataFrame([(*c, t) for c, t in cells.items()], "_a string, _b string, _tokens double")
+    aims = {m: spark.createDataFrame([(v, 0.5) for v in pair], f"{m} string, _target double") for m, pair in (("_a", "xy"), ("_b", "pq"))}
+    made = {(r._a, r._b): r for r in mixing.probabilities(df, aims, 0.4).collect()}
+    want = {("x", "p"): 1.0, ("x", "q"): 0.592, ("y", "p"): 0.592, ("y", "q"): 0.01}
+    assert {c: r._probability for c, r in made.items()} == pytest.approx(want, abs=1e-4) and made["x", "p"]._margin_error < 1e-4
+
+
+def test_margins_that_cannot_hold_are_told(spark):
+    from ticketloom.llm import mixing
+
+    df = spark.createDataFrame([("x", "p", 100.0), ("y", "q", 100.0)], "_a string, _b string, _tokens double")
+    aims = {"_a": spark.createDataFrame([("x", 0.9), ("y", 0.1)], "_a string, _target double"),
+            "_b": spark.createDataFrame([("p", 0.1), ("q", 0.9)], "_b string, _target double")}
+    assert mixing.probabilities(df, aims, 0.3).first()._margin_error > 0.1
+    assert mixing.probabilities(df.limit(0), aims, 0.3).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 1_100_000 + "b c", "x " * 10 + "\t" * 1_000_001, " \n" * 600_000 + "end"])
+def test_long_white_space_is_counted_as_the_library_does(text):
+    from tokenizers import Tokenizer
+
+    from ticketloom.llm import tokenize
+    from ticketloom.llm.queries import TOKENIZER
+
+    want = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert tokenize.encoder(TOKENIZER).encode(["one two", text])[1].tolist() == want
+
+
+def test_names_that_operators_use_or_give(spark):
+    from ticketloom.llm import substrings, urls
+
+    passage = prose(40)
+    names = ["shared", "hot", "stretches", "n_words", "kept_text", "n_removed", "trimmed_text", "minimiser", "packed", "first", "held"]
+    rows = [(1, passage, *("x" for _ in names)), (2, "one\n\n" + passage + "\ntwo three", *("x" for _ in names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for hot_rows in (1, 2000):
+        found = {r.doc_id: r for r in substrings.dedup(df, hot_rows=hot_rows).collect()}
+        assert found[2].n_removed == 40 and found[2].kept_text == "one two three" and found[2].trimmed_text == "one\ntwo three"
+        assert found[1].trimmed_text == passage and found[1].n_words == 40 and found[1].held == found[1].shared == "x"
+    captures = spark.createDataFrame([("http://a.com/", None, "x", "y", True)], "url string, fetched_at timestamp_ntz, lists string, pattern string, blocked boolean")
+    entries = spark.createDataFrame([], "list string, pattern string, action string, at timestamp_ntz")
+    made = urls.filter_captures(captures, entries, ["url", "lists", "pattern", "blocked"], [])
+    assert [tuple(r) for r in made.collect()] == [("http://a.com/", "", "", False)]
+
+
+def test_pieces_of_huge_documents_spread(spark):
+    from ticketloom.llm import packing
+    from ticketloom.llm.queries import TOKENIZER
+
+    rows = spark.createDataFrame([(i, "word other " * 60_000) for i in range(4)], "doc_id long, text string")
+    made = packing.pack(rows, "doc_id", "text", TOKENIZER, pool_rows=20, with_ids=False).collect()
+    assert len({r.sequence_id >> 32 for r in made}) > 4 and sum(r.length for r in made) == sum({r.doc_id: r.doc_tokens for r in made}.values())

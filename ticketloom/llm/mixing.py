@@ -12,8 +12,11 @@ wanted more than once is taken whole and the rest is raked again. A rare source
 document so moves nothing but itself. Without a ``share`` the scarcest cell sets the scale: it is
 taken whole, all others in proportion, and the targets hold exactly.
 
-The fit works on the table of cells alone, by joins with the sums of a margin, and stores the cells
-after every round. With a tokenizer the texts are read once: rows are stored with their tokens, margins
+The fit works on the table of cells alone. Up to ``LOCAL_CELLS`` of them are fetched, after a check of
+their number, and raked as arrays; more are raked by joins with the sums of a margin, stored after every
+round, to the same result. Margins that cannot hold together, or a fit that has not ended after
+``ROUNDS``, show in ``_margin_error``: the largest difference of a margin's value from its amount, as a
+share of all tokens. With a tokenizer the texts are read once: rows are stored with their tokens, margins
 and draw, and only with the columns asked for. By words the corpus is read for the cells and for the draw. Null margins are a
 value of their own; null and empty texts weigh nothing and are drawn with their cell. Rows equal in
 key and text are drawn alike. An empty table gives an empty result. Working columns begin with an
@@ -24,8 +27,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketloom.llm.fingerprints import words_of
 from ticketloom.llm.tokenize import with_tokens
@@ -38,6 +43,8 @@ TEMPER = 0.9
 SHARE = 0.75
 # No cell is wanted more often than this, where margins cannot hold together.
 MOST_WANTED = 1e12
+# Cells that are raked as arrays in the driver: a row of some margin values and a number each.
+LOCAL_CELLS = 100_000
 
 
 def token_weight(text: Column) -> Column:
@@ -167,6 +174,82 @@ def filled(
     return fitted.withColumn("_probability", F.when(F.col("_tokens") > 0, taken / F.col("_tokens")).otherwise(1.0))
 
 
+def amounts_of(supply: np.ndarray, target: np.ndarray, budget: float) -> np.ndarray:
+    """``amounts`` of one margin as arrays: its values' supplies and target shares, none below zero."""
+    level = 0.0
+    while True:
+        whole = supply <= level * target
+        rest = target[~whole].sum()
+        risen = (budget - supply[whole].sum()) / rest if rest else level
+        if not risen > level * (1 + 1e-12):
+            return np.minimum(supply, level * target)
+        level = risen
+
+
+def filled_arrays(
+    codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], share: float, tolerance: float = TOLERANCE, rounds: int = ROUNDS
+) -> tuple[np.ndarray, float]:
+    """``filled`` on arrays: every cell's probability, and the largest difference of a margin as a share of the tokens.
+
+    ``codes`` number a margin's value in every cell, ``targets`` gives the value's share, 0 without one.
+    """
+    total = tokens.sum()
+    if not total:
+        return np.ones(len(tokens)), 0.0
+    supplies = [np.bincount(c, tokens, len(t)) for c, t in zip(codes, targets)]
+    budget = min([share * total, *(s[t > 0].sum() for s, t in zip(supplies, targets))])
+    wanted = [amounts_of(np.where(t > 0, s, 0.0), t, budget) for s, t in zip(supplies, targets)]
+    weight = share * tokens
+    for _ in range(rounds):
+        before = np.minimum(weight, tokens)
+        for code, supply, asked in zip(codes, supplies, wanted):
+            full = weight >= tokens
+            held = np.bincount(code, np.where(full, tokens, 0.0), len(asked))
+            free = np.bincount(code, np.where(full, 0.0, weight), len(asked))
+            rise = np.zeros(len(asked))
+            np.maximum.at(rise, code[weight > 0], tokens[weight > 0] / weight[weight > 0])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.where(held + free > 0, asked / (held + free), 0.0)
+                factor = np.where((asked > held) & (free > 0), (asked - held) / free, factor)
+            factor = np.where(asked >= supply * (1 - 1e-12), np.where(rise > 0, rise, 1.0), factor)
+            weight = np.minimum(weight * factor[code], tokens * MOST_WANTED)
+        if np.abs(np.minimum(weight, tokens) - before).sum() <= tolerance * total:
+            break
+    taken = np.minimum(weight, tokens)
+    error = max(np.abs(np.bincount(c, taken, len(a)) - a).max() for c, a in zip(codes, wanted)) / total
+    return np.where(tokens > 0, taken / np.where(tokens > 0, tokens, 1.0), 1.0), float(error)
+
+
+def _margin_error(fitted: DataFrame, wanted: dict[str, DataFrame]) -> float:
+    """The largest difference of a margin's value from its amount, as a share of all tokens."""
+    total, worst = fitted.agg(F.sum("_tokens")).first()[0] or 0.0, 0.0
+    for margin, amount in wanted.items():
+        sums = fitted.groupBy(F.col(margin).alias("_key")).agg(F.sum(F.col("_probability") * F.col("_tokens")).alias("_taken"))
+        both = sums.join(amount, F.col("_key").eqNullSafe(F.col("_value")), "left")
+        worst = max(worst, both.agg(F.max(F.abs(F.col("_taken") - F.coalesce("_amount", F.lit(0.0))))).first()[0] or 0.0)
+    return worst / total if total else 0.0
+
+
+def probabilities(cells: DataFrame, aims: dict[str, DataFrame], share: float, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """The cells with ``_probability`` and ``_margin_error``, raked as arrays or, beyond ``local_cells``, as tables."""
+    rows = cells.limit(local_cells + 1).collect()
+    if len(rows) > local_cells:
+        fitted = filled(cells, aims, share)
+        return fitted.withColumn("_margin_error", F.lit(_margin_error(fitted, amounts(cells, aims, share))))
+    codes, targets = [], []
+    for margin, aim in aims.items():
+        place = {v: i for i, v in enumerate(dict.fromkeys(r[margin] for r in rows))}
+        target = np.zeros(len(place))
+        for value, wanted in aim.select(margin, "_target").collect():  # no more than cells
+            if value in place:
+                target[place[value]] = wanted or 0.0
+        codes.append(np.array([place[r[margin]] for r in rows], np.int64))
+        targets.append(target)
+    found, error = filled_arrays(codes, np.array([r["_tokens"] or 0.0 for r in rows], np.float64), targets, share)
+    schema = T.StructType([*cells.schema, T.StructField("_probability", T.DoubleType()), T.StructField("_margin_error", T.DoubleType())])
+    return cells.sparkSession.createDataFrame([(*r, float(p), error) for r, p in zip(rows, found)], schema)
+
+
 def draw(key: str, text: str, seed: int) -> Column:
     """A number in [0, 1) from a row's key and text."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 11)
@@ -178,7 +261,7 @@ def mix(
     targets: Callable[[DataFrame, str], DataFrame] = tempered_targets, seed: int = 97, share: float | None = None,
     tokenizer: str | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``df`` (or those of ``keep``) with ``_tokens``, ``_probability`` and ``_sampled``.
+    """All rows and columns of ``df`` (or those of ``keep``) with ``_tokens``, ``_probability``, ``_sampled`` and ``_margin_error``.
 
     ``margins`` names the margins and gives the expression of each; ``targets`` gives a margin's
     values with their shares from the cells; ``share`` is the share of all tokens to keep, None to let
@@ -194,9 +277,12 @@ def mix(
         shown = shown.select(*carried, token_weight(F.col(text)).alias("_own"))
     cells = materialise(shown.groupBy(*names.values()).agg(F.sum("_own").alias("_tokens")), "cells")
     aims = {c: materialise(targets(cells, c), "targets") for c in names.values()}
-    fitted = calibrated(rake(cells, aims)) if share is None else filled(cells, aims, share)
+    if share is None:
+        fitted = calibrated(rake(cells, aims)).withColumn("_margin_error", F.lit(None).cast("double"))
+    else:
+        fitted = probabilities(cells, aims, share)
     rated = materialise(
-        fitted.select(*[F.col(c).alias(f"{c}_cell") for c in names.values()], "_probability"), "probabilities"
+        fitted.select(*[F.col(c).alias(f"{c}_cell") for c in names.values()], "_probability", "_margin_error"), "probabilities"
     )
     same = F.lit(True)
     for c in names.values():

@@ -19,8 +19,8 @@ bits of each coordinate) is passed over. Each comparison computes the likeness e
 of the links, by alternating star contractions on tables.
 
 Nulls: a null text counts as empty. Texts without words have no runs and are alone in their class,
-texts of fewer than five words are one run. Rows that share a key fall into one class. An empty table gives
-an empty result. Only key and text are read, so extra columns never clash. Long texts are read whole.
+texts of fewer than five words are one run. A row has the class of its text, so rows that share a key but
+not their words may be of different classes. An empty table gives an empty result. Only key and text are read, so extra columns never clash. Long texts are read whole.
 """
 
 from __future__ import annotations

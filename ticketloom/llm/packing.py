@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketloom.llm.tokenize import balanced, encoder
+from ticketloom.llm.tokenize import balanced, byte_lengths, encoder
 
 CAPACITY, END_ID = 2048, 1
 # Rests in a pool: enough to fill sequences well, few enough for one block in memory.
@@ -70,7 +70,7 @@ def tokenised(df: DataFrame, key: str, text: str, path: str, capacity: int, end_
         encode = encoder(path).encode
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in balanced([len(t) for t in texts]):
+            for a, b in balanced(byte_lengths(batch.column(1))):
                 rows: list[tuple] = []
                 for i, ids in enumerate(encode(texts[a:b]), a):
                     ids = np.append(ids, end_id).astype("<u4")
@@ -100,7 +100,9 @@ def pack(
     ``with_ids`` adds these bytes themselves.
     """
     pieces = tokenised(df, key, text, path, capacity, end_id, with_ids)
-    pools = max(1, ceil(df.count() / pool_rows))
+    # a character is one token at most, but for bytes of rare scripts, so this bounds the pieces of long documents
+    held = df.agg(F.sum(1 + F.coalesce(F.octet_length(text), F.lit(0)).cast("long") / (3 * capacity))).first()[0] or 0
+    pools = max(1, ceil(held / pool_rows))
     pool = F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(pools)).alias("_pool")
     # descending: whole sequences first, then the rests
     pooled = pieces.select(pool, "*").repartition("_pool").sortWithinPartitions(

@@ -143,6 +143,7 @@ def op10_source_mix(spark, sf):
     return mixed.select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("tokens"),
         F.round("_probability", 9).alias("probability"), F.col("_sampled").alias("sampled"),
+        F.round("_margin_error", 9).alias("margin_error"),
     )
 
 

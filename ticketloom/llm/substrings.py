@@ -24,22 +24,24 @@ working columns; all others are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.hashing import run_hashes, word_hashes
+from ticketloom.llm.hashing import run_hashes, seeded, word_hashes
 
 WINDOW, MINIMISER = 13, 5
 # A minimiser of more rows than this is handled window by window.
 HOT_ROWS = 2000
 LEAST = -(1 << 63)
 SLICE = 500
+RESULTS = ["kept_text", "trimmed_text", "n_words", "n_removed"]
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 PLACES = "W_key long, _row long, first long, windows long"
@@ -98,7 +100,7 @@ def _packed(wanted: DataFrame, at: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
-            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "shared"))
+            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "_shared"))
             out: list[tuple] = []
             for row, key, words, shared in zip(rows.to_pylist(), keys.to_pylist(), texts, _arrays(lists)):
                 least = minimisers(words)
@@ -108,22 +110,31 @@ def _packed(wanted: DataFrame, at: int) -> DataFrame:
                     out.append((int(least[first]), b" ".join(words[first:first + n + WINDOW - 1]), key, row, first, n))
             yield _batch(out, PACKED)
 
-    return wanted.mapInArrow(run, "minimiser long, " + PLACES.replace("W", "packed binary, "))
+    return wanted.filter(F.size("_shared") > 0).mapInArrow(run, "minimiser long, " + PLACES.replace("W", "packed binary, "))
 
 
 def _hot_windows(wanted: DataFrame, at: int) -> DataFrame:
-    """Every window of a hot minimiser, by its 128-bit hash."""
+    """Every window of a hot minimiser, by a 128-bit hash of its words: two of 64 bits, of different scrambling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
-            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "hot"))
-            for row, key, words, hot in zip(rows.to_pylist(), keys.to_pylist(), texts, _arrays(lists)):
-                found = np.flatnonzero(np.isin(minimisers(words), hot)).tolist()
-                yield _batch(
-                    [(xxhash.xxh3_128_digest(b" ".join(words[i:i + WINDOW])), key, row, i, 1) for i in found], PACKED[1:]
-                )
-
-    return wanted.filter(F.size("hot") > 0).mapInArrow(run, PLACES.replace("W", "packed binary, "))
+            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "_hot"))
+            places, hashes = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
+            for words, hot in zip(texts, _arrays(lists)):
+                found = np.flatnonzero(np.isin(minimisers(words), hot))
+                own = word_hashes.of(words)
+                both = np.stack([run_hashes(own, WINDOW), run_hashes(seeded(own, 7), WINDOW)], axis=1)
+                places.append(found)
+                hashes.append(both[found] if len(found) else both[:0])
+            sizes = [len(p) for p in places[1:]]
+            first, packed = np.concatenate(places), np.ascontiguousarray(np.concatenate(hashes))
+            fixed = pa.Array.from_buffers(pa.binary(16), len(packed), [None, pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([
+                fixed.cast(pa.binary()), pa.array(np.repeat(keys.to_numpy(), sizes)), pa.array(np.repeat(rows.to_numpy(), sizes)),
+                pa.array(first), pa.array(np.ones(len(first), np.int64)),
+            ], names=[f[0] for f in PACKED[1:]])
+
+    return wanted.filter(F.size("_hot") > 0).mapInArrow(run, PLACES.replace("W", "packed binary, "))
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -193,36 +204,58 @@ def _copies(docs: DataFrame, text: str) -> DataFrame:
     return hashed.join(firsts, "_body").filter("_key > _low").select("_row").distinct()
 
 
+def cut_out(text: str, gone: np.ndarray) -> str:
+    """The text without the words marked, all between the words that stay beside each other left as it was.
+
+    Where words went, a line break is left if there was one, else a space; none at the ends.
+    """
+    raw = text.encode()
+    spans = np.array([m.span() for m in _WORD.finditer(raw)])
+    out, last = [], None
+    for i in np.flatnonzero(~gone).tolist():
+        start, end = spans[i]
+        if last is not None:
+            gap = raw[spans[last][1]:start]
+            out.append(gap if last == i - 1 else b"\n" if b"\n" in gap else b" ")
+        out.append(raw[start:end])
+        last = i
+    return b"".join(out).decode()
+
+
 def _without(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
     """``rows`` (with their repeated stretches) with the words kept and the counts."""
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
-            keys, copies, stretches = (part.column(c).to_pylist() for c in ("_key", "_copy", "stretches"))
-            kept, totals, removed = [], [], []
-            for words, key, copy, own in zip(texts, keys, copies, stretches):
+            keys, copies, stretches = (part.column(c).to_pylist() for c in ("_key", "_copy", "_stretches"))
+            kept, trimmed, totals, removed = [], [], [], []
+            for said, words, key, copy, own in zip(part.column(at).to_pylist(), texts, keys, copies, stretches):
                 gone = np.full(len(words), bool(copy) and len(words) >= WINDOW)
                 for s in own or ():
                     if s["_key"] == key:  # else another row of the same hash
                         gone[s["first"]:s["first"] + s["windows"] + WINDOW - 1] = True
                 left = words if not gone.any() else [words[i] for i in np.flatnonzero(~gone).tolist()]
                 kept.append(b" ".join(left).decode())
+                trimmed.append(said if len(left) == len(words) else cut_out(said, gone))
                 totals.append(len(words))
                 removed.append(len(words) - len(left))
-            made = [pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
+            made = [pa.array(kept, pa.string()), pa.array(trimmed, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:len(columns)], *made], names=[*columns, "kept_text", "n_words", "n_removed"]
+                [*part.columns[:len(columns)], *made], names=[*columns, *RESULTS]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    return rows.select(*columns, "_key", "_copy", "stretches").mapInArrow(
-        run, f"{fields}, kept_text string, n_words long, n_removed long"
+    return rows.select(*columns, "_key", "_copy", "_stretches").mapInArrow(
+        run, f"{fields}, kept_text string, trimmed_text string, n_words long, n_removed long"
     )
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``."""
+    """``df`` with ``kept_text`` (kept words joined by one space), ``trimmed_text`` (the text with the other words cut out
+    and its line breaks kept), ``n_words`` and ``n_removed``; columns of these names give way to the results.
+    """
+    df = df.drop(*RESULTS)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns, at = df.columns, df.columns.index(text)
     order = F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("_key")
@@ -238,12 +271,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int
     cool = F.when(F.col("held") <= hot_rows, F.col("minimiser"))
     hot = F.when(F.col("held") > hot_rows, F.col("minimiser"))
     marked = found.join(shared.hint("shuffle_hash"), "minimiser").groupBy("_row").agg(
-        F.collect_list(cool).alias("shared"), F.collect_list(hot).alias("hot")  # bounded by the text
+        F.collect_list(cool).alias("_shared"), F.collect_list(hot).alias("_hot")  # bounded by the text
     )
-    wanted = open_.join(marked, "_row").select(*columns, "_row", order, "shared", "hot")
+    wanted = open_.join(marked, "_row").select(*columns, "_row", order, "_shared", "_hot")
     repeats = _bucket_repeats(_packed(wanted, at)).unionByName(_window_repeats(_hot_windows(wanted, at)))
     stretches = repeats.groupBy("_row").agg(
-        F.collect_list(F.struct("_key", "first", "windows")).alias("stretches")  # bounded by the text
+        F.collect_list(F.struct("_key", "first", "windows")).alias("_stretches")  # bounded by the text
     )
-    last = dealt.join(stretches, "_row", "left").select(*columns, order, "_copy", "stretches")
+    last = dealt.join(stretches, "_row", "left").select(*columns, order, "_copy", "_stretches")
     return _without(last, columns, text)

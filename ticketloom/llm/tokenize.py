@@ -4,7 +4,7 @@ A text may be cut before a single space or line feed that stands between two cha
 white space, where the file has the plain byte-level pre-tokenizer, which never forms a token across such
 a place, and no special string with white space. With any other file every text is one call. Long texts are encoded in blocks between such places, so that no call of the
 library holds more than a block's offsets; batches of blocks are about equal in bytes. The ids are
-exactly those that the library gives for the whole text.
+exactly those that the library gives for the whole text, also of very long runs of white space.
 
 Null and empty texts have no tokens. Texts of any length are read whole. Only the columns asked for
 are kept, so extra columns of the input never clash; rows that repeat stay repeated.
@@ -18,15 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Characters of one call of the library, and of a block.
-BATCH_CHARS, BLOCK_CHARS = 1 << 20, 1 << 15
+# Bytes of the texts that are encoded together, and characters of a block.
+BATCH_BYTES, BLOCK_CHARS = 1 << 20, 1 << 15
 # White space in any reading of the word, and invisible characters that some readings count as such.
 _ODD = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff"
 # Fixed value: how the byte-level pre-tokenizer cuts text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# A run of white space this long goes through the library itself: the other's pattern gives up near a million.
+_LONG_BLANK = re.compile(r"\s{100000}")
 _SAFE = re.compile(f"(?<=[^{_ODD}])(?=[ \n][^{_ODD}])")
 
 
@@ -93,10 +96,13 @@ class Encoder:
             made = self.tokenizer.encode_batch_fast(blocks, add_special_tokens=False)
             return [np.array(e.ids, np.uint32) for e in made]
         run, special = self.ranked.encode_to_numpy, self.special
-        return [
-            run(b, allowed_special="all" if special and special.search(b) else set(), disallowed_special=())
-            for b in blocks
-        ]
+
+        def one(block: str) -> np.ndarray:
+            if len(block) >= 100_000 and _LONG_BLANK.search(block):
+                return np.array(self.tokenizer.encode(block, add_special_tokens=False).ids, np.uint32)
+            return run(block, allowed_special="all" if special and special.search(block) else set(), disallowed_special=())
+
+        return [one(b) for b in blocks]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizers library gives them."""
@@ -115,8 +121,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def balanced(lengths: list[int], size: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``size`` characters each; a longer text is a range of its own."""
+def byte_lengths(texts: pa.Array) -> list[int]:
+    """The UTF-8 bytes of every text; none for a null."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
+def balanced(lengths: list[int], size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``size`` bytes each; a longer text is a range of its own."""
     start = held = 0
     for i, n in enumerate(lengths):
         if held and held + n > size:
@@ -135,11 +146,11 @@ def token_counts(df: DataFrame, text: str, path: str, keep: list[str]) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts, sizes = [t or "" for t in batch.column(len(keep)).to_pylist()], byte_lengths(batch.column(len(keep)))
             counts: list[int] = []
-            for a, b in balanced([len(t) for t in texts]):
+            for a, b in balanced(sizes):
                 counts += map(len, encode(texts[a:b]))
-            made = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())]
+            made = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "n_bytes", "n_tokens"])
 
     return df.select(*keep, text).mapInArrow(count, schema)
@@ -155,7 +166,7 @@ def with_tokens(df: DataFrame, text: str, path: str, keep: list[str], name: str)
         for batch in batches:
             texts = [t or "" for t in batch.column(read.index(text)).to_pylist()]
             counts: list[int] = []
-            for a, b in balanced([len(t) for t in texts]):
+            for a, b in balanced(byte_lengths(batch.column(read.index(text)))):
                 counts += map(len, encode(texts[a:b]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, name])
 

@@ -81,13 +81,18 @@ def verdicts(captures: DataFrame, entries: DataFrame, allow_lists: list[str], ur
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, keep: list[str], allow_lists: list[str], url: str = "url", at: str = "fetched_at") -> DataFrame:
-    """``keep`` of every capture with ``lists`` (empty if none), ``pattern`` and ``blocked``."""
+    """``keep`` of every capture with ``lists`` (empty if none), ``pattern`` and ``blocked``.
+
+    A column of these names in ``keep`` gives way to the result.
+    """
+    keep = [c for c in keep if c not in ("lists", "pattern", "blocked")]
     judged = verdicts(captures, entries, allow_lists, url, at).select(
-        F.col("url").alias("_url"), F.col("at").alias("_at"), "lists", "pattern", "blocked"
+        F.col("url").alias("_url"), F.col("at").alias("_at"), F.col("lists").alias("_lists"), F.col("pattern").alias("_pattern"),
+        F.col("blocked").alias("_blocked"),
     )
     rows = captures.select(*keep, F.col(url).alias("_u"), F.col(at).alias("_t"))
     return rows.join(judged, (F.col("_u") == F.col("_url")) & (F.col("_t") == F.col("_at")), "left").select(
         *keep,
-        F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("pattern", F.lit("")).alias("pattern"),
-        F.coalesce("blocked", F.lit(False)).alias("blocked"),
+        F.coalesce("_lists", F.lit("")).alias("lists"), F.coalesce("_pattern", F.lit("")).alias("pattern"),
+        F.coalesce("_blocked", F.lit(False)).alias("blocked"),
     )
