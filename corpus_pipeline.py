@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read back
 for the next one. All but the last return the columns of ``documents``.
+
+Every stage takes null and empty texts (quality drops them: they have too few words), very long texts,
+rows that repeat an id or all of another row, null ids, and tables without rows; extra columns of any
+name are kept but for those beginning with an underscore, and for ``kept_text``, ``trimmed_text``,
+``n_words`` and ``n_removed``, which the substring stage uses.
 """
 
 from __future__ import annotations
@@ -24,17 +29,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near copies the document of the least id."""
-    classes = near_duplicates.classes(docs)
-    copies = classes.filter(F.col("class_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of every class of near copies the document of the least id.
+
+    Rows are numbered once and stored, so that rows which share an id stay apart, and of rows that are
+    equal in all one stays.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates.classes(numbered, key="_row").withColumnRenamed("class_id", "_class")
+    first = numbered.select("_row", "doc_id").join(classes, "_row").groupBy("_class").agg(
+        F.min(F.struct("doc_id", "_row")).alias("_first")
+    )
+    return numbered.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds; a text of nothing else goes."""
+    """Texts without the passages that an earlier document holds, line breaks kept; a text of nothing else goes."""
     made = substrings.dedup(docs).filter("n_removed = 0 OR n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    cut = F.col("n_removed") > 0
+    changed = {
+        "text": F.when(cut, F.col("trimmed_text")).otherwise(F.col("text")),
+        "n_chars": F.when(cut, F.char_length("trimmed_text").cast("long")).otherwise(F.col("n_chars")),
+    }
     return made.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
@@ -45,8 +60,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs, "doc_id", "text", TOKENIZER, with_ids=False)
+    """The pieces of all documents in sequences of 2048 tokens, with their ids."""
+    return packing.pack(docs, "doc_id", "text", TOKENIZER)
 
 
 STAGES = [
