@@ -11,9 +11,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF, ElementwiseProduct, HashingTF, IndexToString, Normalizer, RegexTokenizer, StringIndexerModel, VectorAssembler,
+    VectorSlicer,
 )
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -129,6 +131,47 @@ def shrunk(df: DataFrame, by: list[str], sums: list[str], features: str = "featu
 
 # --- bug classifier ----------------------------------------------------------------------------
 
+# Up to this many places of the vectors in use, a fit sees these places only: all others would weigh 0.
+FEW_PLACES = 4096
+
+
+def places_in_use(rows: DataFrame) -> list[int] | None:
+    """The places where any vector is not 0, if they are few; None if a fit should see whole vectors."""
+    held = rows.select(Summarizer.numNonZeros(F.col("features"))).head()[0]
+    if held is None:
+        return None
+    found = held.toArray().nonzero()[0].tolist()
+    return found or [0] if len(found) <= FEW_PLACES else None
+
+
+def at_places(df: DataFrame, places: list[int] | None) -> DataFrame:
+    """``df`` with only these places of ``features``."""
+    if places is None:
+        return df
+    slicer = VectorSlicer(inputCol="_whole", outputCol="features", indices=places)
+    return slicer.transform(df.withColumnRenamed("features", "_whole")).drop("_whole").withMetadata("features", {})
+
+
+@dataclass
+class BugModel:
+    """A fitted regression and the places of the vectors that it sees."""
+
+    fitted: LogisticRegressionModel
+    places: list[int] | None
+
+    @property
+    def intercept(self) -> float:
+        own = self.fitted
+        return float(own.coefficients[-1]) if own.getFeaturesCol() == WITH_ONE else own.intercept
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the prediction and its probability."""
+        made = at_places(df.withColumn("_given", F.col("features")), self.places)
+        made = with_one(made) if self.fitted.getFeaturesCol() == WITH_ONE else made
+        scored = self.fitted.transform(made).drop("features", WITH_ONE)
+        return scored.withColumnRenamed("_given", "features")
+
+
 @dataclass
 class BugClassifier:
     """The fitted model, the estimator to refit it with, and its cross-validation scores.
@@ -136,7 +179,7 @@ class BugClassifier:
     A score is (inverse strength, class weight, mean F1, its deviation, chosen, solver).
     """
 
-    model: LogisticRegressionModel
+    model: BugModel
     estimator: LogisticRegression
     strength: float
     scores: list[tuple[float, str, float, float, int, str]]
@@ -197,7 +240,9 @@ def fit_bug_classifier(
     strengths = grid or V.GRID_C
     folded = stratified_folds(with_weights(train), "label", key, folds, seed)
     rows = folded.select("features", F.col("label").cast("double").alias("label"), "fold", "unit", "balanced")
-    data = materialise(solver_rows(shrunk(rows, ["label", "fold"], [*WEIGHTS])), "classifier-rows")
+    small = materialise(shrunk(rows, ["label", "fold"], [*WEIGHTS]), "shrunk-rows")
+    places = places_in_use(small)
+    data = materialise(solver_rows(at_places(small, places)), "classifier-rows")
     per_fold = _row_total(data) * (folds - 1) / folds
     base = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, standardization=False)
     settings = [(c, weight, solver) for c in strengths for weight in WEIGHTS for solver in SOLVERS]
@@ -215,7 +260,7 @@ def fit_bug_classifier(
         for i, (c, weight, solver) in enumerate(settings)
     ]
     chosen = {param: value for param, value in params[best].items() if param != base.regParam}
-    return _fit_all(base.copy(chosen), settings[best][0], scores, data)
+    return _fit_all(base.copy(chosen), settings[best][0], scores, data, places)
 
 
 def _row_total(data: DataFrame) -> float:
@@ -223,17 +268,19 @@ def _row_total(data: DataFrame) -> float:
     return data.agg(F.sum("unit")).first()[0] or 0.0
 
 
-def _fit_all(estimator, strength, scores, data: DataFrame) -> BugClassifier:
+def _fit_all(estimator, strength, scores, data: DataFrame, places: list[int] | None) -> BugClassifier:
     """Fit on all rows of ``data``, the regularisation scaled to their number."""
     scaled = estimator.copy({estimator.regParam: 1.0 / (strength * _row_total(data))})
-    return BugClassifier(scaled.fit(data), scaled, strength, scores)
+    return BugClassifier(BugModel(scaled.fit(data), places), scaled, strength, scores)
 
 
 def refit(found: BugClassifier, rows: DataFrame) -> BugClassifier:
     """The chosen settings on other rows (``features``, ``label``)."""
     weighted = with_weights(rows.select("features", F.col("label").cast("double").alias("label")))
-    data = materialise(solver_rows(shrunk(weighted, ["label"], [*WEIGHTS])), "refit-rows")
-    return _fit_all(found.estimator, found.strength, found.scores, data)
+    small = materialise(shrunk(weighted, ["label"], [*WEIGHTS]), "shrunk-rows")
+    places = places_in_use(small)
+    data = materialise(solver_rows(at_places(small, places)), "refit-rows")
+    return _fit_all(found.estimator, found.strength, found.scores, data, places)
 
 
 def train_and_evaluate(
@@ -245,7 +292,7 @@ def train_and_evaluate(
     """
     split = materialise(stratified_split(rows, "label", key, frac, seed), "split-rows")
     found = fit_bug_classifier(split.filter("is_train = 1"), key, grid, seed=seed)
-    held = found.model.transform(with_one(split.filter("is_train = 0")))
+    held = found.model.transform(split.filter("is_train = 0"))
     return refit(found, split), classification_report(held, "label", "prediction")
 
 
@@ -270,11 +317,11 @@ def self_train(
 
 
 def score_reviews(
-    model: LogisticRegressionModel, df: DataFrame, text: str = "processed_review"
+    model: BugModel, df: DataFrame, text: str = "processed_review"
 ) -> DataFrame:
     """Add ``is_bug_report`` and ``bug_confidence``; an empty text is 0 with 0.0."""
     empty = F.col(text) == ""
-    scored = model.transform(with_one(df) if model.getFeaturesCol() == WITH_ONE else df)
+    scored = model.transform(df)
     return scored.select(
         *df.columns,
         F.when(empty, 0).otherwise(F.col("prediction").cast("int")).alias("is_bug_report"),
