@@ -447,7 +447,7 @@ FROM cleaned LEFT JOIN weighed USING (review_id) GROUP BY review_id""",
     "latent_groups": """
 SELECT 1.0::double AS norm, min(event_id) AS first_review, count(*) AS reviews, 1::bigint AS texts FROM grouped_texts GROUP BY cleaned_text""",
     "csv_blocks": r"""
-SELECT review_id, regexp_replace(review_description, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS review_description, developer_response,
+SELECT review_id, nullif(regexp_replace(review_description, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '') AS review_description, developer_response,
   review_date, app_version FROM reviews""",
     "self_training": "SELECT review_id, is_bug AS is_bug_report, is_bug AS likely FROM phrase_reviews",
     "bug_predictions": f"""

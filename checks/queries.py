@@ -653,7 +653,7 @@ def latent_groups(spark, sf):
     """Dense vectors of the grouped texts: one for each group, of length one, as the directions span all texts."""
     rows = T.grouped_texts(spark, sf)
     model = latent.fit_latent(rows, "cleaned_text")
-    made = models.text_features(rows, "cleaned_text", embedder=model.embedder())
+    made = materialise(models.text_features(rows, "cleaned_text", embedder=model.embedder()), "latent-vectors")
     vector = vector_to_array("features")
     norm = F.round(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm")
     place = F.transform(vector, lambda x: F.round(x, 4) + 0.0).alias("place")
@@ -664,11 +664,11 @@ def latent_groups(spark, sf):
 
 @query
 def csv_blocks(spark, sf):
-    """Written as few CSV files and read again by blocks."""
+    """Written as few CSV files and read again by blocks. Empty texts are null: such a file does not tell them apart."""
     path = shared_dir(spark, "bugs") + ".csv"
     trimmed = F.regexp_replace("review_description", r"^[\x00-\x20]+|[\x00-\x20]+$", "")  # as the sink does
     rows = T.reviews(spark, sf).select(
-        "review_id", trimmed.alias("review_description"), "developer_response", "review_date", "app_version"
+        "review_id", F.nullif(trimmed, F.lit("")).alias("review_description"), "developer_response", "review_date", "app_version"
     )
     writers.write_csv(rows.coalesce(2), path)
     return readers.read_csv_blocks(spark, path, rows.schema)

@@ -24,7 +24,25 @@ def test_every_query_has_an_oracle():
     """Those of the training-data operators are tested beside them."""
     from checks import oracles, queries
 
-    assert set(queries.REGISTRY) == set(oracles.oracle_sql()) and set(ORACLES) <= set(QUERIES)
+    assert set(queries.REGISTRY) == set(oracles.oracle_sql()) | WHOLE_TEXTS and set(ORACLES) <= set(QUERIES)
+
+
+# Models over whole texts: no SQL tells their rows.
+WHOLE_TEXTS = {"topics_whole_text", "other_clusters_whole_text", "bug_predictions_whole_text"}
+
+
+def test_topics_and_clusters_of_whole_texts(spark):
+    topics = QUERIES["topics_whole_text"](spark, SMALL).collect()
+    assert [r.topic for r in topics] == [f"Topic {i}" for i in range(1, 6)] and all(len(set(r.words.split())) == 9 for r in topics)
+    clusters = QUERIES["other_clusters_whole_text"](spark, SMALL).collect()
+    assert len({r.review_id for r in clusters}) == len(clusters) and {r.cluster for r in clusters} <= set(range(5))
+
+
+def test_predictions_of_whole_texts(spark):
+    rows = QUERIES["bug_predictions_whole_text"](spark, SMALL).collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert all(0 <= r.bug_confidence <= 1 and r.is_bug_report == int(r.bug_confidence > 0.5) or abs(r.bug_confidence - 0.5) < 1e-3 for r in rows)
+    assert all((r.is_bug_report, r.bug_confidence) == (0, 0.0) for r in rows if r.review_length == 0)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
