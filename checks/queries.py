@@ -689,13 +689,6 @@ def other_clusters_whole_text(spark, sf):
     return models.cluster_other(models.text_features(rows, "cleaned_text")).select("review_id", "cluster")
 
 
-@query
-def bug_predictions_whole_text(spark, sf):
-    """Trained on the labelled documents' texts, with self-training over the reviews' whole texts."""
-    scored = daily.predict_bugs(T.reviews(spark, sf), T.training_texts(spark, sf), [1.0])[0]
-    return scored.select("review_id", "is_bug_report", F.round("bug_confidence", 4).alias("bug_confidence"), "review_length")
-
-
 @query
 def topic_vocabulary(spark, sf):
     return rounded(phrases.topic_vocabulary(T.analysed(spark, sf)), "idf")

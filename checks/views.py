@@ -221,12 +221,6 @@ def training(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def training_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The labelled documents' whole texts with their quality as the class."""
-    documents = table(spark, sf, "documents").select("doc_id", F.col("text").alias("review"))
-    return table(spark, sf, "labels").join(documents, "doc_id").select("review", F.col("quality").alias("label"))
-
-
 def phrase_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews whose text is the phrase of their event alone; its class is known."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -28,7 +28,7 @@ def test_every_query_has_an_oracle():
 
 
 # Models over whole texts: no SQL tells their rows.
-WHOLE_TEXTS = {"topics_whole_text", "other_clusters_whole_text", "bug_predictions_whole_text"}
+WHOLE_TEXTS = {"topics_whole_text", "other_clusters_whole_text"}
 
 
 def test_topics_and_clusters_of_whole_texts(spark):
@@ -38,13 +38,6 @@ def test_topics_and_clusters_of_whole_texts(spark):
     assert len({r.review_id for r in clusters}) == len(clusters) and {r.cluster for r in clusters} <= set(range(5))
 
 
-def test_predictions_of_whole_texts(spark):
-    rows = QUERIES["bug_predictions_whole_text"](spark, SMALL).collect()
-    assert len(rows) == spark.read.parquet(f"{SMALL}/events.parquet").count()
-    assert all(0 <= r.bug_confidence <= 1 and r.is_bug_report == int(r.bug_confidence > 0.5) or abs(r.bug_confidence - 0.5) < 1e-3 for r in rows)
-    assert all((r.is_bug_report, r.bug_confidence) == (0, 0.0) for r in rows if r.review_length == 0)
-
-
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
