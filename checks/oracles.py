@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from checks import queries as Q
-from checks.views import CATEGORY_WORDS, FEEDBACK_PHRASES, GROUP_WORDS, PHRASES, TAUGHT
+from checks.views import CATEGORY_WORDS, FEEDBACK_PHRASES, GROUP_WORDS, PHRASES, TAIL_FROM, TAUGHT
 from ticketloom import fixed_values as V
 
 SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
@@ -370,6 +370,26 @@ SELECT review_id, cast(length(review_description) AS int) AS review_length,
     "categorize": """
 SELECT p.review_id, coalesce(m.category, 'Other') AS bug_category
 FROM predictions p LEFT JOIN matched m USING (review_id)""",
+    "categorize_large": f"""
+WITH doc_words AS (SELECT doc_id, string_split({words(spaced('text'))}, ' ') AS w FROM documents),
+doc_tails AS (
+  SELECT {TAIL_FROM} + min(doc_id) AS pos, 'Tail ' || left(keyword, 1) AS category, keyword
+  FROM (SELECT doc_id, array_to_string(list_slice(w, greatest(len(w) - 2, 1), len(w)), ' ') AS keyword FROM doc_words)
+  WHERE keyword <> '' AND keyword NOT IN (SELECT keyword FROM rules) GROUP BY keyword),
+review_words AS (SELECT review_id, string_split({words('review_description')}, ' ') AS w FROM predictions),
+review_grams AS (
+  SELECT review_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS keyword
+  FROM (SELECT review_id, w, unnest(generate_series(1, len(w))) AS i FROM review_words), (VALUES (1), (2), (3)) AS lengths(n)
+  WHERE i + n - 1 <= len(w)),
+review_hits AS (
+  SELECT review_id, pos, category, keyword FROM review_grams JOIN doc_tails USING (keyword)
+  UNION ALL
+  SELECT t.review_id, r.pos, r.category, r.keyword
+  FROM (SELECT review_id, ' ' || array_to_string(w, ' ') || ' ' AS padded FROM review_words) t
+  JOIN rules r ON contains(t.padded, ' ' || r.keyword || ' ')),
+review_best AS (SELECT review_id, min_by(category, (-length(keyword), pos)) AS category FROM review_hits GROUP BY review_id)
+SELECT p.review_id, coalesce(b.category, 'Other') AS bug_category
+FROM predictions p LEFT JOIN review_best b USING (review_id)""",
     "severity_map": """
 SELECT review_id, bug_category, coalesce(syslog_level, 'debug') AS syslog_level,
   coalesce(severity_code, 7) AS severity_code

@@ -171,6 +171,14 @@ def categorize(spark, sf):
     ).select("review_id", "bug_category")
 
 
+@query
+def categorize_large(spark, sf):
+    """The default taxonomy and the last three words of every document, joined whatever their number."""
+    return taxonomy.categorize(
+        T.reviews(spark, sf), "review_description", T.padded_rules(spark, sf), inline_rows=0
+    ).select("review_id", "bug_category")
+
+
 @query
 def severity_map(spark, sf):
     return taxonomy.with_severity(

@@ -27,12 +27,22 @@ PHRASES = [
     "weird behaviour of the widget", "bad and slow support", "app eka wada nehe", "යෙදුම හොඳයි",
 ]
 FEEDBACK_PHRASES = [3, 11, 17, 18, 19]
+# Places of the keywords made of documents, after those of the default taxonomy.
+TAIL_FROM = 10_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
+def padded_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The default taxonomy, and after it the last three cleaned words of every document under their first letter."""
+    words = F.split(X.clean_words(X.clean_spaced(F.col("text"))), " ")
+    tail = F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ")
+    tails = table(spark, sf, "documents").select((F.col("doc_id") + TAIL_FROM).cast("int").alias("pos"), tail.alias("keyword"))
+    return taxonomy_rules(spark).unionByName(tails.withColumn("category", F.concat(F.lit("Tail "), F.left("keyword", F.lit(1)))))
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of four files, one a micro-batch: dates come late and out of order."""
     path, events = shared_dir(spark, "event-files"), spark.read.parquet(f"{sf}/events.parquet")

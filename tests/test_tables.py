@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import statistics
 
 import pytest
 from pyspark.errors import PySparkException
@@ -69,6 +70,17 @@ def test_impute_median(spark):
     assert sorted(r.rating for r in ingest.impute_rating(df).collect()) == [1.0, 2.0, 3.0, 3.0, 4.0, 5.0]
 
 
+@pytest.mark.parametrize("values", [
+    [], [5.0], [1.0, 9.0], [1.0, 2.0, 2.0, 3.0], [2.0] * 50 + [3.0] * 50, [1.0] * 999 + [7.0], [float("-inf"), 1.0, float("inf")],
+    [float((i * 7919) % 5003) for i in range(5003)], [((i * 7919) % 3001 - 1500) ** 3 / 1e6 for i in range(3000)],
+], ids=len)
+def test_median_of_ranges(spark, values):
+    """Ties, even counts, one value, values over many ranges; nulls do not count."""
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    found = spark.range(1).select(ingest.median_of(df, F.col("x")).alias("m")).first().m
+    assert found == (None if not values else pytest.approx(statistics.median(values), rel=1e-15))
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b string")
     assert rows(ingest.profile_nulls(df), "column_name") == [("a", 1, 2), ("b", 2, 2)]

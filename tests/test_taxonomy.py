@@ -55,6 +55,36 @@ def test_a_large_taxonomy_is_joined_with_the_same_result(spark):
     assert [r.bug_category for r in taxonomy.categorize(df, "text", large).collect()] == ["Filler"] * 3
 
 
+def test_anchors_find_what_the_inlined_taxonomy_finds(spark):
+    """Keywords that overlap, repeat words, share anchors and end at the borders of texts."""
+    import random
+
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(14)]
+    made = {" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(120)} | {"w1 w1 w1", "never seen", "w2 unseen"}
+    rules = small_table(spark, [(i, f"C{i % 9}", k) for i, k in enumerate(sorted(made))], S.TAXONOMY_RULES)
+    texts = [" ".join(draw.choices(words + ["other"] * 40, k=draw.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:50], None, "", "w1 w1 w1 w1"])), "i int, text string")
+    small = taxonomy.categorize(df, "text", rules).orderBy("i").collect()
+    assert taxonomy.categorize(df, "text", rules, inline_rows=0).orderBy("i").collect() == small
+    none = taxonomy.categorize(df.limit(0), "text", rules, inline_rows=0)
+    assert none.count() == 0 and none.columns == ["i", "text", "bug_category"]
+
+
+def test_anchors_explode_few_places(spark):
+    texts = spark.createDataFrame(
+        [(str(i), ("the app is slow and the page " * 20 + f"error{i} now").split(" ")) for i in range(50)],
+        "_text_key string, _words array<string>",
+    )
+    rules = small_table(spark, [(i, "A", f"the app error{i} now") for i in range(2000)], S.TAXONOMY_RULES)
+    index = taxonomy.anchors(texts, rules, 15)
+    assert {(r.word, r._at) for r in index.collect()} == {(f"error{i}", 2) for i in range(50)}
+    places = taxonomy.anchored_places(texts, index, 4, 15)
+    every = texts.agg(F.sum(F.size("_words"))).first()[0]
+    assert 50 <= places.count() <= every // 10
+    assert all(len(r._near) <= 7 for r in places.collect())
+
+
 def test_rules_are_cleaned_like_texts(spark):
     rules = small_table(spark, [(0, "A", "Won't Start"), (1, "B", "won t start"), (2, "C", "start")], S.TAXONOMY_RULES)
     df = spark.createDataFrame([("it won't start",), ("start",)], "text string")

@@ -72,14 +72,42 @@ def upsert_latest(
     return ranked.filter("_rank = 1").drop("_rank", "_batch")
 
 
+# Ranges of values among which the middle one is looked for.
+RANGES = 256
+
+
 def median_of(df: DataFrame, value: Column) -> Column:
-    """Exact median as a scalar subquery. Only one row per distinct value is sorted in one place.
+    """Exact median as a scalar subquery, by distributed selection.
 
-    ``median`` would gather every value; counting equal values first keeps the gathered set at
-    the number of distinct values.
+    Equal values are counted first. Cuts from a bounded sketch deal the distinct values into ranges, and
+    one count a range tells which one or two of them hold the middle. Only their values meet in one place;
+    the rows below and above stand there as one weighted value each, so the median of these few is that of
+    all. Where the cuts lie is of no matter to the result. Null without values.
     """
-    counts = df.select(value.alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.percentile("v", 0.5, F.col("n"))).scalar()
+    counts = df.select(value.cast("double").alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = counts.agg(F.array_distinct(F.percentile_approx("v", steps, 20 * RANGES))).scalar()
+    range_of = lambda at: F.size(F.filter(at, lambda c: c < F.col("v")))
+    dealt = counts.withColumn("_cuts", cuts).withColumn("_range", range_of(F.col("_cuts")))
+    sums = dealt.groupBy("_cuts", "_range").agg(F.sum("n").alias("n"))
+    known = sums.agg(
+        F.first("_cuts").alias("cuts"), F.collect_list(F.struct("_range", "n")).alias("_ranges"), F.sum("n").alias("_rows"),
+    )
+    below = lambda x: F.aggregate(
+        F.filter("_ranges", lambda y: y["_range"] < x["_range"]), F.lit(0).cast("long"), lambda a, y: a + y["n"]
+    )
+    placed = F.transform("_ranges", lambda x: F.struct(x["_range"].alias("at"), below(x).alias("before"), (below(x) + x["n"]).alias("upto")))
+    low, high = F.floor((F.col("_rows") + 1) / 2), F.floor(F.col("_rows") / 2) + 1
+    middle = known.withColumn("_middle", F.filter(placed, lambda x: (x["upto"] >= low) & (x["before"] < high))).select(F.struct(
+        "cuts", F.array_min("_middle.at").alias("first"), F.array_max("_middle.at").alias("last"),
+        F.array_min("_middle.before").alias("before"), (F.col("_rows") - F.array_max("_middle.upto")).alias("after"),
+    )).scalar()
+    inside = counts.withColumn("_m", middle).filter(range_of(F.col("_m.cuts")).between(F.col("_m.first"), F.col("_m.last")))
+    ends = df.sparkSession.range(1).withColumn("_m", middle).select(F.inline(F.array(
+        F.struct(F.lit(float("-inf")).alias("v"), F.col("_m.before").alias("n")),
+        F.struct(F.lit(float("inf")).alias("v"), F.col("_m.after").alias("n")),
+    ))).filter("n > 0")
+    return inside.select("v", "n").unionByName(ends).agg(F.percentile("v", 0.5, F.col("n"))).scalar()
 
 
 def impute_rating(df: DataFrame, col: str = "rating") -> DataFrame:

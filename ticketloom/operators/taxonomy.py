@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as V
 from ticketloom.functions import text as X
-from ticketloom.operators.lookup import bounded_rows, unique
+from ticketloom.functions.membership import may_hold, member_bits, power_for
+from ticketloom.operators.lookup import INLINE_ROWS, bounded_rows, unique
+from ticketloom.session import materialise
 
 
 def normalise_rules(rules: DataFrame) -> DataFrame:
@@ -37,18 +39,19 @@ def padded_words(text: Column, compat: bool = False) -> Column:
 
 def categorize(
     df: DataFrame, col: str, rules: DataFrame, default: str = V.DEFAULT_CATEGORY,
-    compat: bool = False, cleaned: bool = False,
+    compat: bool = False, cleaned: bool = False, inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Add ``bug_category`` for the text in ``col`` by ``rules(pos, category, keyword)``.
 
     A taxonomy that passes the size check is inlined: no shuffle, no join, one pass over the text.
-    A larger one is joined on word n-grams. ``cleaned`` says that ``clean_spaced`` made the text.
+    One of more than ``inline_rows`` keywords is joined at the rarest word of each. ``cleaned`` says that
+    ``clean_spaced`` made the text.
     """
     rules = normalise_rules(rules)
     padded = padded_words(F.col(col) if cleaned else X.clean_spaced(F.col(col)), compat)
-    small = bounded_rows(rules)
+    small = bounded_rows(rules, inline_rows)
     if small is None:
-        return _categorize_by_ngrams(df, F.trim(padded), rules, default)
+        return _categorize_by_anchors(df, F.trim(padded), rules, default)
     if not small:
         return df.withColumn("bug_category", F.lit(default))
     ordered = sorted(small, key=lambda r: (-len(r.keyword), r.pos))
@@ -89,27 +92,56 @@ def _keyword_pattern(longest_first: list[str]) -> str:
     return f"(?= ({options}) )"
 
 
-def _categorize_by_ngrams(df: DataFrame, text, rules: DataFrame, default: str) -> DataFrame:
-    """Equi-join of each distinct text's n-grams with the keywords, joined back by the text's hash.
+def anchors(texts: DataFrame, rules: DataFrame, power: int) -> DataFrame:
+    """Every keyword that can match, under the one of its words that the fewest texts hold.
 
-    Only n-grams of a length that some keyword has are made.
+    ``texts(_words)``. Counted are only words that keywords have, once a text; a keyword with a word
+    that no text holds is left out.
     """
-    words = F.size(F.split("keyword", " "))
-    lengths = rules.agg(F.array_sort(F.collect_set(words))).first()[0]
+    parts = rules.select("*", F.posexplode(F.split("keyword", " ")).alias("_at", "word"))
+    asked = texts.withColumn("_bits", member_bits(parts, "word", power))
+    words = F.filter(F.array_distinct("_words"), lambda w: may_hold(F.col("_bits"), w, power))
+    held = asked.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    known = parts.join(held, "word", "left")
+    place = F.struct("held", "_at", "word")
+    chosen = known.groupBy("keyword", "pos", "category").agg(
+        F.min(place).alias("_anchor"), F.bool_and(F.col("held").isNotNull()).alias("possible"),
+        F.count(F.lit(1)).cast("int").alias("n"),
+    )
+    return chosen.filter("possible").select("keyword", "pos", "category", "n", "_anchor._at", "_anchor.word")
+
+
+def anchored_places(texts: DataFrame, indexed: DataFrame, longest: int, power: int) -> DataFrame:
+    """Only places of a text whose word may be an anchor: the word, its neighbours, and its place among them."""
+    marked = texts.withColumn("_bits", member_bits(indexed, "word", power))
+    words = F.col("_words")
+    every = F.sequence(F.lit(0), F.size(words) - 1)
+    hits = F.filter(every, lambda i: may_hold(F.col("_bits"), F.get(words, i), power))
+    around = F.transform(hits, lambda i: F.struct(
+        F.get(words, i).alias("word"),
+        F.least(i, F.lit(longest - 1)).alias("_lead"),
+        F.slice(words, F.greatest(i - (longest - 1), F.lit(0)) + 1, 2 * longest - 1).alias("_near"),
+    ))
+    return marked.select("_text_key", F.inline(around))
+
+
+def _categorize_by_anchors(df: DataFrame, text: Column, rules: DataFrame, default: str) -> DataFrame:
+    """A large taxonomy, by the rarest word of each keyword.
+
+    Distinct texts are stored once. A place is exploded only if its word may be an anchor, by bits of a
+    bounded size asked inside the row; it meets the keywords of that anchor in an equi-join, and the
+    neighbours it carries, at most twice as many as the longest keyword has words, decide.
+    """
+    size = rules.agg(F.max(F.size(F.split("keyword", " "))).alias("longest"), F.sum(F.size(F.split("keyword", " "))).alias("words")).first()
+    power = power_for(size.words)
     keyed = df.withColumn("_text", text).withColumn("_text_key", F.sha1(F.col("_text")))
-    texts = keyed.dropDuplicates(["_text_key"]).select("_text_key", F.split("_text", " ").alias("_words"))
-
-    def grams(n: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1)))
-        made = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-        return F.when(F.size("_words") >= n, made).otherwise(F.array().cast("array<string>"))
-
-    all_grams = F.array_distinct(F.flatten(F.array(*[grams(n) for n in lengths])))
-    found = (
-        texts.select("_text_key", F.explode_outer(all_grams).alias("keyword"))
-        .join(rules, "keyword")
-        .groupBy("_text_key")
-        .agg(F.min_by("category", F.struct(-F.length("keyword"), F.col("pos"))).alias("_found"))
+    distinct = keyed.dropDuplicates(["_text_key"]).select("_text_key", F.split("_text", " ").alias("_words"))
+    texts = materialise(distinct, "taxonomy-texts")
+    indexed = materialise(anchors(texts, rules, power), "taxonomy-anchors")
+    met = anchored_places(texts, indexed, size.longest, power).join(indexed, "word").filter("_lead >= _at")
+    said = F.array_join(F.slice("_near", F.greatest(F.col("_lead") - F.col("_at"), F.lit(0)) + 1, F.col("n")), " ")
+    found = met.filter(said == F.col("keyword")).groupBy("_text_key").agg(
+        F.min_by("category", F.struct(-F.length("keyword"), F.col("pos"))).alias("_found")
     )
     out = keyed.join(found, "_text_key", "left")
     return out.select(*df.columns, F.coalesce("_found", F.lit(default)).alias("bug_category"))
