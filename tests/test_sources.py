@@ -2,6 +2,7 @@
 
 import datetime as dt
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -111,6 +112,86 @@ def test_versions_survive_a_dead_writer(spark, tmp_path):
     assert versions.read_current(spark, path, one.schema).count() == 3 and not dead.exists()
 
 
+def test_two_writers_at_once(spark, tmp_path):
+    """Both versions stand, in order; changes made out of one version both take effect."""
+    path = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        folders = list(pool.map(lambda i: versions.write_next(spark.range(i, i + 1), path, keep=9), range(4)))
+    assert sorted(f[-8:] for f in folders) == [f"v={i:06d}" for i in range(1, 5)]
+    assert sorted(spark.read.parquet(f).first().id for f in folders) == [0, 1, 2, 3]
+    shared, schema = str(tmp_path / "s"), spark.range(1).schema
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: versions.update(spark, shared, schema, lambda df: df.union(spark.range(i, i + 1))), range(4)))
+    assert sorted(r.id for r in versions.read_current(spark, shared, schema).collect()) == [0, 1, 2, 3]
+    assert not list((tmp_path / "s").glob("_staged*"))
+
+
+def test_update_begins_again_from_a_version_that_came_between(spark, tmp_path):
+    path, schema, calls = str(tmp_path / "t"), spark.range(1).schema, []
+
+    def change(df):
+        calls.append(df.count())
+        if len(calls) == 1:
+            versions.write_next(spark.range(5), path)
+        return df.union(spark.range(1))
+
+    assert versions.update(spark, path, schema, change).endswith("v=000002")
+    assert calls == [0, 5] and versions.read_current(spark, path, schema).count() == 6
+
+
+def board(spark, first, last):
+    rows = [(f"text {i}", "Other", dt.datetime(2024, 1, i), "1") for i in range(first, last)]
+    return tickets.tickets(spark.createDataFrame(rows, S.CATEGORIZED_BUGS), severity_table(spark))
+
+
+def test_a_digest_counts_once_it_is_out(spark, tmp_path):
+    path = str(tmp_path)
+    sent = lambda: versions.read_current(spark, f"{path}/sent_tickets", S.SENT_TICKETS).count()
+    daily.deliver_digest(spark, board(spark, 1, 15), path)
+    assert sent() == 14
+
+    def dies(rows):
+        raise OSError("no way out")
+
+    with pytest.raises(OSError):
+        daily.deliver_digest(spark, board(spark, 1, 18), path, send=dies)
+    assert sent() == 14
+    # the tickets come again, with those that came since
+    first, old = daily.prepare_digest(spark, board(spark, 1, 18), path)
+    assert first.count() == 3 and sent() == 14
+    more, new = daily.prepare_digest(spark, board(spark, 1, 20), path)
+    assert more.count() == 5
+    # in any order, twice, and both at once
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda folder: daily.confirm_digest(spark, folder, path), [new, old]))
+    daily.confirm_digest(spark, old, path)
+    assert sent() == 19
+    out = []
+    rows, _ = daily.deliver_digest(spark, board(spark, 1, 21), path, send=lambda df: out.extend(df.collect()))
+    assert [r.review_description for r in out] == ["text 20"] and rows.count() == 1 and sent() == 20
+    with pytest.raises(ValueError, match="prepare"):
+        daily.confirm_digest(spark, f"{path}/digest/v=000099", path)
+
+
+def test_chain_on_supplied_vectors(spark, tmp_path):
+    """Vectors that say the class outright, for the training texts and by review id."""
+    said = lambda bad: F.when(bad, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    training = spark.createDataFrame(
+        [(f"text {i}", i % 2) for i in range(30)], S.TRAINING
+    ).withColumn("given", said(F.col("label") == 1))
+    vectors = feed(spark, 40).select(
+        F.col("reviewId").alias("review_id"), said(F.col("reviewId").cast("int") % 10 < 5).alias("vector")
+    ).filter("review_id <> '7'")
+    paths = daily.run_daily(
+        spark, feed(spark, 40), training, str(tmp_path / "out"), grid=[1.0], training_vectors="given", review_vectors=vectors
+    )
+    found = {int(r.review_id): r.is_bug_report for r in spark.read.parquet(paths["bug_predictions"]).collect()}
+    # the vectors, not the words, decide; number 3 has no text
+    assert all(found[i] == int(i % 10 < 5) for i in range(40) if i not in (3, 7))
+    relabelled = spark.read.parquet(paths["reclassified_bugs"])
+    assert relabelled.columns == S.RECLASSIFIED_BUGS.names and relabelled.count() == sum(found.values())
+
+
 def test_file_before_table_before_error(spark, tmp_path):
     df = spark.createDataFrame([("A1", "BUG-1")], S.SENT_TICKETS)
     assert not readers.table_exists(spark, "sent_tickets_test")

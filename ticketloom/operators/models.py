@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ticketloom import fixed_values as V
 from ticketloom.functions import text as X
 from ticketloom.functions.counts import row_count
+from ticketloom.operators.lookup import bounded_rows
 from ticketloom.operators.aggregates import classification_report
 from ticketloom.operators.taxonomy import split_other
 from ticketloom.session import materialise
@@ -344,9 +345,10 @@ def prediction_table(reviews: DataFrame) -> DataFrame:
 
 # --- the rest without a keyword ----------------------------------------------------------------
 
-def _with_clean_features(bugs: DataFrame, embedder: Callable | None = None) -> DataFrame:
+def _with_clean_features(bugs: DataFrame, embedder: Callable | None = None, vectors: str | None = None) -> DataFrame:
     cleaned = bugs.withColumn("cleaned_text", X.clean_stripped(F.col("review_description")))
-    return text_features(cleaned, "cleaned_text", embedder)
+    made = text_features(cleaned, "cleaned_text", embedder, vectors=vectors)
+    return made.drop(vectors) if vectors else made
 
 
 def cluster_other(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -365,18 +367,24 @@ def cluster_other(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return model.transform(df)
 
 
-def reclassify_other(bugs: DataFrame, k: int = 5, seed: int = 42, embedder: Callable | None = None) -> DataFrame:
+def reclassify_other(
+    bugs: DataFrame, k: int = 5, seed: int = 42, embedder: Callable | None = None, vectors: str | None = None,
+) -> DataFrame:
     """Give every ``Other`` row the category that keyword-labelled rows suggest, and a cluster.
 
-    Rows with a null category are neither learnt from nor relabelled; they stay as they are.
+    Rows with a null category are neither learnt from nor relabelled; they stay as they are. ``vectors``
+    names a column of supplied embeddings, which is used and dropped.
     """
-    rows = materialise(_with_clean_features(bugs, embedder), "reclassify-rows")
+    rows = materialise(_with_clean_features(bugs, embedder, vectors), "reclassify-rows")
     kept, other = split_other(rows)
     base = kept.drop("features").withColumns({
         "predicted_category": F.lit(None).cast("string"), "cluster": F.lit(None).cast("int"),
     })
     labelled = kept.filter("bug_category IS NOT NULL")
-    categories = sorted(r[0] for r in labelled.select("bug_category").distinct().collect())  # the taxonomy's
+    named_rows = bounded_rows(labelled.select("bug_category").distinct())
+    if named_rows is None:
+        raise ValueError("too many categories to learn: one coefficient row each would not fit")
+    categories = sorted(r[0] for r in named_rows)
     if not categories or other.isEmpty():
         return base.unionByName(other.drop("features"), allowMissingColumns=True)
     names = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=categories)

@@ -18,7 +18,8 @@ from ticketloom.operators.ingest import available_columns, require_columns
 from ticketloom.operators.lookup import severity_table, small_table, taxonomy_rules
 from ticketloom.operators.taxonomy import categorize
 from ticketloom.session import materialise, scratch_scope
-from ticketloom.sources.versions import current, read_current, write_next
+from ticketloom.sources.readers import path_exists
+from ticketloom.sources.versions import current, read_current, update, write_next
 
 
 def predict_bugs(
@@ -51,29 +52,72 @@ def predict_bugs(
     return available_columns(scored, S.BUG_PREDICTIONS.names), report, found.scores
 
 
-def categorize_bugs(predictions: DataFrame, rules: DataFrame) -> DataFrame:
-    """Bugs with their keyword category, in the ``categorized_bugs`` columns."""
+def with_vectors(df: DataFrame, vectors: DataFrame, key: str = "review_id") -> DataFrame:
+    """Add ``_vector`` from ``vectors(review_id, vector)``, zeros where there is none; of several the least counts."""
+    one = vectors.dropna().groupBy(key).agg(F.min("vector").alias("_vector"))
+    length = vectors.agg(F.max(F.size("vector"))).scalar()
+    zeros = F.array_repeat(F.lit(0.0), F.greatest(length, F.lit(0)))
+    return df.join(one, key, "left").withColumn("_vector", F.coalesce(F.col("_vector").cast("array<double>"), zeros))
+
+
+def categorize_bugs(predictions: DataFrame, rules: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Bugs with their keyword category, in the ``categorized_bugs`` columns, and ``also`` others."""
     require_columns(predictions, ["review_description", "review_date", "app_version"])
     found = categorize(tickets.bugs_only(predictions), "review_description", rules, cleaned=True)
-    return found.select(*S.CATEGORIZED_BUGS.names)
+    return found.select(*S.CATEGORIZED_BUGS.names, *also)
 
 
-def deliver_digest(spark: SparkSession, tickets_: DataFrame, path: str, first_n: int = 10) -> tuple[DataFrame, str]:
-    """The rows to send, stored, and the folder of the sent table to publish once they are out.
+def prepare_digest(spark: SparkSession, tickets_: DataFrame, path: str, first_n: int = 10) -> tuple[DataFrame, str]:
+    """The rows to send, stored, and the folder that names this digest to ``confirm_digest``.
 
-    ``path`` holds ``digest`` and ``sent_tickets``, both in versions. The sent table is replaced after
-    the rows are stored: a run that dies in between sends them again rather than never.
+    Nothing counts as sent yet. Until a digest is confirmed the next one holds its tickets again, so a
+    sender that dies loses none. ``path`` holds ``digest`` and ``sent_tickets`` in versions, and
+    ``digest_keys`` with what each digest would count as sent.
     """
     sent = read_current(spark, f"{path}/sent_tickets", S.SENT_TICKETS)
     rows, after = state.digest(tickets_, sent, first_n)
-    stored = spark.read.schema(rows.schema).parquet(write_next(rows, f"{path}/digest"))
-    return stored, write_next(after, f"{path}/sent_tickets")
+    folder = write_next(rows, f"{path}/digest")
+    # the number is this digest's own; what an earlier run left under it is replaced
+    fresh = after.join(sent.dropna(subset=["ticket_key"]), "ticket_key", "left_anti")
+    fresh.select(*S.SENT_TICKETS.names).write.mode("overwrite").parquet(_keys_of(folder, path))
+    return spark.read.schema(rows.schema).parquet(folder), folder
+
+
+def _keys_of(folder: str, path: str) -> str:
+    return f"{path}/digest_keys/{folder.rsplit('/', 1)[1]}"
+
+
+def confirm_digest(spark: SparkSession, folder: str, path: str) -> str:
+    """Count the tickets of the digest in ``folder`` as sent, once it is out. Returns the sent table's folder.
+
+    May be repeated, may come after a later digest was prepared, and may run beside another confirmation.
+    """
+    keys = _keys_of(folder, path)
+    if not path_exists(spark, f"{keys}/_SUCCESS"):
+        raise ValueError(f"{folder} was not prepared to its end; prepare the digest again")
+    made = spark.read.schema(S.SENT_TICKETS).parquet(keys)
+    add = lambda sent: state.sent_keys(sent.unionByName(made)).orderBy("ticket_id", "ticket_key")
+    return update(spark, f"{path}/sent_tickets", S.SENT_TICKETS, add)
+
+
+def deliver_digest(
+    spark: SparkSession, tickets_: DataFrame, path: str, first_n: int = 10, send: Callable[[DataFrame], None] | None = None,
+) -> tuple[DataFrame, str]:
+    """Prepare the digest, hand its rows to ``send``, and confirm it when that returns.
+
+    Without ``send`` the stored rows are the delivery. Gives them and the folder of the sent table.
+    """
+    rows, folder = prepare_digest(spark, tickets_, path, first_n)
+    if send is not None:
+        send(rows)
+    return rows, confirm_digest(spark, folder, path)
 
 
 def attend(spark: SparkSession, wanted: DataFrame, at, path: str) -> str:
-    """Read the attended table, append the tickets not yet in it, store it as the next version."""
-    attended = read_current(spark, f"{path}/attended_tickets", S.ATTENDED_TICKETS)
-    return write_next(state.mark_attended(attended, wanted, at), f"{path}/attended_tickets")
+    """Add the tickets not yet in the attended table as its next version; calls at once both take effect."""
+    return update(
+        spark, f"{path}/attended_tickets", S.ATTENDED_TICKETS, lambda attended: state.mark_attended(attended, wanted, at)
+    )
 
 
 def summarise(bugs: DataFrame, model: Callable, key: str, parsed: bool = True) -> DataFrame:
@@ -86,13 +130,16 @@ def summarise(bugs: DataFrame, model: Callable, key: str, parsed: bool = True) -
 def run_daily(
     spark: SparkSession, raw: DataFrame, training: DataFrame, out: str, grid: list[float] | None = None,
     embedder: Callable | None = None, summariser: Callable | None = None, parsed: bool = True,
-    translations: DataFrame | None = None,
+    translations: DataFrame | None = None, send: Callable[[DataFrame], None] | None = None,
+    training_vectors: str | None = None, review_vectors: DataFrame | None = None,
 ) -> dict[str, str]:
     """Run the chain and store each table as parquet below ``out``; gives the folders by name.
 
     ``raw`` must not come back empty: history is kept then. Reviews, the digest and the sent tickets
     are kept in versions, so a run that dies leaves the last complete one. ``translations`` (review_id,
-    translated) adds a table of translated reviews; ``summariser`` fills the developer summaries.
+    translated) adds a table of translated reviews; ``summariser`` fills the developer summaries. ``send``
+    gets the digest's rows; they count as sent when it returns. Supplied vectors: ``training_vectors``
+    names their column in ``training``, ``review_vectors`` is a table (review_id, vector).
     """
     paths = {}
     with scratch_scope(spark):
@@ -111,16 +158,21 @@ def run_daily(
             tagged = language.language_tag(reviews, "review_description", "language_code")
             store("translated_reviews", language.translation_route(tagged, "review_description", translations))
 
-        scored, report, scores = predict_bugs(reviews, training, grid, embedder)
+        given = None if review_vectors is None else "_vector"
+        known = reviews if given is None else with_vectors(reviews, review_vectors)
+        scored, report, scores = predict_bugs(known, training, grid, embedder, training_vectors, given)
         store("classifier_report", report)
         store("classifier_scores", small_table(spark, scores, S.CLASSIFIER_SCORES))
         predictions = store("bug_predictions", scored)
         store("prioritized_bugs", tickets.prioritize(predictions))
         categorized = store("categorized_bugs", categorize_bugs(predictions, taxonomy_rules(spark)))
-        relabelled = store("reclassified_bugs", models.reclassify_other(categorized, embedder=embedder))
+        if given is not None:
+            keyed = materialise(categorize_bugs(predictions, taxonomy_rules(spark), ("review_id",)), "keyed-bugs")
+            categorized = with_vectors(keyed, review_vectors).drop("review_id")
+        relabelled = store("reclassified_bugs", models.reclassify_other(categorized, embedder=embedder, vectors=given))
         severity = severity_table(spark)
         board = store("tickets", tickets.tickets(relabelled, severity))
-        _, paths["sent_tickets"] = deliver_digest(spark, board, out)
+        _, paths["sent_tickets"] = deliver_digest(spark, board, out, send=send)
         paths["digest"] = current(spark, f"{out}/digest")
         sections = None
         if summariser is not None:
