@@ -14,6 +14,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tests.llm import brute
 from ticketloom.llm import bpe, hard_negatives, importance
 from ticketloom.llm.queries import RANK_FILE, REGISTRY
 
@@ -297,7 +298,7 @@ def test_names_that_operators_use_or_give(spark):
     rows = [(1, passage, *("x" for _ in names)), (2, "one\n\n" + passage + "\ntwo three", *("x" for _ in names))]
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     for hot_rows in (1, 2000):
-        found = {r.doc_id: r for r in substrings.dedup(df, hot_rows=hot_rows).collect()}
+        found = {r.doc_id: r for r in substrings.dedup(df, hot_rows=hot_rows, trimmed=True).collect()}
         assert found[2].n_removed == 40 and found[2].kept_text == "one two three" and found[2].trimmed_text == "one\ntwo three"
         assert found[1].trimmed_text == passage and found[1].n_words == 40 and found[1].held == found[1].shared == "x"
     captures = spark.createDataFrame([("http://a.com/", None, "x", "y", True)], "url string, fetched_at timestamp_ntz, lists string, pattern string, blocked boolean")
@@ -306,6 +307,30 @@ def test_names_that_operators_use_or_give(spark):
     assert [tuple(r) for r in made.collect()] == [("http://a.com/", "", "", False)]
 
 
+def test_hot_super_kmers_of_many_kinds(spark):
+    """Passages cut at many places, so that super-k-mers of one minimiser differ; every hot limit gives the same."""
+    from ticketloom.llm import substrings
+
+    passage = prose(60).split()
+    rows = [(i, " ".join([f"own{i}", *passage[i % 17:60 - i % 11], f"{i}end", *passage[:20 + i % 5]])) for i in range(80)]
+    rows += [(200 + i, " ".join(["tick tack"] * (10 + i))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted((k, *w) for (k, _), w in zip(rows, brute.without_repeats(rows)))
+    for hot_rows in (1, 20, 2000):
+        found = substrings.dedup(df, hot_rows=hot_rows).select("doc_id", "n_words", "n_removed", "kept_text")
+        assert sorted(map(tuple, found.collect())) == wanted
+
+
+def test_cut_out():
+    import numpy as np
+
+    from ticketloom.llm.substrings import cut_out
+
+    cut = lambda text, gone: cut_out(text.encode(), np.array([c == "x" for c in gone])).decode()
+    assert cut("  a b\n\nc\td e ", ".xx..") == "a\nd e"
+    assert cut("é  ü ö", "x..") == "ü ö" and cut("a b", "xx") == "" and cut("a\x0b\x0cb c", "..x") == "a\x0b\x0cb"
+
+
 def test_pieces_of_huge_documents_spread(spark):
     from ticketloom.llm import packing
     from ticketloom.llm.queries import TOKENIZER

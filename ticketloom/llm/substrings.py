@@ -10,8 +10,10 @@ Most minimisers occur in one document only, and no window of theirs can repeat:
 as numbers, and only super-k-mers whose minimiser occurs in several rows travel. A minimiser of very many
 rows (a line or passage that a great share of the corpus holds) has no bucket of its own: its windows
 are keyed by their own 128-bit hash, of which the least document is an aggregate, combined before the
-shuffle, and met in a join whose skewed keys adaptive execution splits. No task then holds the windows
-of more than a bounded number of rows, and nothing is left out.
+shuffle, and met in a join whose skewed keys adaptive execution splits. Equal super-k-mers of such a
+minimiser are one: each different one is taken apart into windows once, whatever the number of its rows,
+and gives every row that holds it the least documents of its windows. No task then holds the windows of
+more than a bounded number of rows, and nothing is left out.
 
 A row whose whole text a row of a lesser key has too is a repeat from end to end; it is set aside at the
 start and its windows do not travel.
@@ -24,24 +26,27 @@ working columns; all others are kept.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.hashing import run_hashes, seeded, word_hashes
+from ticketloom.llm.hashing import mix, run_hashes, seeded, word_hashes
 
 WINDOW, MINIMISER = 13, 5
 # A minimiser of more rows than this is handled window by window.
 HOT_ROWS = 2000
 LEAST = -(1 << 63)
 SLICE = 500
-RESULTS = ["kept_text", "trimmed_text", "n_words", "n_removed"]
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+RESULTS = {"kept_text": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64()}
+TRIMMED = {"trimmed_text": pa.string()}
+_BLANKS = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
+# Hot super-k-mers whose hashes one task keeps.
+REMEMBERED_KMERS = 50_000
 
 
 PLACES = "W_key long, _row long, first long, windows long"
@@ -78,7 +83,23 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE):
             part = batch.slice(start, SLICE)
-            yield part, [(t or "").encode().split() for t in part.column(column).to_pylist()]
+            yield part, [(t or b"").split() for t in part.column(column).cast(pa.binary()).to_pylist()]
+
+
+def super_kmers_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The super-k-mers of several texts at once: text, first window, windows and minimiser of each, in order."""
+    sizes = np.array([len(words) for words in texts])
+    windows = np.maximum(sizes - WINDOW + 1, 0)
+    least = minimisers([w for words in texts for w in words])
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(texts)), sizes)[:len(least)]
+    place = np.arange(len(least)) - (ends - sizes)[text]
+    inside = place < windows[text]  # else the window reaches into the next text
+    text, place, least = text[inside], place[inside], least[inside]
+    if not len(least):
+        return text, place, np.zeros(0, np.int64), least
+    starts = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+    return text[starts], place[starts], np.diff(np.r_[starts, len(least)]), least[starts]
 
 
 def _occurrences(docs: DataFrame, at: int) -> DataFrame:
@@ -86,55 +107,71 @@ def _occurrences(docs: DataFrame, at: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
-            found = [np.unique(minimisers(words)) for words in texts]
-            rows = np.repeat(part.column(part.num_columns - 1).to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found)), pa.array(rows)], names=["minimiser", "_row"]
-            )
+            text, _, _, least = super_kmers_of(texts)
+            order = np.lexsort((least, text))
+            text, least = text[order], least[order]
+            new = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])][:len(least)]
+            rows = part.column(part.num_columns - 1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(least[new]), pa.array(rows[text[new]])], names=["minimiser", "_row"])
 
     return docs.mapInArrow(run, "minimiser long, _row long")
 
 
+def _pairs(text: np.ndarray, minimiser: np.ndarray) -> np.ndarray:
+    return seeded(minimiser.view(np.uint64) + mix(text.astype(np.uint64)), 3)
+
+
+def _chosen(part: pa.RecordBatch, texts: list[list[bytes]], listed: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Text, first window, windows, minimiser and packed words of super-k-mers whose minimiser the row lists.
+
+    Text and minimiser are compared by one hash of both: an equal hash of others could only make a
+    super-k-mer travel in vain.
+    """
+    text, first, windows, least = super_kmers_of(texts)
+    lists = _arrays(part.column(listed))
+    asked = _pairs(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64))
+    found = np.flatnonzero(np.isin(_pairs(text, least), asked))
+    for i, p, n, m in zip(*(x[found].tolist() for x in (text, first, windows, least))):
+        yield i, p, n, m, b" ".join(texts[i][p:p + n + WINDOW - 1])
+
+
 def _packed(wanted: DataFrame, at: int) -> DataFrame:
     """Super-k-mers of minimisers that are shared and not hot, as packed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
-            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "_shared"))
-            out: list[tuple] = []
-            for row, key, words, shared in zip(rows.to_pylist(), keys.to_pylist(), texts, _arrays(lists)):
-                least = minimisers(words)
-                starts, sizes = super_kmers(least)
-                for i in np.flatnonzero(np.isin(least[starts], shared)).tolist():
-                    first, n = int(starts[i]), int(sizes[i])
-                    out.append((int(least[first]), b" ".join(words[first:first + n + WINDOW - 1]), key, row, first, n))
-            yield _batch(out, PACKED)
+            rows, keys = part.column("_row").to_pylist(), part.column("_key").to_pylist()
+            yield _batch([(m, packed, keys[i], rows[i], p, n) for i, p, n, m, packed in _chosen(part, texts, "_shared")], PACKED)
 
     return wanted.filter(F.size("_shared") > 0).mapInArrow(run, "minimiser long, " + PLACES.replace("W", "packed binary, "))
 
 
-def _hot_windows(wanted: DataFrame, at: int) -> DataFrame:
-    """Every window of a hot minimiser, by a 128-bit hash of its words: two of 64 bits, of different scrambling."""
+HOT = [("kind", pa.binary()), ("hashes", pa.binary()), *PACKED[2:5]]
+
+
+def window_hashes(packed: bytes) -> bytes:
+    """The 128-bit hashes of all windows of a super-k-mer, one after the other."""
+    words = packed.split(b" ")
+    return b"".join(xxhash.xxh3_128_digest(b" ".join(words[i:i + WINDOW])) for i in range(len(words) - WINDOW + 1))
+
+
+def _hot_kmers(wanted: DataFrame, at: int) -> DataFrame:
+    """Super-k-mers of hot minimisers: the hash of their words, and those of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[bytes, bytes]] = {}  # what is hot comes again and again
         for part, texts in _texts(batches, at):
-            rows, keys, lists = (part.column(c) for c in ("_row", "_key", "_hot"))
-            places, hashes = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
-            for words, hot in zip(texts, _arrays(lists)):
-                found = np.flatnonzero(np.isin(minimisers(words), hot))
-                own = word_hashes.of(words)
-                both = np.stack([run_hashes(own, WINDOW), run_hashes(seeded(own, 7), WINDOW)], axis=1)
-                places.append(found)
-                hashes.append(both[found] if len(found) else both[:0])
-            sizes = [len(p) for p in places[1:]]
-            first, packed = np.concatenate(places), np.ascontiguousarray(np.concatenate(hashes))
-            fixed = pa.Array.from_buffers(pa.binary(16), len(packed), [None, pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([
-                fixed.cast(pa.binary()), pa.array(np.repeat(keys.to_numpy(), sizes)), pa.array(np.repeat(rows.to_numpy(), sizes)),
-                pa.array(first), pa.array(np.ones(len(first), np.int64)),
-            ], names=[f[0] for f in PACKED[1:]])
-
-    return wanted.filter(F.size("_hot") > 0).mapInArrow(run, PLACES.replace("W", "packed binary, "))
+            rows, keys = part.column("_row").to_pylist(), part.column("_key").to_pylist()
+            out: list[tuple] = []
+            for i, p, _, _, packed in _chosen(part, texts, "_hot"):
+                if packed not in known:
+                    if len(known) >= REMEMBERED_KMERS:
+                        known.clear()
+                    known[packed] = xxhash.xxh3_128_digest(packed), window_hashes(packed)
+                out.append((*known[packed], keys[i], rows[i], p))
+            yield _batch(out, HOT)
+
+    return wanted.filter(F.size("_hot") > 0).mapInArrow(run, "kind binary, hashes binary, _key long, _row long, first long")
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -191,10 +228,28 @@ def _bucket_repeats(packed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, PLACES.replace("W", ""))
 
 
-def _window_repeats(windows: DataFrame) -> DataFrame:
-    """The same for windows that travel on their own."""
-    least = windows.groupBy("packed").agg(F.min("_key").alias("low"))
-    return windows.join(least, "packed").filter("_key > low").select("_key", "_row", "first", "windows")
+def _hot_repeats(kmers: DataFrame) -> DataFrame:
+    """The same for super-k-mers of hot minimisers, each different one taken apart once."""
+    kinds = kmers.groupBy("kind").agg(F.min("_key").alias("_low"), F.min("hashes").alias("hashes"))
+    places = F.sequence(F.lit(0), (F.octet_length("hashes") / 16).cast("int") - 1)
+    windows = kinds.select("kind", "_low", F.posexplode(
+        F.transform(places, lambda i: F.substring("hashes", i * 16 + 1, F.lit(16)))
+    ).alias("at", "window"))
+    least = windows.groupBy("window").agg(F.min("_low").alias("low"))
+    lows = windows.join(least, "window").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("lows"))
+    met = kmers.select("kind", "_key", "_row", "first").join(
+        lows.select("kind", F.transform("lows", lambda x: x["low"]).alias("lows")), "kind"  # as long as the super-k-mer
+    ).filter(F.array_min("lows") < F.col("_key")).select("_key", "_row", "first", "lows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, row, first, lows in zip(*(c.to_pylist() for c in batch.columns)):
+                turns = np.flatnonzero(np.diff(np.r_[0, np.array(lows) < key, 0]))
+                out += [(key, row, first + int(a), int(b - a)) for a, b in zip(turns[::2], turns[1::2])]
+            yield _batch(out, PACKED[2:])
+
+    return met.mapInArrow(run, PLACES.replace("W", ""))
 
 
 def _copies(docs: DataFrame, text: str) -> DataFrame:
@@ -204,58 +259,69 @@ def _copies(docs: DataFrame, text: str) -> DataFrame:
     return hashed.join(firsts, "_body").filter("_key > _low").select("_row").distinct()
 
 
-def cut_out(text: str, gone: np.ndarray) -> str:
+def stretches_of(kept: np.ndarray) -> list[tuple[int, int]]:
+    """First and past-the-last place of every run of marked places."""
+    turns = np.flatnonzero(np.diff(np.r_[0, kept.astype(np.int8), 0])).tolist()
+    return list(zip(turns[::2], turns[1::2]))
+
+
+def cut_out(raw: bytes, gone: np.ndarray) -> bytes:
     """The text without the words marked, all between the words that stay beside each other left as it was.
 
     Where words went, a line break is left if there was one, else a space; none at the ends.
     """
-    raw = text.encode()
-    spans = np.array([m.span() for m in _WORD.finditer(raw)])
+    blank = np.isin(np.frombuffer(raw, np.uint8), _BLANKS)
+    edges = np.flatnonzero(np.diff(np.r_[True, blank, True]))
+    starts, ends = edges[::2], edges[1::2]
     out, last = [], None
-    for i in np.flatnonzero(~gone).tolist():
-        start, end = spans[i]
+    for a, b in stretches_of(~gone):
+        start, end = int(starts[a]), int(ends[b - 1])
         if last is not None:
-            gap = raw[spans[last][1]:start]
-            out.append(gap if last == i - 1 else b"\n" if b"\n" in gap else b" ")
+            out.append(b"\n" if b"\n" in raw[last:start] else b" ")
         out.append(raw[start:end])
-        last = i
-    return b"".join(out).decode()
+        last = end
+    return b"".join(out)
 
 
-def _without(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+def _without(rows: DataFrame, columns: list[str], text: str, trimmed: bool) -> DataFrame:
     """``rows`` (with their repeated stretches) with the words kept and the counts."""
-    at = columns.index(text)
+    at, results = columns.index(text), RESULTS | (TRIMMED if trimmed else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, at):
             keys, copies, stretches = (part.column(c).to_pylist() for c in ("_key", "_copy", "_stretches"))
-            kept, trimmed, totals, removed = [], [], [], []
-            for said, words, key, copy, own in zip(part.column(at).to_pylist(), texts, keys, copies, stretches):
+            made: dict[str, list] = {name: [] for name in results}
+            said = part.column(at).cast(pa.binary()).to_pylist()
+            for raw, words, key, copy, own in zip(said, texts, keys, copies, stretches):
                 gone = np.full(len(words), bool(copy) and len(words) >= WINDOW)
                 for s in own or ():
                     if s["_key"] == key:  # else another row of the same hash
                         gone[s["first"]:s["first"] + s["windows"] + WINDOW - 1] = True
-                left = words if not gone.any() else [words[i] for i in np.flatnonzero(~gone).tolist()]
-                kept.append(b" ".join(left).decode())
-                trimmed.append(said if len(left) == len(words) else cut_out(said, gone))
-                totals.append(len(words))
-                removed.append(len(words) - len(left))
-            made = [pa.array(kept, pa.string()), pa.array(trimmed, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:len(columns)], *made], names=[*columns, *RESULTS]
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    return rows.select(*columns, "_key", "_copy", "_stretches").mapInArrow(
-        run, f"{fields}, kept_text string, trimmed_text string, n_words long, n_removed long"
-    )
-
-
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` with ``kept_text`` (kept words joined by one space), ``trimmed_text`` (the text with the other words cut out
-    and its line breaks kept), ``n_words`` and ``n_removed``; columns of these names give way to the results.
+                n = int(gone.sum())
+                left = words if not n else [w for a, b in stretches_of(~gone) for w in words[a:b]]
+                made["kept_text"].append(b" ".join(left))
+                made["n_words"].append(len(words))
+                made["n_removed"].append(n)
+                if trimmed:
+                    made["trimmed_text"].append(cut_out(raw, gone) if n else raw)
+            arrays = [
+                pa.array(made[name], pa.binary()).cast(kind) if kind == pa.string() else pa.array(made[name], kind)
+                for name, kind in results.items()
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(columns)], *arrays], names=[*columns, *results])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema]
+    fields += [f"{name} {'string' if kind == pa.string() else 'long'}" for name, kind in results.items()]
+    return rows.select(*columns, "_key", "_copy", "_stretches").mapInArrow(run, ", ".join(fields))
+
+
+def dedup(
+    df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS, trimmed: bool = False,
+) -> DataFrame:
+    """``df`` with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``, and with ``trimmed`` also
+    ``trimmed_text`` (the text with the other words cut out and its line breaks kept). Columns of these names give way.
     """
-    df = df.drop(*RESULTS)
+    df = df.drop(*RESULTS, *(TRIMMED if trimmed else ()))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns, at = df.columns, df.columns.index(text)
     order = F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("_key")
@@ -274,9 +340,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int
         F.collect_list(cool).alias("_shared"), F.collect_list(hot).alias("_hot")  # bounded by the text
     )
     wanted = open_.join(marked, "_row").select(*columns, "_row", order, "_shared", "_hot")
-    repeats = _bucket_repeats(_packed(wanted, at)).unionByName(_window_repeats(_hot_windows(wanted, at)))
+    repeats = _bucket_repeats(_packed(wanted, at)).unionByName(_hot_repeats(_hot_kmers(wanted, at)))
     stretches = repeats.groupBy("_row").agg(
         F.collect_list(F.struct("_key", "first", "windows")).alias("_stretches")  # bounded by the text
     )
     last = dealt.join(stretches, "_row", "left").select(*columns, order, "_copy", "_stretches")
-    return _without(last, columns, text)
+    return _without(last, columns, text, trimmed)
