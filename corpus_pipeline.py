@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds, line breaks kept; a text of nothing else goes."""
-    made = substrings.dedup(docs).filter("n_removed = 0 OR n_removed < n_words")
+    made = substrings.dedup(docs, trimmed=True).filter("n_removed = 0 OR n_removed < n_words")
     cut = F.col("n_removed") > 0
     changed = {
         "text": F.when(cut, F.col("trimmed_text")).otherwise(F.col("text")),
