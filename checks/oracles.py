@@ -420,6 +420,14 @@ SELECT review_id, is_singlish, CASE WHEN moved THEN 'translate' ELSE 'keep' END
   CASE WHEN NOT moved THEN body WHEN thumbs_up > 2 THEN 'translated for ' || user_name ELSE '' END AS translated_review
 FROM (SELECT *, detected_language = 'si' OR is_singlish = 1 AS moved FROM (
   SELECT *, cast(detected_language = 'en' AND {ROMANISED} AS int) AS is_singlish FROM ({TAG})))""",
+    "text_clean_lemmas_large": lemma_rows("documents", "doc_id", "text"),
+    "sentiment_score_large": f"""
+WITH docs AS (SELECT doc_id, {spaced('text')} AS c FROM documents)
+SELECT doc_id, round(sentiment_score, 6) AS sentiment_score FROM ({score_rows('docs', 'doc_id', 'c')})""",
+    "digest_delivered": "SELECT * FROM unsent",
+    "digest_confirmed": """
+SELECT trim(ticket_key) AS ticket_key, trim(ticket_id) AS ticket_id FROM sent WHERE trim(ticket_key) <> ''
+UNION SELECT ticket_key, TicketID FROM unsent""",
     "sentiment_score": f"""
 WITH docs AS (SELECT doc_id, {spaced('text')} AS c FROM documents)
 SELECT doc_id, round(sentiment_score, 6) AS sentiment_score FROM ({score_rows('docs', 'doc_id', 'c')})""",

@@ -22,7 +22,7 @@ from ticketloom.operators.lookup import (
 )
 from ticketloom.plans import daily
 from ticketloom.session import materialise, shared_dir
-from ticketloom.sources import readers, writers
+from ticketloom.sources import readers, versions, writers
 from ticketloom.streaming import jobs
 
 # The selections of the filter queries.
@@ -277,6 +277,20 @@ def translation_route(spark, sf):
     )
 
 
+@query
+def text_clean_lemmas_large(spark, sf):
+    """Lists joined token by token, whatever their length."""
+    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    return sentiment.clean_lemmas(docs, "text", stopword_table(spark), lemma_table(spark), inline_rows=0).drop("text")
+
+
+@query
+def sentiment_score_large(spark, sf):
+    docs = T.table(spark, sf, "documents").select("doc_id", X.clean_spaced(F.col("text")).alias("c"))
+    scored = sentiment.score_sentiment(docs, "c", lexicon_table(spark), inline_rows=0)
+    return rounded(scored.drop("c"), "sentiment_score")
+
+
 @query
 def sentiment_score(spark, sf):
     docs = T.table(spark, sf, "documents").select("doc_id", X.clean_spaced(F.col("text")).alias("c"))
@@ -412,6 +426,26 @@ def sent_state_next(spark, sf):
     return after
 
 
+@query
+def digest_confirmed(spark, sf):
+    """The sent table after a digest whose sender died, and a second one that went out and was confirmed twice."""
+    path, board = shared_dir(spark, "delivery"), materialise(T.ticket_view(spark, sf), "board")
+    versions.write_next(T.sent(spark, sf).select(*S.SENT_TICKETS.names), f"{path}/sent_tickets")
+    daily.prepare_digest(spark, board, path)
+    _, folder = daily.prepare_digest(spark, board, path)
+    daily.confirm_digest(spark, folder, path)
+    return spark.read.schema(S.SENT_TICKETS).parquet(daily.confirm_digest(spark, folder, path))
+
+
+@query
+def digest_delivered(spark, sf):
+    """The rows that a second preparation hands out after the first was never confirmed."""
+    path, board = shared_dir(spark, "delivery"), materialise(T.ticket_view(spark, sf), "board")
+    versions.write_next(T.sent(spark, sf).select(*S.SENT_TICKETS.names), f"{path}/sent_tickets")
+    daily.prepare_digest(spark, board.filter("syslog_level = 'crit'"), path)
+    return daily.prepare_digest(spark, board, path)[0]
+
+
 @query
 def upsert_latest(spark, sf):
     keyed = T.keyed_reviews(spark, sf)

@@ -12,7 +12,7 @@ from ticketloom import fixed_values as V
 from ticketloom.functions import text as X
 from ticketloom.functions.counts import row_count
 from ticketloom.functions.dates import month_end
-from ticketloom.operators.lookup import bounded_rows, unique
+from ticketloom.operators.lookup import INLINE_ROWS, bounded_rows, unique
 
 
 # Up to this many entries a table is searched from front to back for every token.
@@ -39,15 +39,16 @@ def _by_text(df: DataFrame, text: Column, results: Callable[[DataFrame], DataFra
 
 
 def clean_lemmas(
-    df: DataFrame, col: str, stopwords: DataFrame, lemmas: DataFrame, out: str = "cleaned_text"
+    df: DataFrame, col: str, stopwords: DataFrame, lemmas: DataFrame, out: str = "cleaned_text",
+    inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Add the space-joined lemmas of the text's tokens, stop words dropped, order and repeats kept.
 
-    Lists that pass the size check are looked up inside the row, without a shuffle. Larger ones are
-    joined token by token, with the same result.
+    Lists of at most ``inline_rows`` entries (lemmas: ``LINEAR_ROWS``, if that is less) are looked up inside
+    the row, without a shuffle. Larger ones are joined token by token, with the same result.
     """
     stopwords, lemmas = unique(stopwords, "token"), unique(lemmas, "token", "lemma")
-    stop, lemma = bounded_rows(stopwords), bounded_rows(lemmas, LINEAR_ROWS)
+    stop, lemma = bounded_rows(stopwords, inline_rows), bounded_rows(lemmas, min(LINEAR_ROWS, inline_rows))
     if stop is None or lemma is None:
         return _clean_lemmas_by_join(df, col, stopwords, lemmas, out)
     tokens = X.letter_tokens(F.col(col))
@@ -77,11 +78,14 @@ def _clean_lemmas_by_join(df, col, stopwords, lemmas, out) -> DataFrame:
 
 
 def score_sentiment(
-    df: DataFrame, col: str, lexicon: DataFrame, out: str = "sentiment_score"
+    df: DataFrame, col: str, lexicon: DataFrame, out: str = "sentiment_score", inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
-    """Add the mean polarity of the tokens found in the lexicon, 0 if none is."""
+    """Add the mean polarity of the tokens found in the lexicon, 0 if none is.
+
+    A lexicon of more than ``inline_rows`` words is joined on the tokens of distinct texts.
+    """
     lexicon = unique(lexicon, "token", "polarity")
-    words = bounded_rows(lexicon)
+    words = bounded_rows(lexicon, inline_rows)
     if words is None:
         def results(texts: DataFrame) -> DataFrame:
             parts = texts.select("_text_key", F.explode_outer(F.split("_text", " ")).alias("token"))
