@@ -294,6 +294,15 @@ def test_scratch_is_removed_with_its_scope(spark):
     assert not readers.path_exists(spark, path)
 
 
+def test_scopes_of_two_threads_are_apart(spark):
+    def keep(_):
+        return materialise(spark.range(3), "kept")
+
+    with ThreadPoolExecutor(1) as pool, scratch_scope(spark):
+        kept = pool.submit(keep, 0).result()
+    assert kept.count() == 3
+
+
 def test_attended_state_is_stored(spark, tmp_path):
     wanted = spark.createDataFrame([("A1", "BUG-1")], "ticket_key string, TicketID string")
     for at in ("2024-01-01 00:00:00", "2024-02-01 00:00:00"):

@@ -1,5 +1,7 @@
 """Each stream equals its batch twin, however the files are cut and whenever it restarts."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,26 @@ def test_new_tickets_once(spark, bugs, tmp_path):
     assert spark.read.parquet(target).count() == expected.count()
 
 
+def test_new_tickets_once_without_reading_what_was_emitted(spark, bugs, tmp_path):
+    """The state alone knows the keys: a batch's folder that is gone is not missed, and no key comes twice."""
+    path, target = str(tmp_path / "in"), str(tmp_path / "out")
+    make = lambda df: tickets.tickets(df, severity_table(spark))
+    sent = make(bugs.filter("bug_category = 'Other'")).select("ticket_key", F.col("TicketID").alias("ticket_id"))
+    run = lambda: jobs.stream_new_tickets(
+        make(stream_of(spark, bugs, path)), sent, target, str(tmp_path / "log"), delay=None
+    ).awaitTermination()
+    pieces(bugs, path, F.hash("feed_id"), 2)
+    run()
+    first = spark.read.parquet(target).select("ticket_key", "batch_id").collect()
+    expected = state.new_tickets(make(bugs), sent).select("ticket_key").distinct().collect()
+    assert sorted(r.ticket_key for r in first) == sorted(r.ticket_key for r in expected)
+    shutil.rmtree(tmp_path / "out" / "batch_id=0")
+    bugs.coalesce(1).write.mode("append").parquet(path)
+    run()
+    left = sorted(r.ticket_key for r in spark.read.parquet(target).select("ticket_key").collect())
+    assert left == sorted(r.ticket_key for r in first if r.batch_id > 0)
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_weekly_counts_lose_nothing(spark, bugs, tmp_path, zone):
     """One date far in the future comes first; all others are then late."""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,26 +42,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-# Folders made within the open scopes, innermost last.
-_scopes: list[list[str]] = []
+# Folders made within the open scopes of this thread, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the folders that ``materialise`` made within it. Nothing may read them later."""
-    _scopes.append([])
+    """Removes, at its end, the folders that ``materialise`` made within it, in the same thread. Nothing may read them later."""
+    made: list[str] = []
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in made:
             remove(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

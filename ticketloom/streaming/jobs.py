@@ -99,21 +99,29 @@ def current_reviews(
 
 
 def stream_new_tickets(
-    tickets: DataFrame, sent: DataFrame, target: str, checkpoint: str, delay: str = "7 days"
+    tickets: DataFrame, sent: DataFrame, target: str, checkpoint: str, delay: str | None = "7 days"
 ) -> StreamingQuery:
     """Append each ticket whose key was neither sent nor emitted before, once.
 
     Keys repeated within ``delay`` of their arrival are dropped by the stream's state, whose size
-    that bounds; older repeats meet the emitted table. The watermark follows the arrival time, so
-    no ticket is too late. Each batch overwrites its own folder, so a repeated batch changes nothing.
+    that bounds; older repeats meet the emitted table, which every batch reads. The watermark follows the
+    arrival time, so no ticket is too late. Each batch overwrites its own folder, so a repeated batch
+    changes nothing.
+
+    With ``delay=None`` the state keeps every key and no batch reads what others emitted: its cost is
+    that of its own keys. The checkpoint is then the only memory of the stream; keep it with the target,
+    and the state in the store on disk that Spark has for large state.
     """
-    arrived = tickets.withColumn("_arrived", F.current_timestamp())
-    once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["ticket_key"])
+    if delay is None:
+        once = tickets.dropDuplicates(["ticket_key"])
+    else:
+        arrived = tickets.withColumn("_arrived", F.current_timestamp())
+        once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["ticket_key"])
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         known = sent.select("ticket_key", "ticket_id")
-        if path_exists(session, target):
+        if delay is not None and path_exists(session, target):
             emitted = session.read.schema("ticket_key string, TicketID string, batch_id int").parquet(target)
             before = emitted.filter(F.col("batch_id") < batch_id)
             known = known.unionByName(before.select("ticket_key", F.col("TicketID").alias("ticket_id")))
