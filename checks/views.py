@@ -15,7 +15,7 @@ from ticketloom.operators import ingest, rollup, sentiment, tickets
 from ticketloom.operators.lookup import (
     lemma_table, lexicon_table, severity_table, stopword_table, taxonomy_rules,
 )
-from ticketloom.operators.taxonomy import categorize
+from ticketloom.operators.taxonomy import categorize, padded_words
 from ticketloom.session import materialise, shared_dir, spread
 
 PHRASES = [
@@ -37,9 +37,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def padded_rules(spark: SparkSession, sf: str) -> DataFrame:
     """The default taxonomy, and after it the last three cleaned words of every document under their first letter."""
-    words = F.split(X.clean_words(X.clean_spaced(F.col("text"))), " ")
-    tail = F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ")
-    tails = table(spark, sf, "documents").select((F.col("doc_id") + TAIL_FROM).cast("int").alias("pos"), tail.alias("keyword"))
+    cleaned = F.trim(padded_words(X.clean_spaced(F.col("text"))))
+    tail = F.substring_index("cleaned", " ", -3)
+    texts = table(spark, sf, "documents").select((F.col("doc_id") + TAIL_FROM).cast("int").alias("pos"), cleaned.alias("cleaned"))
+    tails = materialise(texts.select("pos", tail.alias("keyword")), "tails")  # read several times, the texts once
     return taxonomy_rules(spark).unionByName(tails.withColumn("category", F.concat(F.lit("Tail "), F.left("keyword", F.lit(1)))))
 
 

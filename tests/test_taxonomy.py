@@ -136,3 +136,15 @@ def test_equal_length_goes_to_the_earlier_category(spark, text, expected):
     df = spark.createDataFrame([(text,)], "text string")
     found = taxonomy.categorize(df, "text", taxonomy_rules(spark))
     assert found.select(F.first("bug_category")).first()[0] == expected
+
+
+def test_a_large_taxonomy_makes_no_more_rows_than_texts_have_runs(spark):
+    """2,000 keywords that share both their words' place and their rarest word: each run meets one of them."""
+    texts = spark.createDataFrame([(str(i), f"slow app page{i % 7} slow app".split(" ")) for i in range(40)], "_text_key string, _words array<string>")
+    rules = small_table(spark, [(i, "A", f"slow app page{i}") for i in range(2000)], S.TAXONOMY_RULES)
+    met = taxonomy.keyword_hits(texts, rules, [1, 3], 20).join(rules, "keyword")
+    assert sorted(r.keyword for r in met.collect()) == sorted(f"slow app page{i % 7}" for i in range(40))
+    shared = small_table(spark, [(i, f"C{i % 5}", f"slow{i} app") for i in range(2000)] + [(9000, "Z", "app")], S.TAXONOMY_RULES)
+    df = spark.createDataFrame([(f"the slow{i} app" if i % 2 else "an app",) for i in range(100)], "text string")
+    found = taxonomy.categorize(df, "text", shared, inline_rows=0).select("text", "bug_category").distinct()
+    assert {(r.text, r.bug_category) for r in found.collect()} == {("an app", "Z")} | {(f"the slow{i} app", f"C{i % 5}") for i in range(1, 100, 2)}

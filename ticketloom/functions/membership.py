@@ -15,9 +15,9 @@ BITS_A_VALUE = 16
 FEWEST, MOST = 10, 23  # as powers of two: 128 bytes to 1 MB
 
 
-def power_for(values: int) -> int:
+def power_for(values: int, most: int = MOST) -> int:
     """The power of two of bits for so many values, within the bounds."""
-    return min(max((max(values, 1) * BITS_A_VALUE - 1).bit_length(), FEWEST), MOST)
+    return min(max((max(values, 1) * BITS_A_VALUE - 1).bit_length(), FEWEST), most)
 
 
 def _places(value: Column, power: int) -> list[Column]:

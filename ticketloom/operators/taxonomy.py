@@ -44,14 +44,14 @@ def categorize(
     """Add ``bug_category`` for the text in ``col`` by ``rules(pos, category, keyword)``.
 
     A taxonomy that passes the size check is inlined: no shuffle, no join, one pass over the text.
-    One of more than ``inline_rows`` keywords is joined at the rarest word of each. ``cleaned`` says that
+    One of more than ``inline_rows`` keywords is joined by whole keywords. ``cleaned`` says that
     ``clean_spaced`` made the text.
     """
     rules = normalise_rules(rules)
     padded = padded_words(F.col(col) if cleaned else X.clean_spaced(F.col(col)), compat)
     small = bounded_rows(rules, inline_rows)
     if small is None:
-        return _categorize_by_anchors(df, F.trim(padded), rules, default)
+        return _categorize_by_runs(df, F.trim(padded), rules, default)
     if not small:
         return df.withColumn("bug_category", F.lit(default))
     ordered = sorted(small, key=lambda r: (-len(r.keyword), r.pos))
@@ -125,25 +125,47 @@ def anchored_places(texts: DataFrame, indexed: DataFrame, longest: int, power: i
     return marked.select("_text_key", F.inline(around))
 
 
-def _categorize_by_anchors(df: DataFrame, text: Column, rules: DataFrame, default: str) -> DataFrame:
-    """A large taxonomy, by the rarest word of each keyword.
+# Bits for the keywords of a large taxonomy: 8 MB at most, enough for four million of them.
+MOST_KEYWORD_BITS = 26
 
-    Distinct texts are stored once. A place is exploded only if its word may be an anchor, by bits of a
-    bounded size asked inside the row; it meets the keywords of that anchor in an equi-join, and the
-    neighbours it carries, at most twice as many as the longest keyword has words, decide.
+
+def keyword_hits(texts: DataFrame, rules: DataFrame, sizes: list[int], power: int) -> DataFrame:
+    """Runs of words that may be a keyword, by bits of a bounded size asked for every run: (``_text_key``, ``keyword``).
+
+    A row a word with those behind it, and of these the runs as long as some keyword: plain columns, which
+    stay in generated code where a lambda over every run would not.
+    """
+    bits, names = member_bits(rules, "keyword", power), [f"_w{i}" for i in range(max(sizes))]
+    behind = F.arrays_zip(*[F.slice("_words", i + 1, F.size("_words")).alias(name) for i, name in enumerate(names)])
+    placed = texts.select("_text_key", F.inline(behind).alias(*names))
+
+    def run(n: int) -> Column:
+        held = F.concat(*[x for name in names[:n] for x in (F.lit(" "), F.col(name))][1:])  # null at the text's end
+        return F.when(may_hold(bits, held, power), held)
+
+    every = placed.select("_text_key", F.explode(F.array(*[run(n) for n in sizes])).alias("keyword"))
+    return every.filter("keyword IS NOT NULL")
+
+
+def _categorize_by_runs(df: DataFrame, text: Column, rules: DataFrame, default: str) -> DataFrame:
+    """A large taxonomy, by equality of whole keywords.
+
+    Distinct texts are stored once. A run of as many words as some keyword has goes on only if it may be
+    a keyword, and meets that one keyword in an equi-join: no run meets more than one, however many
+    keywords share a word, so the rows grow with the texts alone.
     """
-    size = rules.agg(F.max(F.size(F.split("keyword", " "))).alias("longest"), F.sum(F.size(F.split("keyword", " "))).alias("words")).first()
-    power = power_for(size.words)
-    keyed = df.withColumn("_text", text).withColumn("_text_key", F.sha1(F.col("_text")))
-    distinct = keyed.dropDuplicates(["_text_key"]).select("_text_key", F.split("_text", " ").alias("_words"))
+    rules = materialise(rules, "taxonomy-rules")
+    counted = rules.groupBy(F.size(F.split("keyword", " ")).alias("words")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = sorted(r.words for r in counted)  # as many rows as keywords have lengths
+    power = power_for(sum(r.n for r in counted), MOST_KEYWORD_BITS)
+    keyed = df.withColumn("_text", text)
+    # by the whole text, which a hash aggregate takes as its key; one that keeps it beside a key would sort all rows
+    distinct = keyed.select("_text").distinct().select(F.sha1(F.col("_text")).alias("_text_key"), F.split("_text", " ").alias("_words"))
     texts = materialise(distinct, "taxonomy-texts")
-    indexed = materialise(anchors(texts, rules, power), "taxonomy-anchors")
-    met = anchored_places(texts, indexed, size.longest, power).join(indexed, "word").filter("_lead >= _at")
-    said = F.array_join(F.slice("_near", F.greatest(F.col("_lead") - F.col("_at"), F.lit(0)) + 1, F.col("n")), " ")
-    found = met.filter(said == F.col("keyword")).groupBy("_text_key").agg(
+    found = keyword_hits(texts, rules, sizes, power).join(rules, "keyword").groupBy("_text_key").agg(
         F.min_by("category", F.struct(-F.length("keyword"), F.col("pos"))).alias("_found")
     )
-    out = keyed.join(found, "_text_key", "left")
+    out = keyed.withColumn("_text_key", F.sha1(F.col("_text"))).join(found, "_text_key", "left")
     return out.select(*df.columns, F.coalesce("_found", F.lit(default)).alias("bug_category"))
 
 
