@@ -271,3 +271,13 @@ def test_latent_vectors_separate_groups_of_words(spark):
     dense = np.array([np.bincount(r.at, r.weight, len(terms)) for r in rows.collect() for _ in range(r.n)])
     assert np.allclose(model.strengths, np.linalg.svd(dense, compute_uv=False)[:3])
     assert latent.fit_latent(df.limit(0), "cleaned_text").terms == []
+
+
+def test_shrinking_sorts_no_rows_before_they_are_combined(spark):
+    """Vectors are part of the key: beside it they would make every task sort all of its rows."""
+    texts = spark.range(4000).select(F.concat(F.lit("text w"), F.col("id") % 3).alias("t"), (F.col("id") % 2).cast("double").alias("label"))
+    made = models.shrunk(models.text_features(texts, "t").withColumn("unit", F.lit(1.0)), ["label"], ["unit"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert made.columns == ["label", "features", "unit"]
+    assert made.count() == 6 and made.agg(F.sum("unit")).first()[0] == 4000.0

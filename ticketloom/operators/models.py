@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,15 +118,21 @@ def text_features(
     return fitted.transform(df).drop("_tokens", "_tf", "_tfidf")
 
 
+def content_of(vector: Column) -> Column:
+    """What equal vectors share."""
+    return F.md5(vector.cast("string").cast("binary"))
+
+
 def shrunk(df: DataFrame, by: list[str], sums: list[str], features: str = "features") -> DataFrame:
     """Rows of equal ``features`` and ``by`` as one row with the sums of their weights.
 
     Fits that weigh their rows give the same on it. A vector that very many rows share is combined
     before the shuffle and is one row after it. The result is dealt and sorted by content, so it does
     not depend on how the input was cut; a small one comes in few partitions, as fits read it often.
+    The vector is part of the key: kept beside it, it would have every task sort all its rows.
     """
-    keyed = df.withColumn("_content", F.md5(F.col(features).cast("string").cast("binary")))
-    made = keyed.groupBy("_content", *by).agg(F.first(features).alias(features), *[F.sum(c).alias(c) for c in sums])
+    keyed = df.withColumn("_content", content_of(F.col(features)))
+    made = keyed.groupBy("_content", *by, features).agg(*[F.sum(c).alias(c) for c in sums])
     return made.repartition("_content", *by).sortWithinPartitions("_content", *by).drop("_content")
 
 
@@ -224,7 +230,7 @@ def with_weights(train: DataFrame, label: str = "label") -> DataFrame:
     sizes = train.groupBy(label).agg(row_count().alias("_n"))
     total, classes = sizes.agg(F.sum("_n")).scalar(), sizes.agg(row_count()).scalar()
     weights = sizes.select(label, (total / (classes * F.col("_n"))).alias("balanced"))
-    return train.join(weights, label).withColumn("unit", F.lit(1.0))
+    return train.join(F.broadcast(weights), label).withColumn("unit", F.lit(1.0))  # a row a class
 
 
 def fit_bug_classifier(
