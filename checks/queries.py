@@ -664,7 +664,7 @@ def reclassified(spark, sf):
 
 @query
 def other_clusters(spark, sf):
-    made = models.text_features(T.grouped_texts(spark, sf), "cleaned_text")
+    made = materialise(models.text_features(T.grouped_texts(spark, sf), "cleaned_text"), "grouped-vectors")
     return models.cluster_other(made).groupBy("cluster").agg(
         F.min("event_id").alias("first_review"), F.count(F.lit(1)).alias("reviews"),
         F.count_distinct("cleaned_text").alias("texts"),

@@ -152,9 +152,9 @@ def attended(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(rows, "attended")
 
 
-def sent(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys and ids of the err-level tickets, with white space around them, and blanks."""
-    made = tickets.by_level(ticket_view(spark, sf), ["err"])
+def sent(spark: SparkSession, sf: str, board: DataFrame | None = None) -> DataFrame:
+    """Keys and ids of the err-level tickets, with white space around them, and blanks. ``board`` is a stored ``ticket_view``."""
+    made = tickets.by_level(ticket_view(spark, sf) if board is None else board, ["err"])
     blanks = table(spark, sf, "events").filter("event_type = 'view'").select(
         F.lit(" ").alias("ticket_key"), F.lit(" ").alias("ticket_id")
     )
@@ -194,9 +194,9 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     return talk.select("conv_id", "turn", response.alias("response"))
 
 
-def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Developer summaries whose report texts are made from the rollup's own numbers."""
-    rows = rollup.developer_rollup(categorized(spark, sf), severity_table(spark))
+def summaries(spark: SparkSession, sf: str, bugs: DataFrame | None = None) -> DataFrame:
+    """Developer summaries whose report texts are made from the rollup's own numbers. ``bugs`` is a stored ``categorized``."""
+    rows = rollup.developer_rollup(categorized(spark, sf) if bugs is None else bugs, severity_table(spark))
     number = F.col("bug_count").cast("string")
     level = F.element_at(
         F.create_map(*[F.lit(x) for x in (2, "Critical", 3, "High", 4, "Medium", 6, "whenever")]),

@@ -362,6 +362,8 @@ def cluster_other(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 
     The fit sees distinct vectors, each weighing as many rows as share it, dealt and sorted by content:
     a text that many rows repeat is one row of it, and the start does not depend on how the input was cut.
+    Each distinct vector is also given its cluster once, and rows take it by content: near a centre Spark
+    goes through all places of a vector, which is dear if millions of rows do so.
     """
     weighed = materialise(shrunk(df.select("features", F.lit(1.0).alias("weight")), [], ["weight"]), "distinct-vectors")
     distinct = weighed.limit(k).count()
@@ -370,7 +372,9 @@ def cluster_other(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     model = KMeans(
         k=distinct, seed=seed, maxIter=CLUSTER_ITERATIONS, featuresCol="features", predictionCol="cluster", weightCol="weight"
     ).fit(weighed)
-    return model.transform(df)
+    named = materialise(model.transform(weighed).select(content_of(F.col("features")).alias("_content"), "cluster"), "vector-clusters")
+    placed = df.withColumn("_content", content_of(F.col("features"))).join(named, "_content")
+    return placed.select(*df.columns, "cluster")
 
 
 def reclassify_other(
