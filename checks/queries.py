@@ -49,6 +49,11 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
+def categorized_once(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """The categorised bugs with these columns, stored: to look for keywords again costs more than all that follows."""
+    return materialise(T.categorized(spark, sf).select(*cols, "bug_category"), "categorized")
+
+
 # --- sources and sinks -------------------------------------------------------------------------
 
 @query
@@ -726,9 +731,10 @@ def topics_whole_text(spark, sf):
 @query
 def other_clusters_whole_text(spark, sf):
     """The bugs of no category, as in the chain: cleaned, vectors of the words, five clusters."""
-    _, other = taxonomy.split_other(T.categorized(spark, sf))
-    rows = other.select("review_id", X.clean_stripped(F.col("review_description")).alias("cleaned_text"))
-    return models.cluster_other(models.text_features(rows, "cleaned_text")).select("review_id", "cluster")
+    _, other = taxonomy.split_other(categorized_once(spark, sf, "review_id", "review_description"))
+    rows = materialise(other.select("review_id", X.clean_stripped(F.col("review_description")).alias("cleaned_text")), "other-texts")
+    made = materialise(models.text_features(rows, "cleaned_text"), "other-vectors")
+    return models.cluster_other(made).select("review_id", "cluster")
 
 
 @query
