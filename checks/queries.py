@@ -375,7 +375,7 @@ def high_confidence(spark, sf):
 
 @query
 def other_split(spark, sf):
-    labelled, other = taxonomy.split_other(T.categorized(spark, sf).select("review_id", "bug_category"))
+    labelled, other = taxonomy.split_other(categorized_once(spark, sf, "review_id"))
     return labelled.withColumn("part", F.lit("keyword")).union(other.withColumn("part", F.lit("other")))
 
 
