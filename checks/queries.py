@@ -31,6 +31,8 @@ VERSIONS = ["1.0.0", "1.1.1", "1.2.2", "1.3.3", "1.0.4", "1.1.5"]
 CATEGORIES = ["Login Error", "Payment Issue", "General Error"]
 FIRST_DAY, LAST_MOMENT = "2024-01-08 00:00:00", "2024-01-21 23:59:59"
 MARKED_AT = "2024-03-01 12:00:00"
+# About so much text goes into a CSV file: more than a block, and not more for a task if there is more to write.
+CSV_FILE_BYTES = 400_000_000
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -717,7 +719,10 @@ def csv_blocks(spark, sf):
     rows = T.reviews(spark, sf).select(
         "review_id", F.nullif(trimmed, F.lit("")).alias("review_description"), "developer_response", "review_date", "app_version"
     )
-    writers.write_csv(rows.coalesce(2), path)
+    stored = materialise(rows, "csv-rows")  # a few tasks write the files; more than these make the rows
+    written = F.sum(F.octet_length("review_description") + F.coalesce(F.octet_length("developer_response"), F.lit(0)))
+    files = max(2, -(-(stored.agg(written).first()[0] or 0) // CSV_FILE_BYTES))
+    writers.write_csv(stored.coalesce(files), path)
     return readers.read_csv_blocks(spark, path, rows.schema)
 
 
