@@ -407,10 +407,9 @@ def mark_attended(spark, sf):
 
 @query
 def category_insights(spark, sf):
-    bugs = tickets.by_version_category(
-        T.categorized(spark, sf), VERSIONS, [category for category, _, _ in V.SEVERITY]
-    )
-    return rollup.category_insights(T.summaries(spark, sf), bugs, severity_table(spark))
+    found = categorized_once(spark, sf, "review_date", "app_version")
+    bugs = tickets.by_version_category(found, VERSIONS, [category for category, _, _ in V.SEVERITY])
+    return rollup.category_insights(T.summaries(spark, sf, found), bugs, severity_table(spark))
 
 
 @query
