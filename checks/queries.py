@@ -436,7 +436,7 @@ def sent_state_next(spark, sf):
 def digest_confirmed(spark, sf):
     """The sent table after a digest whose sender died, and a second one that went out and was confirmed twice."""
     path, board = shared_dir(spark, "delivery"), materialise(T.ticket_view(spark, sf), "board")
-    versions.write_next(T.sent(spark, sf).select(*S.SENT_TICKETS.names), f"{path}/sent_tickets")
+    versions.write_next(T.sent(spark, sf, board).select(*S.SENT_TICKETS.names), f"{path}/sent_tickets")
     daily.prepare_digest(spark, board, path)
     _, folder = daily.prepare_digest(spark, board, path)
     daily.confirm_digest(spark, folder, path)
