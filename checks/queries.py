@@ -533,7 +533,7 @@ def developer_rollup(spark, sf):
 
 @query
 def kpis(spark, sf):
-    bugs = T.categorized(spark, sf)
+    bugs = categorized_once(spark, sf, "app_version")
     chosen = tickets.by_version_category(bugs, VERSIONS, CATEGORIES)
     return aggregates.kpis(chosen, bugs, categories=CATEGORIES)
 
